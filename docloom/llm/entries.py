@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from docloom.llm import simhash
+import public_tokenizers
+
+from docloom.llm import decontam, packing, quality, simhash
 
 
 def _table(spark, at, name):
     return spark.read.parquet(f"{at}/{name}.parquet")
 
 
+def op2_packing(spark, at):
+    return packing.pack(_table(spark, at, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op3_quality(spark, at):
+    return quality.scores(_table(spark, at, "documents"), _table(spark, at, "labels"))
+
+
 def op4_simhash(spark, at):
     return simhash.near_duplicates(_table(spark, at, "documents"))
 
 
+def op5_decontamination(spark, at):
+    return decontam.contamination(_table(spark, at, "documents"), _table(spark, at, "benchmark")).drop("longest", "spans")
+
+
 def queries():
-    return {"op4_simhash": op4_simhash}
+    return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql():
