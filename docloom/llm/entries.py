@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docloom.llm import decontam, packing, quality, simhash
+from docloom.llm import decontam, packing, quality, repeats, simhash, vectors
 
 
 def _table(spark, at, name):
     return spark.read.parquet(f"{at}/{name}.parquet")
 
 
+def op1_repeats(spark, at):
+    return repeats.removed(_table(spark, at, "documents")).drop("kept")
+
+
 def op2_packing(spark, at):
     return packing.pack(_table(spark, at, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -27,6 +31,10 @@ def op5_decontamination(spark, at):
     return decontam.contamination(_table(spark, at, "documents"), _table(spark, at, "benchmark")).drop("longest", "spans")
 
 
+def op7_vectors(spark, at):
+    return vectors.near_duplicates(_table(spark, at, "embeddings"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
