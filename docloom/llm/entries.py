@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docloom.llm import decontam, packing, quality, repeats, simhash, vectors
+from docloom.llm import decontam, licenses, packing, pages, quality, repeats, simhash, surrogates, vectors
 
 
 def _table(spark, at, name):
@@ -31,10 +31,22 @@ def op5_decontamination(spark, at):
     return decontam.contamination(_table(spark, at, "documents"), _table(spark, at, "benchmark")).drop("longest", "spans")
 
 
+def op6_surrogates(spark, at):
+    return surrogates.protected(_table(spark, at, "documents"))
+
+
 def op7_vectors(spark, at):
     return vectors.near_duplicates(_table(spark, at, "embeddings"))
 
 
+def op8_pages(spark, at):
+    return pages.main_text(_table(spark, at, "pages"))
+
+
+def op10_licenses(spark, at):
+    return licenses.scans(_table(spark, at, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
