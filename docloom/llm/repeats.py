@@ -3,7 +3,7 @@
 Any 13-word window holds a whole aligned 7-word block of the text it stands in. Texts index their aligned blocks and probe with
 every rolling 7-word window. Per batch and hash only one entry goes to the hash's bucket (smallest block owner, largest prober),
 so a passage of a third of all texts costs a few bytes a batch; anchors found in two texts of one batch are hits at once.
-Windows around hits are then compared whole by 128-bit hashes, again one entry per batch and hash: the smallest text that starts
+Windows around hits are then compared whole by 96-bit hashes, again one entry per batch and hash: the smallest text that starts
 it. Every covered word goes, and touching windows together form the maximal repeats. Judged on the input; the smallest doc_id
 keeps its words; repeats within one text stay. Texts of fewer than 13 words keep all. Nulls have no words.
 """
@@ -14,11 +14,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import words as W
-from docloom.llm.shared import written
+from docloom.llm.shared import released, written
 
 WINDOW, BLOCK = 13, 7
 
@@ -36,14 +37,30 @@ def _grams(h, t, n):
     return g[at], at, t[at]
 
 
-def _deal(h, cols: dict, buckets: int):
-    """Rows of one bucket each, columns as packed arrays."""
-    b = (h >> np.uint64(40)) % np.uint64(buckets)
-    o = np.argsort(b.astype(np.uint32), kind="stable")
-    cuts = np.searchsorted(b[o], np.arange(buckets + 1, dtype=np.uint64))
+def _pack(a: np.ndarray, delta: bool = False) -> bytes:
+    """Bytes of an array, bytes of like rank together, compressed."""
+    a = np.diff(a, prepend=a.dtype.type(0)) if delta else a
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), 1)
+
+
+def _unpack(blobs, kind: str, delta: bool = False) -> np.ndarray:
+    out = []
+    for x in blobs:
+        if x:
+            a = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1).T
+            a = np.ascontiguousarray(a).view(kind).ravel()
+            out.append(np.cumsum(a, dtype=kind) if delta else a)
+    return np.concatenate(out) if out else np.zeros(0, kind)
+
+
+def _deal(h, cols: list, buckets: int):
+    """Rows of one bucket each, columns as packed arrays; the last two columns by difference."""
+    b = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
+    o = np.argsort(b, kind="stable")
+    cuts = np.searchsorted(b[o], np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         i = o[cuts[k] : cuts[k + 1]]
-        yield [k, *(c[i].tobytes() for c in cols.values())]
+        yield [k, *(_pack(c[i], n >= len(cols) - 2) for n, c in enumerate(cols))]
 
 
 def _groups(key):
@@ -83,30 +100,39 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                     continue
                 dd = doc[o]
                 low, high = np.minimum.reduceat(dd, run), np.maximum.reduceat(dd, run)
-                owner = np.minimum.reduceat(np.where(aligned[o], dd, np.iinfo(np.int64).max), run)
+                none = np.iinfo(np.int64).max
+                owner = np.minimum.reduceat(np.where(aligned[o], dd, none), run)
+                pos = (at - edge[own])[o]
                 shared = (low != high)[num]
-                rows = [[group_of(x[0]) % buckets, b"", b"", b"", b"", *x] for x in _hits(dd[shared], (at - edge[own])[o][shared], group_of)]
-                only = low == high
-                cols = {"h": h[o][run].astype(np.uint64), "owner": owner, "high": high, "pos": np.where(only, (at - edge[own])[o][run], -1).astype(np.int32)}
-                rows += [[*x, None, None, None] for x in _deal(h[o][run], cols, buckets)]
-                yield pd.DataFrame(rows, columns=["b", "h", "owner", "high", "pos", "doc_id", "g", "at"]).astype({"doc_id": "Int64", "g": "Int64"})
+                rows = [[group_of(x[0]) % buckets, b"", b"", b"", *x] for x in _hits(dd[shared], pos[shared], group_of)]
+                # an entry's code: twice its place, plus one if a block; -1: only its prober, -2: only its owner
+                only, two = low == high, (low != high) & (owner != none)
+                code = np.where(only, pos[run] * 2 + (owner != none), -1).astype(np.int32)
+                hh, d, c = np.concatenate([h[o][run], h[o][run][two]]), np.concatenate([high, owner[two]]), np.concatenate([code, np.full(two.sum(), -2, np.int32)])
+                near = np.concatenate([o[run], o[run][two]]).argsort(kind="stable")
+                hh, d, c = hh[near], d[near].astype(np.int64), c[near]
+                rows += [[*x, None, None, None] for x in _deal(hh, [hh.astype(np.uint32), d, c], buckets)]
+                yield pd.DataFrame(rows, columns=["b", "h", "doc", "code", "doc_id", "g", "at"]).astype({"doc_id": "Int64", "g": "Int64"})
 
     def passed(pdf, hits):
         sure = pdf[pdf["doc_id"].notna()]
         return pd.DataFrame([*zip(sure["doc_id"].astype("int64"), sure["g"].astype("int64"), sure["at"]), *hits], columns=["doc_id", "g", "at"])
 
     def meet(pdf):
-        h, owner, high, pos = (np.concatenate([np.frombuffer(x, k) for x in pdf[c]]) for c, k in (("h", "u8"), ("owner", "i8"), ("high", "i8"), ("pos", "i4")))
-        o, run, num = _groups(h)
+        h, doc, code = _unpack(pdf["h"], "u4"), _unpack(pdf["doc"], "i8", True), _unpack(pdf["code"], "i4", True)
+        o, run, _ = _groups(h)
         if not len(o):
             return passed(pdf, [])
-        low, top = np.minimum.reduceat(owner[o], run)[num], np.maximum.reduceat(high[o], run)[num]
-        hit = (pos[o] >= 0) & ((low < high[o]) | (owner[o] < top))
-        return passed(pdf, _hits(high[o][hit], pos[o][hit], group_of))
-
-    packed = "b long, h binary, owner binary, high binary, pos binary, doc_id long, g long, at binary"
+        d, c = doc[o], code[o]
+        block, probes, size = (c == -2) | ((c >= 0) & (c % 2 == 1)), c != -2, np.diff([*run, len(o)])
+        low = np.repeat(np.minimum.reduceat(np.where(block, d, np.iinfo(np.int64).max), run), size)
+        top = np.repeat(np.maximum.reduceat(np.where(probes, d, np.iinfo(np.int64).min), run), size)
+        hit = (c >= 0) & ((low < d) | (block & (d < top)))
+        return passed(pdf, _hits(d[hit], c[hit] // 2, group_of))
+
+    packed = "b long, h binary, doc binary, code binary, doc_id long, g long, at binary"
     anchors = written(base.mapInPandas(probe, packed).groupBy("b").applyInPandas(meet, "doc_id long, g long, at binary"), "anchors")
-    spark._jvm.System.gc()
+    released(spark)
     dealt = base.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
     regroup = lambda x: x.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
 
@@ -142,12 +168,13 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             sure = dd > low[num]
             rows += [[group_of(x[0]) % buckets, b"", b"", b"", b"", *x] for x in _hits(dd[sure], pp[sure], group_of)]
             lead = np.minimum.reduceat(np.where(sure, np.iinfo(np.int64).max, pp), run)
-            cols = {"h": h[o][run], "h2": h2[o][run], "low": low.astype(np.int64), "pos": lead.astype(np.int32)}
-            rows += [[*x, None, None, None] for x in _deal(h[o][run], cols, buckets)]
+            near = o[run].argsort(kind="stable")
+            hh, hh2, low, lead = h[o][run][near], h2[o][run][near], low.astype(np.int64)[near], lead.astype(np.int32)[near]
+            rows += [[*x, None, None, None] for x in _deal(hh, [hh, hh2.astype(np.uint32), low, lead], buckets)]
         return pd.DataFrame(rows, columns=["b", "h", "h2", "low", "pos", "doc_id", "g", "at"]).astype({"doc_id": "Int64", "g": "Int64"})
 
     def decide(pdf):
-        h, h2, low, pos = (np.concatenate([np.frombuffer(x, k) for x in pdf[c]]) for c, k in (("h", "u8"), ("h2", "u8"), ("low", "i8"), ("pos", "i4")))
+        h, h2, low, pos = _unpack(pdf["h"], "u8"), _unpack(pdf["h2"], "u4"), _unpack(pdf["low"], "i8", True), _unpack(pdf["pos"], "i4", True)
         o = np.lexsort([h2, h])
         if not len(o):
             return passed(pdf, [])
@@ -159,7 +186,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     wide = "b long, h binary, h2 binary, low binary, pos binary, doc_id long, g long, at binary"
     second = dealt.groupBy("g").cogroup(regroup(anchors).groupBy("g")).applyInPandas(lambda k, a, b: windows(k, a, b), wide)
     covered = written(second.groupBy("b").applyInPandas(decide, "doc_id long, g long, at binary"), "covered")
-    spark._jvm.System.gc()
+    released(spark)
 
     def keep(_, left, right):
         at, rows = places(right), []
