@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docloom.llm import decontam, licenses, packing, pages, quality, repeats, simhash, surrogates, vectors
+from docloom.llm import decontam, language, licenses, packing, pages, quality, repeats, simhash, surrogates, vectors
 
 
 def _table(spark, at, name):
@@ -43,12 +43,22 @@ def op8_pages(spark, at):
     return pages.main_text(_table(spark, at, "pages"))
 
 
+def op9_language(spark, at):
+    return language.scores(_table(spark, at, "documents"))
+
+
 def op10_licenses(spark, at):
     return licenses.scans(_table(spark, at, "documents"))
 
 
+def pipeline(spark, at):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, at)
+
+
 def queries():
-    return {k: v for k, v in globals().items() if k.startswith("op")}
+    return {"pipeline": pipeline} | {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql():

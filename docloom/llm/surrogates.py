@@ -142,3 +142,16 @@ def protected(docs: DataFrame, key: bytes = b"docloom", id_col: str = "doc_id",
             yield pd.DataFrame({"doc_id": pdf["i"], "n_found": [len(p) for _, p in done], "kinds": [",".join(k for k, *_ in p) for _, p in done], "text": [t for t, _ in done]})
 
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, n_found long, kinds string, text string")
+
+
+def replaced(docs: DataFrame, key: bytes = b"docloom", text_col: str = "text") -> DataFrame:
+    """docs with surrogates in their texts; all other columns as they were."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf.copy()
+            pdf[pdf.columns[at]] = [replace(t, key)[0] for t in pdf.iloc[:, at]]
+            yield pdf
+
+    return docs.mapInPandas(run, docs.schema)
