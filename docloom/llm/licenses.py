@@ -65,6 +65,7 @@ _HINT = re.compile(r"licen[sc]e|permission|redistribution|warrant|free software|
 _SPLIT = re.compile(r"(?<=[.;:!?])\s+|\n\s*\n|\n(?=\s*(?:[-*#/]|\d+\.))")
 _VERSION = re.compile(r"\b\d+(?:\.\d+)*\b")
 _WORD = re.compile(r"[^\W_]+|\{v\}")
+_JOIN = re.compile(r"(SPDX-License-Identifier:)\s*", re.I)
 _ID = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", re.I)
 _KNOWN = {t: k for k, t in SENTENCES.items()}
 
@@ -91,7 +92,7 @@ def scan(text: str | None) -> tuple[list[str], list[str]]:
     if not text or not _HINT.search(text):
         return [], []
     seq = []
-    for k, s in enumerate(sentences(text)):
+    for k, s in enumerate(sentences(_JOIN.sub(r"\1", text))):
         if m := _ID.search(s):
             seq.append((k, "spdx", m[1]))
             continue
