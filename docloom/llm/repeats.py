@@ -11,6 +11,7 @@ keeps its words; repeats within one text stay. Texts of fewer than 13 words keep
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -70,10 +71,33 @@ def _groups(key):
     return o, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _hits(own, pos, group_of):
-    """doc_id, group, packed positions, a row per text."""
-    for d, p in pd.DataFrame({"d": own, "p": pos}).groupby("d")["p"]:
-        yield d, group_of(d), np.unique(p.to_numpy()).astype(np.int32).tobytes()
+def _group(doc: int, groups: int) -> int:
+    """What Spark has as pmod(crc32(doc as text), groups)."""
+    return zlib.crc32(str(doc).encode()) % groups
+
+
+def _hits(own, pos, groups):
+    """Rows (group, packed texts, packed places), one per group of texts."""
+    if not len(own):
+        return
+    o = np.lexsort([pos, own])
+    own, pos = own[o].astype(np.int64), pos[o].astype(np.int32)
+    new = np.concatenate([[True], own[1:] != own[:-1]])
+    g = np.array([_group(d, groups) for d in own[new].tolist()])[np.cumsum(new) - 1]
+    o = np.argsort(g, kind="stable")
+    cuts = np.searchsorted(g[o], np.arange(groups + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        i = o[cuts[k] : cuts[k + 1]]
+        yield k, _pack(own[i], True), _pack(pos[i], True)
+
+
+def _places(pdf) -> dict:
+    """Places by text, of rows of hits."""
+    own, pos = _unpack(pdf["docs"], "i8", True), _unpack(pdf["at"], "i4", True)
+    o = np.argsort(own, kind="stable")
+    own, pos = own[o], pos[o]
+    run = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
+    return dict(zip(own[run].tolist(), np.split(pos, run[1:]))) if len(own) else {}
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -81,11 +105,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     spark = docs.sparkSession
     block = (window + 1) // 2
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, groups = 4 * parts, 4 * parts
+    buckets, groups = 2 * parts, parts
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    group_of = lambda d: int((int(d) * 0x9E3779B97F4A7C15 >> 20) % groups)
-
     def probe(batches):
         for pdf in batches:
             ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
@@ -104,7 +126,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 owner = np.minimum.reduceat(np.where(aligned[o], dd, none), run)
                 pos = (at - edge[own])[o]
                 shared = (low != high)[num]
-                rows = [[group_of(x[0]) % buckets, b"", b"", b"", *x] for x in _hits(dd[shared], pos[shared], group_of)]
+                rows = [[x[0] % buckets, b"", b"", b"", *x] for x in _hits(dd[shared], pos[shared], groups)]
                 # an entry's code: twice its place, plus one if a block; -1: only its prober, -2: only its owner
                 only, two = low == high, (low != high) & (owner != none)
                 code = np.where(only, pos[run] * 2 + (owner != none), -1).astype(np.int32)
@@ -112,11 +134,11 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 near = np.concatenate([o[run], o[run][two]]).argsort(kind="stable")
                 hh, d, c = hh[near], d[near].astype(np.int64), c[near]
                 rows += [[*x, None, None, None] for x in _deal(hh, [hh.astype(np.uint32), d, c], buckets)]
-                yield pd.DataFrame(rows, columns=["b", "h", "doc", "code", "doc_id", "g", "at"]).astype({"doc_id": "Int64", "g": "Int64"})
+                yield pd.DataFrame(rows, columns=["b", "h", "doc", "code", "g", "docs", "at"]).astype({"g": "Int64"})
 
     def passed(pdf, hits):
-        sure = pdf[pdf["doc_id"].notna()]
-        return pd.DataFrame([*zip(sure["doc_id"].astype("int64"), sure["g"].astype("int64"), sure["at"]), *hits], columns=["doc_id", "g", "at"])
+        sure = pdf[pdf["g"].notna()]
+        return pd.DataFrame([*zip(sure["g"].astype("int64"), sure["docs"], sure["at"]), *hits], columns=["g", "docs", "at"])
 
     def meet(pdf):
         h, doc, code = _unpack(pdf["h"], "u4"), _unpack(pdf["doc"], "i8", True), _unpack(pdf["code"], "i4", True)
@@ -128,19 +150,15 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         low = np.repeat(np.minimum.reduceat(np.where(block, d, np.iinfo(np.int64).max), run), size)
         top = np.repeat(np.maximum.reduceat(np.where(probes, d, np.iinfo(np.int64).min), run), size)
         hit = (c >= 0) & ((low < d) | (block & (d < top)))
-        return passed(pdf, _hits(d[hit], c[hit] // 2, group_of))
+        return passed(pdf, _hits(d[hit], c[hit] // 2, groups))
 
-    packed = "b long, h binary, doc binary, code binary, doc_id long, g long, at binary"
-    anchors = written(base.mapInPandas(probe, packed).groupBy("b").applyInPandas(meet, "doc_id long, g long, at binary"), "anchors")
+    packed = "b long, h binary, doc binary, code binary, g long, docs binary, at binary"
+    anchors = written(base.mapInPandas(probe, packed).groupBy("b").applyInPandas(meet, "g long, docs binary, at binary"), "anchors")
     released(spark)
-    dealt = base.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    regroup = lambda x: x.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-
-    def places(pdf):
-        return {d: np.concatenate([np.frombuffer(x, np.int32) for x in a]) for d, a in pdf.groupby("doc_id")["at"]}
+    dealt = base.withColumn("g", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(groups)))
 
     def windows(_, left, right):
-        rows, at = [], places(right)
+        rows, at = [], _places(right)
         left = left[left["doc_id"].isin(list(at))]
         ids = left["doc_id"].to_numpy()
         for first, p in W.slices(left["text"].tolist()):
@@ -166,12 +184,12 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             dd, pp = ids[first + own][o], (w - edge[own])[o]
             low = np.minimum.reduceat(dd, run)
             sure = dd > low[num]
-            rows += [[group_of(x[0]) % buckets, b"", b"", b"", b"", *x] for x in _hits(dd[sure], pp[sure], group_of)]
+            rows += [[x[0] % buckets, b"", b"", b"", b"", *x] for x in _hits(dd[sure], pp[sure], groups)]
             lead = np.minimum.reduceat(np.where(sure, np.iinfo(np.int64).max, pp), run)
             near = o[run].argsort(kind="stable")
             hh, hh2, low, lead = h[o][run][near], h2[o][run][near], low.astype(np.int64)[near], lead.astype(np.int32)[near]
             rows += [[*x, None, None, None] for x in _deal(hh, [hh, hh2.astype(np.uint32), low, lead], buckets)]
-        return pd.DataFrame(rows, columns=["b", "h", "h2", "low", "pos", "doc_id", "g", "at"]).astype({"doc_id": "Int64", "g": "Int64"})
+        return pd.DataFrame(rows, columns=["b", "h", "h2", "low", "pos", "g", "docs", "at"]).astype({"g": "Int64"})
 
     def decide(pdf):
         h, h2, low, pos = _unpack(pdf["h"], "u8"), _unpack(pdf["h2"], "u4"), _unpack(pdf["low"], "i8", True), _unpack(pdf["pos"], "i4", True)
@@ -181,15 +199,15 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         new = np.concatenate([[True], (h[o][1:] != h[o][:-1]) | (h2[o][1:] != h2[o][:-1])])
         least = np.minimum.reduceat(low[o], np.flatnonzero(new))[np.cumsum(new) - 1]
         hit = low[o] > least
-        return passed(pdf, _hits(low[o][hit], pos[o][hit], group_of))
+        return passed(pdf, _hits(low[o][hit], pos[o][hit], groups))
 
-    wide = "b long, h binary, h2 binary, low binary, pos binary, doc_id long, g long, at binary"
-    second = dealt.groupBy("g").cogroup(regroup(anchors).groupBy("g")).applyInPandas(lambda k, a, b: windows(k, a, b), wide)
-    covered = written(second.groupBy("b").applyInPandas(decide, "doc_id long, g long, at binary"), "covered")
+    wide = "b long, h binary, h2 binary, low binary, pos binary, g long, docs binary, at binary"
+    second = dealt.groupBy("g").cogroup(anchors.groupBy("g")).applyInPandas(lambda k, a, b: windows(k, a, b), wide)
+    covered = written(second.groupBy("b").applyInPandas(decide, "g long, docs binary, at binary"), "covered")
     released(spark)
 
     def keep(_, left, right):
-        at, rows = places(right), []
+        at, rows = _places(right), []
         for d, text in zip(left["doc_id"].tolist(), left["text"].tolist()):
             b = (text or "").encode()
             ws, gone = b.split(), 0
@@ -209,4 +227,4 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             rows.append((d, n, gone, hashlib.sha256(kept).hexdigest(), kept.decode()))
         return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return dealt.groupBy("g").cogroup(regroup(covered).groupBy("g")).applyInPandas(lambda k, a, b: keep(k, a, b), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return dealt.groupBy("g").cogroup(covered.groupBy("g")).applyInPandas(lambda k, a, b: keep(k, a, b), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
