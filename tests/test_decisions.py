@@ -1,0 +1,13 @@
+from docloom.operators import decisions as D
+
+
+def test_rules():
+    assert D.choose(14_999, 99, False) == "RAG" and D.choose(15_000, 50, False) == "KAG" and D.choose(15_000, 79, True) == "RAG"
+    assert D.simplest_of_two_best([("a", 0.80), ("b", 0.82)]) == ("a", True)
+    assert D.simplest_of_two_best([("a", 0.75), ("b", 0.82)])[0] == "b"
+    assert D.plateau([(1, 0.655), (3, 0.69), (5, 0.862), (10, 0.931), (20, 0.931)]) == 10
+    assert D.reranker({3: 0.103, 5: 0.0, 10: 0.0}, 2601.1) == (3, False)
+    assert D.weighted({"a": 1.0, "b": None}, {"a": 0.2, "b": 0.8}) == 1.0 and D.weighted({"a": None}, {"a": 1}) is None
+    low, high, sure = D.bootstrap([1] * 20, [2] * 20, 50)
+    assert low == high == 0.5 and sure
+    assert D.stale(100, 120) and not D.stale(100, 104) and D.duration(90) == "2 min"
