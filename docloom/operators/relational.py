@@ -3,6 +3,42 @@
 _PROFILE = """SELECT count(*) AS docs, sum($n_words(text)) AS words, avg($n_words(text)) AS avg_words, sum(length(text)) AS chars FROM {documents}"""
 
 TEXTS = {
+    # Lines that are blank, table-of-contents leaders or page numbers are noise
+    "noise_lines": """SELECT doc_id, count(*) AS lines, sum(CASE WHEN trim(line) = '' OR regexp_like(line, '[.][.][.][.]+ *[0-9]+ *$') OR regexp_like(line, '^ *[0-9]+ *$') THEN 1 ELSE 0 END) AS noise
+        FROM (SELECT doc_id, explode(split(text, '\n')) AS line FROM {documents}) l GROUP BY doc_id""",
+    # SC7, SC8: lines of tables
+    "table_lines": "SELECT doc_id, count(*) AS table_rows, max(length(line)) AS widest FROM (SELECT doc_id, explode(split(text, '\n')) AS line FROM {documents}) l WHERE line LIKE '%|%' AND length(line) > 40 GROUP BY doc_id",
+    # rows of a model checked field by field
+    "json_validate": """SELECT event_type, CASE WHEN k IS NULL THEN 'unreadable' WHEN k < 10 THEN 'out of list' ELSE 'valid' END AS anomaly, count(*) AS n FROM (
+        SELECT event_type, $json(props, '$.k') AS k FROM {events}) e GROUP BY event_type, CASE WHEN k IS NULL THEN 'unreadable' WHEN k < 10 THEN 'out of list' ELSE 'valid' END""",
+    # F1, F2 on names with their first letters lowered
+    "entity_canonical": """SELECT canon, count(*) AS mentions FROM (SELECT lower(trim(name)) AS canon FROM {mentions} m) c WHERE length(canon) >= 4 AND canon NOT IN ('that', 'this', 'with', 'from', 'the') GROUP BY canon""",
+    # aliases, then families, then the rest for review
+    "status_normalise": """SELECT raw, CASE WHEN raw = 'F' THEN 'finished' WHEN raw = 'O' THEN 'open' ELSE 'review' END AS status, n FROM (SELECT o_orderstatus AS raw, count(*) AS n FROM {orders} GROUP BY o_orderstatus) o""",
+    # F15, F16
+    "keyword_groups": "SELECT item_id, (text LIKE '%the%' OR text LIKE '%that%') AND (text LIKE '%ing%' OR text LIKE '%tion%') AS met FROM {benchmark}",
+    "keyword_edges": "SELECT user_id, event_type, count(*) AS n FROM {events} WHERE event_type LIKE '%err%' OR event_type LIKE '%click%' GROUP BY user_id, event_type",
+    # A4
+    "label_histogram": "SELECT label, count(*) AS n, round(count(*) / cast(sum(count(*)) OVER () AS double), 6) AS share FROM {embeddings} GROUP BY label",
+    # Pairs of lines' words would be too many on whole texts; types of a user's events pair up
+    "entity_pairs": """SELECT a, b, count(*) AS passages FROM (SELECT DISTINCT x.event_type AS a, y.event_type AS b, x.user_id FROM (SELECT DISTINCT user_id, event_type FROM {events}) x JOIN (SELECT DISTINCT user_id, event_type FROM {events}) y ON x.user_id = y.user_id AND x.event_type < y.event_type) p GROUP BY a, b""",
+    # Reuse of predicates
+    "probe_metrics": """SELECT count(*) AS predicates, round(sum(CASE WHEN n >= 2 THEN n ELSE 0 END) / cast(sum(n) AS double), 6) AS reuse, round(avg(CASE WHEN docs >= 2 THEN $one ELSE $zero END), 6) AS crossed FROM (SELECT p_type, count(*) AS n, count(DISTINCT p_brand) AS docs FROM {part} GROUP BY p_type) g""",
+    # A22
+    "rerank_gain": """SELECT cut, round(avg(without_hit), 6) AS recall_without, round(avg(with_hit), 6) AS recall_with, round(avg(with_hit) - avg(without_hit), 6) AS gain FROM (
+        SELECT cut, CASE WHEN a <= cut THEN $one ELSE $zero END AS without_hit, CASE WHEN b <= cut THEN $one ELSE $zero END AS with_hit FROM (SELECT o_orderkey % 20 + 1 AS a, o_custkey % 20 + 1 AS b FROM {orders}) r CROSS JOIN (SELECT 3 AS cut UNION ALL SELECT 5 UNION ALL SELECT 10) c) h GROUP BY cut""",
+    # A21, X12
+    "recall_at_k": """SELECT k, recall, round(lead(recall) OVER (ORDER BY k) - recall, 6) AS next_gain FROM (SELECT k, round(avg(CASE WHEN r <= k THEN $one ELSE $zero END), 6) AS recall FROM (SELECT l_partkey % 30 + 1 AS r FROM {lineitem}) x
+        CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 3 UNION ALL SELECT 5 UNION ALL SELECT 10 UNION ALL SELECT 20) ks GROUP BY k) g""",
+    # Carry a section forward
+    "section_carry": """SELECT conv_id, section, count(*) AS turns FROM (SELECT conv_id, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM {conversations}) s GROUP BY conv_id, section""",
+    # SC11
+    "concat_sources": "SELECT conv_id, sha1($join(text, turn)) AS sha FROM {conversations} WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY conv_id",
+    # X5, X15
+    "tight_decisions": "SELECT source, round(100 * cast(bad AS double) / n, 4) AS margin, abs(100 * cast(bad AS double) / n - 15) <= 8 AS tight FROM (SELECT source, count(*) AS n, sum(CASE WHEN length(text) < 300 THEN 1 ELSE 0 END) AS bad FROM {documents} GROUP BY source) g",
+    # X7
+    "rag_versions": """SELECT version, size_chars, cast(ceil(chars / (size_chars * 0.85)) AS bigint) AS chunks, CASE WHEN chars / (size_chars * 0.85) > 50000 THEN 'HNSW' ELSE 'FLAT' END AS index_kind FROM (SELECT cast(sum(length(text)) AS double) AS chars FROM {documents}) d
+        CROSS JOIN (SELECT 'fast' AS version, 2990 AS size_chars UNION ALL SELECT 'balanced', 2990 UNION ALL SELECT 'precise', 1380) v""",
     # A2
     "corpus_profile": "SELECT docs, words, cast(floor(words * 1.3) AS bigint) AS tokens, round(avg_words, 4) AS avg_words, chars FROM (" + _PROFILE + ") p",
     # A1
@@ -111,5 +147,5 @@ TEXTS = {
 WIDE = {
     "corpus_profile": ["words", "chars"], "length_statistics": ["shortest", "upper_median", "longest"], "usable_texts": ["n"], "sparse_pages": ["words"],
     "judge_precision": ["supported", "distorted", "missing", "unjudged"], "matrix_recap": ["blank"], "linear_windows": ["chars"], "chunk_candidates": ["size_chars"],
-    "measured_choice": ["place"], "connectivity": ["in_two"], "filter_statistics": ["kept", "singletons"],
+    "measured_choice": ["place"], "connectivity": ["in_two"], "filter_statistics": ["kept", "singletons"], "noise_lines": ["noise"], "table_lines": ["widest"], "section_carry": ["section"],
 }

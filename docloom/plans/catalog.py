@@ -16,7 +16,7 @@ def _texts():
     for name, text in relational.TEXTS.items():
         ours, theirs = text.replace("{mentions}", _MENTIONS["spark"]), text.replace("{mentions}", _MENTIONS["plain"])
         ours = ours.replace(", 'g')", ")").replace("\t", "\\t").replace("' \\t\n", "' \\t\n")
-        theirs = theirs.replace("explode(sequence(", "unnest(generate_series(").replace("regexp_like(", "regexp_matches(")
+        theirs = theirs.replace("explode(sequence(", "unnest(generate_series(").replace("regexp_like(", "regexp_matches(").replace("explode(split(", "unnest(string_split(")
         yield name, ours, theirs
 
 
