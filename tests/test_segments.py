@@ -1,0 +1,39 @@
+from docloom.operators import segments as S
+
+
+def test_sentences_and_chunks():
+    assert S.sentences("This is a long enough sentence, see art. 5 of it. Then comes another long sentence here! Yes.") == ["This is a long enough sentence, see art. 5 of it.", "Then comes another long sentence here!", "Yes."]
+    text = " ".join(f"Sentence number {i} has some words in it." for i in range(200))
+    assert all(w in " ".join(S.fixed_chunks(text)) for w in S.sentences(text))
+    assert S.structural_chunks("# A\none two\n# B\nthree") == [("A", "one two"), ("B", "three")]
+    pieces = S.split_text(text, 300, 40)
+    assert max(map(len, pieces)) <= 300 and pieces[0] == text[: len(pieces[0])] and text.endswith(pieces[-1])
+    assert [c for _, c, *_ in S.parent_child(text)] == list(range(len(S.parent_child(text))))
+    assert all(len(x.split()) <= 70 for x in S.word_budget(text))
+    assert " ".join(S.semantic_chunks(text, S.hash_embed)) == text
+
+
+def test_validators():
+    assert S.canonical("  Société Générale SA ") == "societe generale" and S.canonical("12345a") is None and S.canonical("a b c d e f") is None
+    assert S.valid_argument("Acme 9") and not S.valid_argument("123")
+    assert S.grounded("The École is big", "ecole") and not S.grounded("x", "ecole")
+    rows, bad = S.read_rows('```json\n{"rows": [{"requirement": "a", "category": "x", "status": "met"}, 3, {}]}\n```', {"team"}, {"met"})
+    assert rows == [{"requirement": "a", "category": "process", "status": "met"}] and bad == {"category": 1, "not an object": 1, "empty": 1}
+    assert S.read_rows("{", set(), set())[1] == {"unreadable": 1} and S.read_rows("3", set(), set())[1] == {"wrong root": 1}
+
+
+def test_fusion():
+    texts = ["alpha beta gamma delta", "alpha beta gamma delta epsilon", "other words entirely", "alpha beta gamma delta"]
+    assert S.fuse(texts) == [(0, [1, 3]), (2, [])]
+    assert S.fuse([texts[0], texts[2]]) == [(0, []), (1, [])]
+    assert S.fuse_sequences(["abcdefghij", "abcdefghik", "zzz"]) == [("abcdefghij", 2), ("zzz", 1)]
+    assert S.align(["Acme", "Acme SA", "Other"]) == {"Acme": "Acme", "Other": "Other", "Acme SA": "Acme"}
+    assert S.aliases({"acme group": 3, "acme": 5, "x": 1}) == {"acme": "acme", "acme group": "acme", "x": "x"}
+    assert S.cosine([0, 0], [1, 0]) == 0 and S.lexical_scores("red car", ["a red car", "blue"]) == [1.0, 0.0]
+
+
+def test_over_a_table(spark):
+    df = spark.createDataFrame([(1, "a b. " * 600), (2, None), (3, "")], "doc_id long, text string")
+    got = S.per_text(df, S.fixed_chunks).collect()
+    assert {r.doc_id for r in got} == {1}
+    assert len(S.probe_windows(["x" * 3000, "y", "z" * 4000], 4)) == 2
