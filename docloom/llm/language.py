@@ -75,11 +75,11 @@ def train(pairs: np.ndarray, epochs: int = 400, batch: int = 4096, noise: int =
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; ids are distinct."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per id; rows of one id add up, rows without id are left out."""
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * shuffles
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False)).alias("held_out"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False)).alias("held_out")).where("doc_id is not null")
     learn = base.where("not held_out").select("text")
 
     def count(batches):

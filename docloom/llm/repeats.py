@@ -101,12 +101,12 @@ def _places(pdf) -> dict:
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (text) per row; ids are distinct longs."""
+    """doc_id, n_words, n_removed, kept_sha256, kept (text) per row; rows of one id are one document, rows without id are left out."""
     spark = docs.sparkSession
     block = (window + 1) // 2
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, groups = 2 * parts, parts
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
 
     def probe(batches):
         for pdf in batches:

@@ -170,3 +170,18 @@ def test_empty_tables(spark, name):
         "quality": lambda: quality.scores(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")), "licenses": lambda: licenses.scans(docs), "surrogates": lambda: surrogates.replaced(docs),
     }
     assert runs[name]().count() == 0
+
+
+def test_null_ids_and_repeated_rows(spark):
+    import public_tokenizers
+
+    from docloom.llm import repeats
+
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, 9), (1, text, 9), (2, text, 8), (None, text, 7)], "doc_id long, text string, g long")
+    assert sorted((r.doc_id, r.n_removed) for r in repeats.removed(docs).collect()) == [(1, 0), (1, 0), (2, 30)]
+    assert sorted(r.doc_id for r in language.scores(docs).collect()) == [1, 2]
+    assert simhash.near_duplicates(docs).count() == 4 and licenses.scans(docs).count() == 4 and surrogates.protected(docs).count() == 4
+    assert packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 4
+    items = spark.createDataFrame([(7, text), (8, None), (None, text)], "item_id long, text string")
+    assert {r.n_items for r in decontam.contamination(docs, items).collect()} == {2}
