@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import partial
 
 from docloom.functions import dialect
-from docloom.operators import chunking, relational, vectors
+from docloom.operators import chunking, relational, segments, vectors
 
 #: Capitalised words after a space stand in for named entities.
 _NAMES = "regexp_extract_all(text, ' ([A-ZÀ-Þ][a-zà-ÿ][a-zà-ÿ]+)', 1)"
@@ -30,5 +30,5 @@ def _plain(name, text):
     return f"SELECT * REPLACE ({wide}) FROM ({dialect.plain_sql(text)}) w" if wide else dialect.plain_sql(text)
 
 
-QUERIES = {name: partial(_run, name, ours) for name, ours, _ in _texts()} | chunking.QUERIES | vectors.QUERIES
+QUERIES = {name: partial(_run, name, ours) for name, ours, _ in _texts()} | chunking.QUERIES | vectors.QUERIES | segments.QUERIES
 ORACLES = {name: _plain(name, theirs) for name, _, theirs in _texts()} | chunking.ORACLES | vectors.ORACLES
