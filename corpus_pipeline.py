@@ -2,7 +2,9 @@
 
 Stages take (spark, docs, sf_dir); all but the last return the columns of documents. A document goes when the classifier scores
 it under 0.5, when it is not the smallest id of its SimHash component, or when benchmark words cover over half of it; benchmark
-passages and personal data are replaced in the texts of the others. SQL can express no stage in full.
+passages and personal data are replaced in the texts of the others. Rows of one doc_id are one document to the near-duplicate
+stage; rows without an id can't be named as copies and stay. Null texts stay null, and their score decides like any other's.
+SQL can express no stage in full.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from docloom.llm import decontam, packing, quality, shared, simhash, surrogates
 
 def _quality(spark, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = quality.scores(docs, labels).where("predicted = 1").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi").select(docs.columns)
+    return quality.accepted(docs, labels)
 
 
 def _near_duplicates(spark, docs, sf_dir):
     one = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(one, "doc_id", "left_semi").select(docs.columns)
+    named = docs.dropDuplicates(["doc_id"]).join(one, "doc_id", "left_semi").select(docs.columns)
+    return named.unionAll(docs.where("doc_id is null").select(docs.columns))
 
 
 def _decontaminate(spark, docs, sf_dir):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import words as W
+from docloom.llm.shared import with_texts
 
 WINDOW, BLOCK_WORDS = 8, 2_000_000
 
@@ -168,7 +169,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, window: int):
 
 def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", window: int = WINDOW) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, spans of hit bytes."""
-    spark, kind = docs.sparkSession, "doc_id long, n_words long, n_hit long, items array<string>, longest long, spans array<array<long>>"
+    spark, kind = docs.sparkSession, "doc_id string, n_words long, n_hit long, items array<string>, longest long, spans array<array<long>>"
     autos = [spark.sparkContext.broadcast(a) for a in blocks(items, item_id, item_text, window)]
 
     def run(batches):
@@ -182,34 +183,29 @@ def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
                 rows.append((i, each[0][0], len(spans), sorted(set().union(*(r[2] for r in each))), max(r[3] for r in each), [list(x) for x in spans]))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "items", "longest", "spans"])
 
-    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, kind)
+    out = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, kind)
     n = F.size("items")
-    return out.select("doc_id", "n_words", "n_hit", n.cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"), "longest", "spans")
+    return out.select(F.col("doc_id").cast("long"), "n_words", "n_hit", n.cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"), "longest", "spans")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, max_length: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """docs without the hit words of matches of max_length words or more; documents covered over max_coverage go."""
     autos = [docs.sparkSession.sparkContext.broadcast(a) for a in blocks(items, "item_id", "text", max_length)]
-    at = docs.columns.index("text")
 
-    def run(batches):
-        for pdf in batches:
-            texts = pdf.iloc[:, at].tolist()
-            seen = [list(scan_texts(a.value, texts)) for a in autos]
-            keep, new = [], []
-            for k, t in enumerate(texts):
-                spans = sorted({x for s in seen for x in s[k][4]})
-                n = seen[0][k][0]
-                keep.append(not n or len(spans) <= max_coverage * n)
-                if spans:
-                    b, out, last = t.encode(), [], 0
-                    for s, e in spans:
-                        out.append(b[last:s])
-                        last = e
-                    t = b" ".join([*(x for x in out if x.strip()), b[last:]]).decode()
-                new.append(t)
-            pdf = pdf.copy()
-            pdf[pdf.columns[at]] = new
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-
-    return docs.mapInPandas(run, docs.schema).withColumn("n_chars", F.length("text").cast("long"))
+    def change(texts):
+        seen = [list(scan_texts(a.value, texts)) for a in autos]
+        keep, new = [], []
+        for k, t in enumerate(texts):
+            spans = sorted({x for s in seen for x in s[k][4]})
+            n = seen[0][k][0]
+            keep.append(not n or len(spans) <= max_coverage * n)
+            if spans:
+                b, out, last = t.encode(), [], 0
+                for s, e in spans:
+                    out.append(b[last:s])
+                    last = e
+                t = b" ".join([*(x for x in out if x.strip()), b[last:]]).decode()
+            new.append(t)
+        return new, keep
+
+    return with_texts(docs, change).withColumn("n_chars", F.length("text").cast("long"))

@@ -130,4 +130,5 @@ def scans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             found = [scan(t) for t in pdf["t"]]
             yield pd.DataFrame({"doc_id": pdf["i"], "n_sentences": [len(s) for _, s in found], "sentence_ids": [",".join(s) for _, s in found], "licenses": [",".join(x) for x, _ in found]})
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, n_sentences long, sentence_ids string, licenses string")
+    out = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id string, n_sentences long, sentence_ids string, licenses string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -1,9 +1,10 @@
 """Best-fit packing by sum of squares.
 
 Only a document's first piece may be shorter than the capacity; all others fill a sequence. Short pieces are dealt into groups
-of about GROUP documents by a hash of the id; each group takes its pieces from the longest, and places each in the open bin,
+of about GROUP documents by a hash of the id and the piece; each group takes its pieces from the longest, and places each in the open bin,
 among those it fits, whose choice makes the sum over gaps of squared counts of open bins smallest (ties: the smaller gap left);
-a bin is opened where none fits. Null text is empty, and an empty text is its end token alone.
+a bin is opened where none fits. Null text is empty, and an empty text is its end token alone. Rows without an id and repeated
+rows are packed each.
 """
 
 from __future__ import annotations
@@ -76,6 +77,6 @@ def pack(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "t
         b, o = place(pdf["length"].to_numpy(), capacity)
         return pdf.assign(sequence_id=b + pdf["g"].to_numpy().astype("int64") * (1 << 40), offset=o).drop(columns="g")
 
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(cut, kind).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    return pieces.groupBy("g").applyInPandas(fill, kind + ", sequence_id long, offset long")
+    kind = "doc_id string, piece int, start long, length long, ids_crc32 long"
+    pieces = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(cut, kind).withColumn("g", F.pmod(F.xxhash64("doc_id", "length", "ids_crc32"), F.lit(groups)))
+    return pieces.groupBy("g").applyInPandas(fill, kind + ", sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -1,7 +1,8 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata of the text itself.
 
 score = sigmoid(w0 + x.w + 1/2 sum_f ((x.V)_f^2 - (x^2).(V^2)_f)), linear in the number of features. It is fitted on at most
-`sample` labelled rows, taken by a hash of the id; null labels are left out, null texts are empty. Without labels: 0.5.
+`sample` labelled rows, taken by a hash of the id; null labels are left out, null texts are empty. Without labels: 0.5. Rows
+without an id are scored like any other and held out from learning; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import words as W
+from docloom.llm.shared import with_texts
 
 DIM, RANK, SAMPLE = 1024, 6, 6000
 _UPPER, _DIGIT, _ALPHA, _MARK = (np.zeros(256, bool) for _ in range(4))
@@ -74,22 +76,41 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.05) -> d
     return m
 
 
-def scores(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of docs; learns from `source` (docs) joined to labels that are not held out."""
-    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+def _held():
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    """The machine fitted to docs joined to labels that are not held out."""
+    held = _held()
     picked = labels.where(F.col("quality").isin(0, 1) & ~held).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def numbers(batches):
         for pdf in batches:
             yield pd.DataFrame({"x": [r.tobytes() for r in features(pdf["text"].tolist()).astype(np.float16)], "y": pdf["quality"]})
 
-    rows = (source if source is not None else docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "quality").mapInPandas(numbers, "x binary, y int").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "quality").mapInPandas(numbers, "x binary, y int").collect()
     x = np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32).reshape(-1, DIM + N_STATS)
-    model = fit(x, np.array([r.y for r in rows], np.float32))
+    return fit(x, np.array([r.y for r in rows], np.float32))
+
+
+def _scored(texts: list, model: dict) -> np.ndarray:
+    return np.concatenate([machine(features(texts[k : k + 500]), model) for k in range(0, max(len(texts), 1), 500)]).astype(float)
+
+
+def scores(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of docs; learns from `source` (docs)."""
+    model = learned(source if source is not None else docs, labels, sample)
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.concatenate([machine(features(pdf["text"].tolist()[k : k + 500]), model) for k in range(0, max(len(pdf), 1), 500)]).astype(float)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": _scored(pdf["text"].tolist(), model)})
+
+    out = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return out.select("doc_id", F.coalesce(_held(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
 
-    out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
-    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that score at least `least`, in one pass without a shuffle."""
+    model = learned(docs, labels, sample)
+    return with_texts(docs, lambda texts: (None, (_scored(texts, model) >= least).tolist()))

@@ -1,4 +1,4 @@
-"""Written tables in the cluster's shared folder, and connected components."""
+"""Written tables in the cluster's shared folder, connected components, and texts changed in place."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,25 @@ def released(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def with_texts(docs: DataFrame, change, text_col: str = "text") -> DataFrame:
+    """docs with texts changed or rows dropped; all other columns pass as Arrow, so that no null or 64-bit integer is altered.
+
+    change(texts) gives (new texts, or None to leave them; a list of booleans that keep a row, or None).
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            new, keep = change(b.column(at).to_pylist())
+            if new is not None:
+                columns = b.columns
+                columns[at] = pa.array(new, b.schema.field(at).type)
+                b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
+            yield b if keep is None else b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) for undirected edges (a, b) of longs; component is the smallest node reachable.
 

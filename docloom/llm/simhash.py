@@ -4,6 +4,7 @@ Fingerprints at most 3 bits apart share at least 5 of their 8 positional bytes.
 of the first seven (35 lists a fingerprint; any pair sharing five bytes shares one list); within a list the shared positional
 bytes of each pair are tallied, pairs under five go, the rest are verified. Lists over LIST_MOST distinct fingerprints look up
 all neighbours within 3 bits in the list instead, which is linear in the list. Nulls and empty texts have fingerprint zero.
+A row without an id gets its component like any other and is never its smallest id; where all rows of one have none, it is null.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["i"], "f": fingerprints(pdf["t"].tolist()).view(np.int64)})
 
-    fps = written(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(score, "doc_id long, f long"), "fps")
+    fps = written(docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(score, "doc_id string, f long").withColumn("doc_id", F.col("doc_id").cast("long")), "fps")
     one = fps.groupBy("f").agg(F.min("doc_id").alias("low"))
     byte = [F.shiftrightunsigned("f", 8 * p).bitwiseAND(255) for p in range(8)]
     keys = []

@@ -4,7 +4,8 @@ Detected e-mail addresses, phone numbers, IPv4 addresses, payment cards, IBANs,
 names get keyed replacements of the same type and format: every letter stays a letter of its script, case and vowel class, every
 digit a digit, all else stays. The replacement is a keyed bijection on each format (an unbalanced Feistel network on mixed radices),
 so the same entity always has the same surrogate, and distinct ones of a type stay distinct across the corpus. Cards and IPs keep
-their validity; first names move within their gender's list. A check in each text re-keys nothing in practice: it raises if two
+their validity; first names move within their gender's list. The words of a titled name are replaced alike wherever else they
+stand in the same text, unless the text also has them in lower case. A check in each text re-keys nothing in practice: it raises if two
 entities ever meet. Nulls stay null, empty texts stay empty.
 """
 
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.shared import with_texts
+
 #: Letters by class.
 ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 HEX = ["0123456789abcdef"]
@@ -122,9 +125,21 @@ def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, s
             for m in pattern.finditer(text):
                 if all(m.end() <= a or m.start() >= b for a, b, _ in found):
                     found.append((m.start(), m.end(), kind))
+    named = {}
+    for a, b, kind in found:
+        if kind == "name":
+            named |= zip(text[a:b].split(" ")[1:], surrogate(kind, text[a:b], key).split(" ")[1:])
+    named = {w: s for w, s in named.items() if len(w) > 2}
+    if named:
+        common = set(re.findall(r"\b[^\W\d_]+\b", text))
+        again = [re.escape(w) for w in sorted(named, key=len, reverse=True) if w.lower() not in common]
+        for m in re.finditer(rf"(?<![\w'-])(?:{'|'.join(again)})(?![\w'-])", text) if again else ():
+            if all(m.end() <= a or m.start() >= b for a, b, _ in found):
+                found.append((m.start(), m.end(), "named"))
     out, last, places, back = [], 0, [], {}
     for a, b, kind in sorted(found):
-        s = surrogate(kind, text[a:b], key)
+        s = named[text[a:b]] if kind == "named" else surrogate(kind, text[a:b], key)
+        kind = "name" if kind == "named" else kind
         if back.setdefault((kind, s), text[a:b].lower()) != text[a:b].lower():
             raise ValueError("two entities have one surrogate")
         places.append((kind, text[a:b], s))
@@ -141,17 +156,10 @@ def protected(docs: DataFrame, key: bytes = b"docloom", id_col: str = "doc_id",
             done = [replace(t, key) for t in pdf["t"]]
             yield pd.DataFrame({"doc_id": pdf["i"], "n_found": [len(p) for _, p in done], "kinds": [",".join(k for k, *_ in p) for _, p in done], "text": [t for t, _ in done]})
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id long, n_found long, kinds string, text string")
+    out = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id string, n_found long, kinds string, text string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def replaced(docs: DataFrame, key: bytes = b"docloom", text_col: str = "text") -> DataFrame:
     """docs with surrogates in their texts; all other columns as they were."""
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf[pdf.columns[at]] = [replace(t, key)[0] for t in pdf.iloc[:, at]]
-            yield pdf
-
-    return docs.mapInPandas(run, docs.schema)
+    return with_texts(docs, lambda texts: ([replace(t, key)[0] for t in texts], None), text_col)

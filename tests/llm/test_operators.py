@@ -7,8 +7,9 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from docloom.llm import decontam, language, licenses, packing, pages, quality, simhash, surrogates, vectors
+from docloom.llm import decontam, language, licenses, packing, pages, quality, repeats, simhash, surrogates, vectors
 
 NAN = float("nan")
 
@@ -160,14 +161,25 @@ def test_surrogates():
     assert a != b
 
 
-@pytest.mark.parametrize("name", ["language", "simhash", "packing", "quality", "licenses", "surrogates"])
+def test_names_are_replaced_wherever_they_stand():
+    text = "Frau Anna Meyer came. Meyer and Anna left; Meyerson stayed. Herr Rose saw a rose, and Rose again."
+    new, places = surrogates.replace(text, b"k")
+    (_, _, full), (_, _, last), (_, _, first), *_ = places
+    assert [e for _, e, _ in places] == ["Frau Anna Meyer", "Meyer", "Anna", "Herr Rose"]
+    assert full == f"Frau {first} {last}" and "Meyerson" in new and "and Rose again" in new
+
+
+@pytest.mark.parametrize("name", ["language", "simhash", "packing", "quality", "accepted", "licenses", "surrogates", "protected", "decontam", "decontaminate", "repeats", "vectors", "pages"])
 def test_empty_tables(spark, name):
     import public_tokenizers
 
-    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    docs, items = spark.createDataFrame([], "doc_id long, text string, lang string"), spark.createDataFrame([], "item_id long, text string")
     runs = {
         "language": lambda: language.scores(docs), "simhash": lambda: simhash.near_duplicates(docs), "packing": lambda: packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")),
         "quality": lambda: quality.scores(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")), "licenses": lambda: licenses.scans(docs), "surrogates": lambda: surrogates.replaced(docs),
+        "accepted": lambda: quality.accepted(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")), "protected": lambda: surrogates.protected(docs),
+        "decontam": lambda: decontam.contamination(docs, items), "decontaminate": lambda: decontam.decontaminate(docs.withColumn("n_chars", F.lit(0).cast("long")), items), "repeats": lambda: repeats.removed(docs),
+        "vectors": lambda: vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")), "pages": lambda: pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")),
     }
     assert runs[name]().count() == 0
 
@@ -175,8 +187,6 @@ def test_empty_tables(spark, name):
 def test_null_ids_and_repeated_rows(spark):
     import public_tokenizers
 
-    from docloom.llm import repeats
-
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, text, 9), (1, text, 9), (2, text, 8), (None, text, 7)], "doc_id long, text string, g long")
     assert sorted((r.doc_id, r.n_removed) for r in repeats.removed(docs).collect()) == [(1, 0), (1, 0), (2, 30)]
@@ -185,3 +195,17 @@ def test_null_ids_and_repeated_rows(spark):
     assert packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 4
     items = spark.createDataFrame([(7, text), (8, None), (None, text)], "item_id long, text string")
     assert {r.n_items for r in decontam.contamination(docs, items).collect()} == {2}
+
+
+def test_ids_beyond_doubles_and_very_long_texts(spark):
+    import public_tokenizers
+
+    big, long = (1 << 62) + 1, "word " * 200_000
+    docs = spark.createDataFrame([(big, long, 1, "x"), (None, "a b", None, None)], "doc_id long, text string, score long, held_out string")
+    labels, items = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, "q r s")], "item_id long, text string")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for out in (quality.scores(docs, labels), simhash.near_duplicates(docs), packing.pack(docs, ranks), decontam.contamination(docs, items), surrogates.protected(docs), licenses.scans(docs)):
+        assert {r.doc_id for r in out.select("doc_id").collect()} == {big, None}
+    assert {r.doc_id for r in repeats.removed(docs).collect()} == {r.doc_id for r in language.scores(docs).collect()} == {big}
+    assert sorted(map(tuple, surrogates.replaced(docs).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    assert sorted(map(tuple, quality.accepted(docs, labels, 0.0).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)

@@ -59,3 +59,12 @@ def test_null_texts_pass(spark, k):
     docs = spark.createDataFrame([(1, None, "en", "s", None), (2, "plain words of a text", None, None, 3)], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.STAGES[k][1](spark, docs, AT)
     assert out.columns == docs.columns and out.where("text is null").count() == 1
+
+
+def test_rows_without_id_and_repeated_ids(spark):
+    big = (1 << 62) + 1
+    text = "plain words of a text that says one thing after another"
+    docs = spark.createDataFrame([(big, text, "en", "s", 55, 1), (big, text, "en", "s", 55, 1), (big + 1, text, None, None, 55, 2), (None, text, "en", "s", 55, 3)], "doc_id long, text string, lang string, source string, n_chars long, component_id int")
+    out = corpus_pipeline.STAGES[1][1](spark, docs, AT)
+    assert out.columns == docs.columns and {(r.doc_id, r.component_id) for r in out.collect()} == {(big, 1), (None, 3)} and out.count() == 2
+    assert {tuple(r) for r in corpus_pipeline.STAGES[3][1](spark, docs, AT).collect()} == {tuple(r) for r in docs.collect()}
