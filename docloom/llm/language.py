@@ -1,8 +1,9 @@
 """Language-model scoring: a log-bilinear neural model trained in numpy by noise-contrastive estimation.
 
-Counts of tokens, and of neighbouring tokens among the CLASSES commonest (all others are one class), are taken over all training
-texts. The model scores a token by the product of its predecessor's and its own vectors plus a bias; NCE fits it to all counted
-neighbours, in proportion to their counts. One matrix product over all predecessors gives the normalisers, so token
+Counts of tokens are taken over all training texts. The commonest tokens, more of them as the corpus grows, are classes; all others
+are one class. The model scores a token by the product of its predecessor's and its own vectors plus a bias. NCE passes over all
+neighbours of all training texts, in each partition by itself; the weights are then averaged, each row by how often it was
+moved. Matrix products over all predecessors, dealt out in blocks, give the normalisers, so token
 probabilities are exact. A token of the rest has the probability of its class times its share of the unigram mass there,
 unseen tokens together counting as one. Texts end with one end token, which predicts itself nothing beyond. Nulls are empty.
 
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from docloom.llm import words as W
 from docloom.llm.shared import written
 
-CLASSES, RANK, TOP, END = 1000, 24, 400_000, np.uint64(1)
+LEAST, RANK, TOP, END = 8000, 24, 400_000, np.uint64(1)
+BATCH, NOISE, RATE, BLOCK = 8192, 64, 0.1, 1024
 
 
 def tokens(parts: list[bytes]):
@@ -42,36 +44,78 @@ def _classes(h: np.ndarray, top: np.ndarray) -> np.ndarray:
     return np.where(top[at] == h, at + 1, 0)
 
 
-def train(pairs: np.ndarray, epochs: int = 400, batch: int = 4096, noise: int = 64, seed: int = 5) -> dict:
-    """NCE on counted neighbours (predecessor, token); predecessor K is a text's start."""
-    k = pairs.shape[1]
-    rng = np.random.default_rng(seed)
-    unigram = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * k)
-    logq = np.log(unigram * noise)
-    m = {"c": rng.normal(0, 0.1, (k + 1, RANK)), "r": rng.normal(0, 0.1, (k, RANK)), "b": np.log(unigram)}
-    g2 = {x: np.full_like(v, 1e-4) for x, v in m.items()}
-    cum, total = np.cumsum(pairs.ravel()), pairs.sum()
-    cumq = np.cumsum(unigram)
-    for _ in range(epochs if total else 0):
-        cell = np.searchsorted(cum, rng.random(batch) * total, side="right")
-        ctx, tok = cell // k, cell % k
-        neg = np.minimum(np.searchsorted(cumq, rng.random(noise)), k - 1)
-        c = m["c"][ctx]
-        pos = 1 / (1 + np.exp(np.clip((c * m["r"][tok]).sum(1) + m["b"][tok] - logq[tok], -30, 30)))
-        bad = 1 / (1 + np.exp(-np.clip(c @ m["r"][neg].T + m["b"][neg] - logq[neg], -30, 30)))
-        g = {x: np.zeros_like(v) for x, v in m.items()}
-        np.add.at(g["c"], ctx, -pos[:, None] * m["r"][tok] + bad @ m["r"][neg])
-        np.add.at(g["r"], tok, -pos[:, None] * c)
-        np.add.at(g["r"], neg, bad.T @ c)
-        np.add.at(g["b"], tok, -pos)
-        np.add.at(g["b"], neg, bad.sum(0))
-        for x in m:
-            g[x] /= batch
-            g2[x] += g[x] ** 2
-            m[x] -= 0.1 * g[x] / np.sqrt(g2[x])
-    score = m["c"] @ m["r"].T + m["b"]
-    peak = score.max(1)
-    return m | {"z": peak + np.log(np.exp(score - peak[:, None]).sum(1))}
+def _neighbours(h: np.ndarray, t: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of tokens and of their predecessors; the class after the last is a text's start."""
+    c = _classes(h, top)
+    before = np.concatenate([[len(top) + 1], c[:-1]])[: len(c)]
+    before[np.concatenate([[True], t[1:] != t[:-1]])[: len(c)]] = len(top) + 1
+    return c, before
+
+
+def classes(total: int) -> int:
+    """Tokens that the model knows by themselves: as their square grows with the corpus, so do the normalisers' steps."""
+    return max(LEAST, int(4 * total**0.5))
+
+
+def _summed(at: np.ndarray, g: np.ndarray):
+    """Distinct rows in at, and the sums of their gradients."""
+    o = np.argsort(at, kind="stable")
+    u, first = np.unique(at[o], return_index=True)
+    return u, np.add.reduceat(g[o], first, axis=0)
+
+
+def start(n: np.ndarray, seed: int = 5) -> dict:
+    """The model before training, from the counts of the classes; row K of c is a text's start."""
+    k, rng = len(n), np.random.default_rng(seed)
+    draw = lambda rows: rng.normal(0, 0.1, (rows, RANK)).astype(np.float32)
+    return {"c": draw(k + 1), "r": draw(k), "b": np.log((n + 0.5) / (n.sum() + 0.5 * k)).astype(np.float32)}
+
+
+def train(m: dict, chunks, passes: int = 1, seed: int = 5):
+    """NCE over every neighbour (arrays of predecessors and tokens); changes m, and gives how often each row of c and r was moved."""
+    k, rng = len(m["b"]), np.random.default_rng(seed)
+    unigram = np.exp(m["b"].astype(float))
+    logq, cumq = m["b"] + np.float32(np.log(NOISE)), np.cumsum(unigram / unigram.sum())
+    g2 = {x: np.ones_like(v) for x, v in m.items()}
+    moved = {"c": np.zeros(k + 1), "r": np.zeros(k)}
+
+    def move(name, at, g):
+        at, g = _summed(at, g)
+        g2[name][at] += g**2
+        m[name][at] -= np.float32(RATE) * g / np.sqrt(g2[name][at])
+
+    def run(ctxs, toks):
+        o = rng.permutation(len(toks))
+        for a in range(0, len(o), BATCH):
+            ctx, tok = ctxs[o[a : a + BATCH]], toks[o[a : a + BATCH]]
+            neg = np.minimum(np.searchsorted(cumq, rng.random(NOISE)), k - 1)
+            c, r, rn = m["c"][ctx], m["r"][tok], m["r"][neg]
+            pos = 1 / (1 + np.exp(np.clip((c * r).sum(1) + m["b"][tok] - logq[tok], -30, 30)))
+            bad = 1 / (1 + np.exp(-np.clip(c @ rn.T + (m["b"][neg] - logq[neg]), -30, 30)))
+            move("c", ctx, bad @ rn - pos[:, None] * r)
+            move("r", np.concatenate([tok, neg]), np.concatenate([-pos[:, None] * c, bad.T @ c]))
+            move("b", np.concatenate([tok, neg]), np.concatenate([-pos, bad.sum(0)]))
+            moved["c"] += np.bincount(ctx, minlength=k + 1)
+            moved["r"] += np.bincount(tok, minlength=k) + np.bincount(neg, minlength=k) * (len(tok) / NOISE)
+
+    again = []
+    for x in chunks:
+        run(*x)
+        again += [x] if passes > 1 else []
+    for _ in range(passes - 1):
+        for x in again:
+            run(*x)
+    return moved
+
+
+def normalisers(m: dict, c: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all tokens for rows of predecessors."""
+    out = np.empty(len(c), np.float32)
+    for a in range(0, len(c), 256):
+        part = [c[a : a + 256] @ m["r"][i : i + 8192].T + m["b"][i : i + 8192] for i in range(0, len(m["b"]), 8192)]
+        peak = np.max([x.max(1) for x in part], axis=0)
+        out[a : a + 256] = peak + np.log(sum(np.exp(x - peak[:, None]).sum(1) for x in part))
+    return out
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,29 +178,60 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     th, tn = (np.concatenate([np.frombuffer(r[c], k) for r in got] or [np.zeros(0, k)]) for c, k in ((0, "u8"), (1, "i8")))
     o = np.argsort(th)
     th, tn = th[o], tn[o]
-    best = np.sort(np.lexsort([th, -tn])[:CLASSES])
+    best = np.sort(np.lexsort([th, -tn])[: classes(total)])
     top, k = th[best], len(best) + 1
+    m = start(np.concatenate([[max(total - tn[best].sum(), 0)], tn[best]]))
+    passes = int(np.clip(-(-2_000_000 // max(total, 1)), 1, 20))
+    given = spark.sparkContext.broadcast((top, m))
+
+    def fit(batches):
+        """Neighbours of a partition's texts, all of them; sums of moved rows in blocks, weighted by how often each was moved."""
+        top, begun = given.value
+        m = {x: y.copy() for x, y in begun.items()}
+
+        def chunks():
+            for pdf in batches:
+                for _, p in W.slices(pdf["text"].tolist()):
+                    c, before = _neighbours(*tokens(p), top)
+                    yield before, c
+
+        moved = train(m, chunks(), passes)
+        for name, w, x in (("c", moved["c"], m["c"] - begun["c"]), ("r", moved["r"], np.column_stack([m["r"] - begun["r"], m["b"] - begun["b"]]))):
+            at = np.flatnonzero(w)
+            for q in np.unique(at // BLOCK).tolist():
+                i = at[at // BLOCK == q]
+                yield pd.DataFrame({"name": [name], "q": [q], "at": [i.astype("i8").tobytes()], "w": [w[i].tobytes()], "x": [x[i].astype("f4").tobytes()]})
 
-    def neighbours(batches):
-        out = np.zeros((k + 1) * k, np.int64)
+    def merge(pdf):
+        width = RANK + (pdf["name"].iloc[0] == "r")
+        base = int(pdf["q"].iloc[0]) * BLOCK
+        w, x = np.zeros(BLOCK), np.zeros((BLOCK, width))
+        for a, b, y in zip(pdf["at"], pdf["w"], pdf["x"]):
+            i, n = np.frombuffer(a, "i8") - base, np.frombuffer(b)
+            w[i] += n
+            x[i] += n[:, None] * np.frombuffer(y, "f4").reshape(-1, width)
+        i = np.flatnonzero(w)
+        return pdf[["name", "q"]].iloc[:1].assign(at=[(i + base).astype("i8").tobytes()], w=[b""], x=[(x[i] / w[i, None]).astype("f4").tobytes()])
+
+    rows = "name string, q long, at binary, w binary, x binary"
+    for r in learn.mapInPandas(fit, rows).groupBy("name", "q").applyInPandas(merge, rows).collect():
+        at = np.frombuffer(r.at, "i8")
+        x = np.frombuffer(r.x, "f4").reshape(len(at), -1)
+        m[r.name][at] += x[:, :RANK]
+        if r.name == "r":
+            m["b"][at] += x[:, RANK]
+    fitted = spark.sparkContext.broadcast(m)
+
+    def norm(batches):
         for pdf in batches:
-            for _, p in W.slices(pdf["text"].tolist()):
-                h, t = tokens(p)
-                c = _classes(h, top)
-                before = np.concatenate([[k], c[:-1]])
-                before[np.concatenate([[True], t[1:] != t[:-1]])[: len(c)]] = k
-                out += np.bincount(before * k + c, minlength=len(out))
-        at = np.flatnonzero(out)
-        yield pd.DataFrame({"cell": at, "n": out[at]})
-
-    pairs = np.zeros((k + 1) * k, np.int64)
-    cells = learn.mapInPandas(neighbours, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).coalesce(shuffles)
-    for r in cells.mapInPandas(lambda bs: (pd.DataFrame({"c": [x["cell"].to_numpy(np.int64).tobytes()], "n": [x["n"].to_numpy(np.int64).tobytes()]}) for x in bs), "c binary, n binary").collect():
-        pairs[np.frombuffer(r.c, "i8")] += np.frombuffer(r.n, "i8")
-    m = train(pairs.reshape(k + 1, k))
+            for q in pdf["id"].tolist():
+                yield pd.DataFrame({"q": [q], "z": [normalisers(fitted.value, fitted.value["c"][q * BLOCK : (q + 1) * BLOCK]).tobytes()]})
+
+    n = -(-(k + 1) // BLOCK)
+    m["z"] = np.concatenate([np.frombuffer(r.z, "f4") for r in sorted(spark.range(0, n, 1, min(n, 4 * shuffles)).mapInPandas(norm, "q long, z binary").collect(), key=lambda r: r.q)])
     lb = np.log10(total + 0.5 * (v + 1))
     rest = np.log10(max(total + 0.5 * (v + 1) - (tn[best] + 0.5).sum(), 0.5))
-    sent = spark.sparkContext.broadcast((th, tn, top, {x: y.astype(np.float32) for x, y in m.items()}))
+    sent = spark.sparkContext.broadcast((th, tn, top, m))
 
     def score(batches):
         th, tn, top, m = sent.value
@@ -165,9 +240,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             for first, p in W.slices(pdf["text"].tolist()):
                 h, t = tokens(p)
                 n = len(p)
-                c = _classes(h, top)
-                before = np.concatenate([[len(top) + 1], c[:-1]])
-                before[np.concatenate([[True], t[1:] != t[:-1]])[: len(c)]] = len(top) + 1
+                c, before = _neighbours(h, t, top)
                 lp = np.concatenate([((m["c"][before[a : a + 100_000]] * m["r"][c[a : a + 100_000]]).sum(1) + m["b"][c[a : a + 100_000]] - m["z"][before[a : a + 100_000]]).astype(float) for a in range(0, len(c), 100_000)]) / np.log(10)
                 at = np.minimum(np.searchsorted(th, h), max(len(th) - 1, 0))
                 known = th[at] == h if len(th) else np.zeros(len(h), bool)
