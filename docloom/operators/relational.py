@@ -114,6 +114,8 @@ TEXTS = {
     "linear_windows": """SELECT doc_id, count(*) AS windows, sum(least(1400, n - 1200 * k)) AS chars FROM (SELECT doc_id, length(text) AS n, explode(sequence(0, cast(floor((length(text) - 1) / 1200) AS int))) AS k FROM {documents} WHERE length(text) > 0) w GROUP BY doc_id""",
     # C17
     "question_excerpts": """SELECT doc_id, greatest(1800, cast(floor(length(text) / 6) AS int)) AS stride, substring(text, 1, 1800) AS excerpt FROM {documents} WHERE length(text) > 1800""",
+    # C17 in full: an excerpt at every stride
+    "question_excerpts_all": """SELECT doc_id, start_at, substring(text, start_at + 1, 1800) AS excerpt FROM (SELECT doc_id, text, explode(sequence(0, cast(length(text) AS int) - 1801, greatest(1800, cast(floor(length(text) / 6) AS int)))) AS start_at FROM {documents} WHERE length(text) > 1800) e""",
     # C19
     "triple_groups": """SELECT concat('G', cast(1 + cast(floor((k - 1) / 25) AS int) AS $str)) AS label, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k FROM {events}) e GROUP BY cast(floor((k - 1) / 25) AS int)""",
     # S2

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 
 from docloom.llm import language
+from docloom.plans import catalog
 
 
 def test_language_models_words_beyond_the_commonest_thousand(spark):
@@ -28,3 +29,10 @@ def test_language_vocabulary_and_passes_grow():
     assert moved["c"].sum() == len(tok)
     z = language.normalisers(m, m["c"])
     assert np.allclose(np.exp(m["c"] @ m["r"].T + m["b"] - z[:, None]).sum(1), 1, atol=1e-4)
+
+
+def test_excerpts_stand_at_every_stride(spark, tmp_path):
+    rows = [(n, "".join(chr(97 + (i * i + n) % 23) for i in range(n))) for n in (0, 1799, 1800, 1801, 3600, 3601, 10_801, 12_345, 33_047)] + [(-1, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["question_excerpts_all"](spark, str(tmp_path)).collect()}
+    assert got == {(i, a, t[a : a + 1800]) for i, t in rows if t for a in range(0, len(t) - 1800, max(1800, len(t) // 6))}
