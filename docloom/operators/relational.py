@@ -2,6 +2,13 @@
 
 _PROFILE = """SELECT count(*) AS docs, sum($n_words(text)) AS words, avg($n_words(text)) AS avg_words, sum(length(text)) AS chars FROM {documents}"""
 
+#: Passages of 1500 characters by where a name starts; a piece has the character before it and the rest of its last word. Names of two mentions and more.
+_IN_PASSAGES = r"""(SELECT DISTINCT doc_id, k, name FROM (SELECT doc_id, k, explode(regexp_extract_all(piece, ' ([A-ZÀ-Þ][a-zà-ÿ][a-zà-ÿ]+)', 1)) AS name FROM (SELECT doc_id, k,
+        concat(CASE WHEN k = 0 THEN substring(text, 1, 1500) ELSE substring(text, 1500 * k, 1501) END, regexp_extract(substring(text, 1500 * (k + 1) + 1, 1500), '^[a-zà-ÿ]+', 0)) AS piece
+        FROM (SELECT doc_id, text, explode(sequence(0, cast(floor((length(text) - 1) / 1500) AS int))) AS k FROM {documents} WHERE length(text) > 0) w) p) x
+        WHERE name IN (SELECT name FROM {mentions} f GROUP BY name HAVING count(*) >= 2))"""
+_COOCCUR = "(SELECT a.name AS a, b.name AS b, count(*) AS passages FROM " + _IN_PASSAGES + " a JOIN " + _IN_PASSAGES + " b ON a.doc_id = b.doc_id AND a.k = b.k AND a.name < b.name GROUP BY a.name, b.name)"
+
 TEXTS = {
     # Lines that are blank, table-of-contents leaders or page numbers are noise
     "noise_lines": """SELECT doc_id, count(*) AS lines, sum(CASE WHEN trim(line) = '' OR regexp_like(line, '[.][.][.][.]+ *[0-9]+ *$') OR regexp_like(line, '^ *[0-9]+ *$') THEN 1 ELSE 0 END) AS noise
@@ -22,6 +29,9 @@ TEXTS = {
     "label_histogram": "SELECT label, count(*) AS n, round(count(*) / cast(sum(count(*)) OVER () AS double), 6) AS share FROM {embeddings} GROUP BY label",
     # Pairs of lines' words would be too many on whole texts; types of a user's events pair up
     "entity_pairs": """SELECT a, b, count(*) AS passages FROM (SELECT DISTINCT x.event_type AS a, y.event_type AS b, x.user_id FROM (SELECT DISTINCT user_id, event_type FROM {events}) x JOIN (SELECT DISTINCT user_id, event_type FROM {events}) y ON x.user_id = y.user_id AND x.event_type < y.event_type) p GROUP BY a, b""",
+    # A6, J11 on kept names within passages of documents
+    "entity_cooccurrence": "SELECT a, b, passages FROM " + _COOCCUR + " c",
+    "entity_degree": "SELECT entities, pairs, round(2 * pairs / cast(nullif(entities, 0) AS double), 2) AS avg_degree FROM (SELECT count(*) AS pairs FROM " + _COOCCUR + " c) p CROSS JOIN (SELECT count(*) AS entities FROM (SELECT name FROM {mentions} m GROUP BY name HAVING count(*) >= 2) g) e",
     # Reuse of predicates
     "probe_metrics": """SELECT count(*) AS predicates, round(sum(CASE WHEN n >= 2 THEN n ELSE 0 END) / cast(sum(n) AS double), 6) AS reuse, round(avg(CASE WHEN docs >= 2 THEN $one ELSE $zero END), 6) AS crossed FROM (SELECT p_type, count(*) AS n, count(DISTINCT p_brand) AS docs FROM {part} GROUP BY p_type) g""",
     # A22

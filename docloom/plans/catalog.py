@@ -19,7 +19,7 @@ def _texts():
     for name, text in (relational.TEXTS | layout.TEXTS).items():
         ours, theirs = (text.replace("{mentions}", _MENTIONS[d]).replace("{words}", _WORDS[d]) for d in ("spark", "plain"))
         ours = ours.replace(", 'g')", ")").replace("\t", "\\t").replace("' \\t\n", "' \\t\n")
-        theirs = theirs.replace("explode(sequence(", "unnest(generate_series(").replace("regexp_like(", "regexp_matches(").replace("explode(split(", "unnest(string_split(")
+        theirs = theirs.replace("explode(sequence(", "unnest(generate_series(").replace("regexp_like(", "regexp_matches(").replace("explode(split(", "unnest(string_split(").replace("explode(regexp_extract_all(", "unnest(regexp_extract_all(")
         yield name, ours, theirs
 
 
