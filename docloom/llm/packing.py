@@ -9,6 +9,7 @@ rows are packed each.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -20,18 +21,31 @@ CAPACITY, END, GROUP = 1024, 2, 20_000
 _CODER: dict = {}
 
 
-def encode(text: str | None, ranks: str) -> np.ndarray:
-    """Byte-level ids; the same as the JSON file of the vocabulary gives with special strings as ordinary text."""
-    if ranks not in _CODER:
-        import base64
+def _coder(ranks: str):
+    """The coder of the rank file, and the pattern and ids of the added tokens in the JSON file beside it (longest first)."""
+    import base64
+    import json
+
+    import public_tokenizers as P
+    import tiktoken
 
-        import public_tokenizers as P
-        import tiktoken
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(ranks.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={}), cut, added
 
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _CODER[ranks] = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={})
-    return np.array([*_CODER[ranks].encode_ordinary(text or ""), END], "<u4")
+
+def encode(text: str | None, ranks: str) -> np.ndarray:
+    """Byte-level ids, as the JSON file of the vocabulary gives them; its added tokens are one id each wherever they stand."""
+    if ranks not in _CODER:
+        _CODER[ranks] = _coder(ranks)
+    coder, cut, added = _CODER[ranks]
+    ids = []
+    for k, part in enumerate(cut.split(text or "") if cut else [text or ""]):
+        ids += [added[part]] if k % 2 else coder.encode_ordinary(part)
+    return np.array([*ids, END], "<u4")
 
 
 def place(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from docloom.llm import language
+from docloom.llm import language, packing
 from docloom.plans import catalog
 
 
@@ -57,3 +57,15 @@ def test_entity_pairs_in_passages_of_documents(spark, tmp_path):
     assert got == want and len(want) > 10
     (one,) = catalog.QUERIES["entity_degree"](spark, str(tmp_path)).collect()
     assert (one.entities, one.pairs, one.avg_degree) == (len(kept), len(want), round(2 * len(want) / len(kept), 2))
+
+
+def test_packing_gives_the_added_tokens_ids():
+    import public_tokenizers
+    import tokenizers
+
+    whole = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert packing.encode("a <|endoftext|> b", ranks).tolist() == [64, 220, 50256, 275, packing.END]
+    e = "<|endoftext|>"
+    for t in ("", e, e + e, f"x{e}y", f"  {e}\n\n{e}  z", f"é {e[:-1]} {e}'s", "<|endoftext |> a", f"<{e}>", f"a  {e}  b" * 300):
+        assert packing.encode(t, ranks).tolist() == [*whole.encode(t, add_special_tokens=False).ids, packing.END]
