@@ -1,7 +1,7 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences and lines, normalised, and mapped to identifiers of known licence sentences; ordered rules over the
-identifiers then name licences: all of a rule's sentences must follow in order, at most GAP unknown sentences between two of them.
+Known licence sentences are looked for in the words of a text: they begin and end where a sentence or a line does, and may run over
+line ends, comment signs and punctuation in between. The longest counts. Ordered rules over their identifiers then name licences: all of a rule's sentences must follow in order, at most GAP unknown sentences between two of them.
 Rules are tried longest first, and a sentence serves one rule. Nulls and empty texts have none.
 """
 
@@ -62,43 +62,70 @@ RULES = [
     ("CC-BY-{v}", "cc-by-long"), ("CC-BY-SA-{v}", "cc-by-sa-long"), ("CC-BY-NC-{v}", "cc-by-nc-long"), ("Unlicense", "unlicense"), ("LicenseRef-Proprietary", "reserved"),
 ]
 _HINT = re.compile(r"licen[sc]e|permission|redistribution|warrant|free software|unencumbered|rights reserved|spdx|public license", re.I)
-_SPLIT = re.compile(r"(?<=[.;:!?])\s+|\n\s*\n|\n(?=\s*(?:[-*#/]|\d+\.))")
+_STOP = re.compile(r"""[.;:!?]["'”’)\]]*\s""")
+_REMARK = re.compile(r"^[ \t]*(?:dnl|REM)\b", re.M)
 _VERSION = re.compile(r"\b\d+(?:\.\d+)*\b")
+_TOKEN = re.compile(r"\b\d+(?:\.\d+)*\b|[^\W_]+")
 _WORD = re.compile(r"[^\W_]+|\{v\}")
-_JOIN = re.compile(r"(SPDX-License-Identifier:)\s*", re.I)
 _ID = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", re.I)
-_KNOWN = {t: k for k, t in SENTENCES.items()}
+#: What a notice may add to "licensed under the ... license version {v}".
+_TAIL = " the license"
 
 
-def normal(sentence: str) -> tuple[str, str]:
-    """The normalised sentence, and the last version in it."""
-    found = _VERSION.findall(sentence)
-    s = _VERSION.sub("{v}", sentence.lower())
-    return " ".join(_WORD.findall(s)), found[-1] if found else ""
+def _starts() -> dict[str, list[tuple[list[str], str]]]:
+    """By first word, the words of known sentences and their identifiers, longest first."""
+    out: dict = {}
+    for k, t in SENTENCES.items():
+        for x in (t, t + _TAIL) if k.endswith("-by") else (t,):
+            words = _WORD.findall(x)
+            out.setdefault(words[0], []).append((words, k))
+    return {k: sorted(x, key=lambda y: -len(y[0])) for k, x in out.items()}
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences in order; where single lines are known sentences, the lines."""
-    out = []
-    for part in _SPLIT.split(text):
-        lines = part.split("\n")
-        known = len(lines) > 1 and any(normal(x)[0] in _KNOWN for x in lines)
-        out += lines if known else [part]
-    return out
+_STARTS = _starts()
+
+
+def known(text: str) -> list[tuple[int, str, str]]:
+    """Place in the order of sentences, identifier, and last version (or SPDX identifier) of the known sentences."""
+    text = _REMARK.sub("", text)
+    at = list(_TOKEN.finditer(text))
+    raw = [m[0].lower() for m in at]
+    words = ["{v}" if _VERSION.fullmatch(w) else w for w in raw]
+    gaps = [text[a.end() : b.start()] for a, b in zip(at, at[1:])]
+    stop = [bool(_STOP.search(g)) for g in gaps]
+    edge = [True, *(x or "\n" in g for x, g in zip(stop, gaps)), True]
+    unit = [0]
+    for x, g in zip(stop, gaps):
+        unit.append(unit[-1] + (x or g.count("\n") > 1))
+    spdx = {m.start(): (m.end(), m[1]) for m in _ID.finditer(text)}
+    seq, i, place, last = [], 0, 0, 0
+    while i < len(words):
+        hit = None
+        if at[i].start() in spdx:
+            end, name = spdx[at[i].start()]
+            n = i + 1
+            while n < len(at) and at[n].start() < end:
+                n += 1
+            hit = n, "spdx", name
+        elif edge[i]:
+            for want, k in _STARTS.get(words[i], ()):
+                n = i + len(want)
+                if n <= len(words) and edge[n] and words[i:n] == want:
+                    hit = n, k, next((v for w, v in zip(reversed(want), reversed(raw[i:n])) if w == "{v}"), "")
+                    break
+        if hit:
+            place += max(unit[i] - last, 1)
+            seq.append((place, hit[1], hit[2]))
+            last = unit[hit[0] - 1]
+        i = hit[0] if hit else i + 1
+    return seq
 
 
 def scan(text: str | None) -> tuple[list[str], list[str]]:
     """Licences in order of their first sentence, and the identifiers of known sentences in order."""
     if not text or not _HINT.search(text):
         return [], []
-    seq = []
-    for k, s in enumerate(sentences(_JOIN.sub(r"\1", text))):
-        if m := _ID.search(s):
-            seq.append((k, "spdx", m[1]))
-            continue
-        n, v = normal(s)
-        if n in _KNOWN:
-            seq.append((k, _KNOWN[n], v))
+    seq = known(text)
     used, found = set(), []
     for name, rule in sorted(RULES, key=lambda r: -r[1].count(" ")):
         ids = rule.split()

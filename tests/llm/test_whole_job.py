@@ -5,8 +5,9 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
-from docloom.llm import language, packing
+from docloom.llm import language, licenses, packing
 from docloom.plans import catalog
 
 
@@ -69,3 +70,72 @@ def test_packing_gives_the_added_tokens_ids():
     e = "<|endoftext|>"
     for t in ("", e, e + e, f"x{e}y", f"  {e}\n\n{e}  z", f"é {e[:-1]} {e}'s", "<|endoftext |> a", f"<{e}>", f"a  {e}  b" * 300):
         assert packing.encode(t, ranks).tolist() == [*whole.encode(t, add_special_tokens=False).ids, packing.END]
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+NOTICES = [
+    (APACHE, "Apache-2.0", "apache-by,apache-you-may-not,apache-copy,apache-as-is,apache-see"), (GPL, "GPL-3.0-or-later", "gpl-free,gpl-no-warranty"), (MPL, "MPL-2.0", "mpl-terms"),
+    (MIT, "MIT", "mit-grant,mit-notice,mit-as-is"), (BSD, "BSD-3-Clause", "bsd-grant,bsd-source,bsd-binary,bsd-endorse"), (ISC, "ISC", "isc-grant"),
+]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- ", ";; ", "dnl "])
+def test_licences_of_whole_notices_inside_comments(mark):
+    for text, name, ids in NOTICES:
+        body = "\n".join(mark + x for x in ["Copyright 2020 Some One", "", *text.split("\n"), ""])
+        got = licenses.scan(("/*\n" if mark == " * " else "") + body + ("\n */" if mark == " * " else "") + "\nint main() { return 0; }")
+        assert got == ([name], ids.split(",")), (mark, name)
+
+
+def test_licences_stand_at_edges_of_sentences_or_lines():
+    assert licenses.scan("It is not licensed under the MIT license here") == ([], [])
+    assert licenses.scan("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC")[0] == ["MIT", "ISC"]
