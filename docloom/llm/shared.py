@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,20 @@ def with_texts(docs: DataFrame, change, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, root) of a spanning forest of the links a-b among nodes 0..n-1; a root is its tree's smallest node."""
+    low = np.arange(n)
+    while len(a):
+        x, y = low[a], low[b]
+        if (x == y).all():
+            break
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+    node = np.flatnonzero(low != np.arange(n))
+    return node, low[node]
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) for undirected edges (a, b) of longs; component is the smallest node reachable.
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import components, written
+from docloom.llm.shared import components, forest, written
 
 BITS, SHARED, LIST_MOST = 3, 5, 3000
 

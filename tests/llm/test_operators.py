@@ -130,6 +130,34 @@ def test_vectors_against_all_pairs(spark):
     assert all((got[b[0]].n_links, got[b[0]].component_id, got[b[0]].kept) == (0, b[0], True) for b in bad)
 
 
+def test_vectors_without_id_and_with_repeated_ids(spark):
+    a, b, lone = [1.0, 0.0, 0.1], [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(None, a, 1, 5, "x"), (7, b, 1, 5, "x"), (7, None, 1, 5, "x"), (9, lone, 1, 5, "x"), (9, a, 1, 5, "x"), (9, a, 1, 5, "x"), (None, lone, 2, 5, "x"), (None, None, 2, 5, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, component_id int, kept string")
+    got = sorted(map(tuple, vectors.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 3, 7, False), (7, 3, 7, True), (7, 0, 7, True), (9, 0, 9, True), (9, 3, 7, False), (9, 3, 7, False), (None, 0, None, True), (None, 0, None, True)], key=str)
+
+
+def test_vector_passes_grow_and_windows_cross_partitions(spark, monkeypatch):
+    assert vectors.passes(1000, 0.93) == vectors.LEAST_PASSES < vectors.passes(10**6, 0.93) < vectors.passes(10**8, 0.93)
+    monkeypatch.setattr(vectors, "LEAST_PASSES", 1)
+    monkeypatch.setattr(vectors, "passes", lambda *_: 1)
+    rng = np.random.default_rng(5)
+    x = np.cumsum(rng.normal(size=(40, 6)) * 0.04, axis=0) + 1
+    rows = [(i, [float(y) for y in v], 1) for i, v in enumerate(x)]
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        got = {r.vec_id: r.component_id for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    u = vectors.unit(x)
+    a, b = simhash.forest(*np.nonzero(np.triu(u @ u.T >= 0.93, 1)), len(x))
+    want = np.arange(len(x))
+    want[a] = b
+    r = np.random.default_rng(1000).normal(size=(6, vectors.BITS))
+    assert got == dict(enumerate(want.tolist())) and len({tuple(k) for k in (u @ r > 0).tolist()}) > 2
+
+
 def test_pages():
     model = pages.train()
     page = '<!DOCTYPE html><head><title>t</title></head><body><nav><ul><li>Home<li>About</ul></nav><div class="cookie">We use cookies</div><main><article><h1>A &amp; B</h1><p>First  line<br>of the text with words<p>Second <b>bold</b> text that is longer than the first<script>x="</p>"</script></article></main><section class="comments"><p>Nice post I like it</p></section><form><input><p>Subscribe</p></form><aside>Related</aside><footer>&copy; me</footer></body>'
