@@ -6,6 +6,10 @@ so a passage of a third of all texts costs a few bytes a batch; anchors found in
 Windows around hits are then compared whole by 96-bit hashes, again one entry per batch and hash: the smallest text that starts
 it. Every covered word goes, and touching windows together form the maximal repeats. Judged on the input; the smallest doc_id
 keeps its words; repeats within one text stay. Texts of fewer than 13 words keep all. Nulls have no words.
+
+Every row comes back once. Rows that repeat an id are parts of one document: windows don't cross them, and what goes from one goes
+from the others. A row without an id has no smaller one beside it: it keeps its words, and takes none from others. Texts are dealt
+into groups of about GROUP_BYTES, counted beforehand, so that a group fits a worker at any size of the corpus.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from docloom.llm import words as W
 from docloom.llm.shared import released, written
 
-WINDOW, BLOCK = 13, 7
+WINDOW, GROUP_BYTES, SLICE = 13, 64 << 20, 2 << 20
 
 
 def _tokens(parts):
@@ -91,6 +95,17 @@ def _hits(own, pos, groups):
         yield k, _pack(own[i], True), _pack(pos[i], True)
 
 
+def _parts(ids: np.ndarray, texts: list) -> list[tuple[int, int, bytes]]:
+    """(id, words of the id's rows before, bytes) of distinct rows, in an order that is the same wherever an id's rows meet."""
+    rows = sorted({(d, t.encode() if t else b"") for d, t in zip(ids.tolist(), texts)})
+    out = [(d, 0, b) for d, b in rows]
+    for k in range(1, len(out)):
+        d, n, b = out[k - 1]
+        if out[k][0] == d:
+            out[k] = d, n + len(b.split()), out[k][2]
+    return out
+
+
 def _places(pdf) -> dict:
     """Places by text, of rows of hits."""
     own, pos = _unpack(pdf["docs"], "i8", True), _unpack(pdf["at"], "i4", True)
@@ -101,17 +116,20 @@ def _places(pdf) -> dict:
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (text) per row; rows of one id are one document, rows without id are left out."""
+    """doc_id, n_words, n_removed, kept_sha256, kept (text) for every row."""
     spark = docs.sparkSession
     block = (window + 1) // 2
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, groups = 2 * parts, parts
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = rows.where("doc_id is not null")
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
+    buckets = 2 * groups
+    slice_bytes = min(max(SLICE, SLICE * groups // 512), 8 * SLICE)
 
     def probe(batches):
         for pdf in batches:
             ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
-            for first, p in W.slices(texts):
+            for first, p in W.slices(texts, slice_bytes):
                 data, s, e, t = _tokens(p)
                 h, at, own = _grams(W.hashes(data, s, e), t, block)
                 edge = np.searchsorted(t, np.arange(len(p) + 1))
@@ -160,8 +178,16 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     def windows(_, left, right):
         rows, at = [], _places(right)
         left = left[left["doc_id"].isin(list(at))]
-        ids = left["doc_id"].to_numpy()
-        for first, p in W.slices(left["text"].tolist()):
+        own_parts = _parts(left["doc_id"].to_numpy(), left["text"].tolist())
+        ids, before = np.array([d for d, *_ in own_parts], np.int64), np.array([n for _, n, _ in own_parts], np.int64)
+        several = set(ids[1:][ids[1:] == ids[:-1]].tolist())
+        seen_of: dict[int, list] = {d: [] for d in several}
+        for d, _, b in own_parts:
+            if d in several:  # an anchor of one row marks all rows of its id
+                h7 = _grams(W.hashes(*_tokens([b])[:3]), _tokens([b])[3], block)[0]
+                q = at[d]
+                seen_of[d].append(h7[q[q < len(h7)]])
+        for first, p in W.slices([b for *_, b in own_parts], slice_bytes):
             data, s, e, t = _tokens(p)
             wh = W.hashes(data, s, e)
             h7, at7, own7 = _grams(wh, t, block)
@@ -169,10 +195,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             mark = np.zeros(len(wh) + 1, bool)
             for k in range(len(p)):
                 a, b = np.searchsorted(at7, edge[k]), np.searchsorted(at7, edge[k + 1])
-                seen = h7[a:b]
-                q = at[ids[first + k]]
+                seen, d = h7[a:b], int(ids[first + k])
+                q = at[d]
                 if len(seen):
-                    mark[at7[a:b][np.isin(seen, seen[q[q < len(seen)]])]] = True
+                    mark[at7[a:b][np.isin(seen, np.concatenate(seen_of[d]) if d in several else seen[q[q < len(seen)]])]] = True
             h, w, own = _grams(wh, t, window)
             h2 = _grams(W.hashes(data, s, e, 1), t, window)[0]
             total = np.concatenate([[0], np.cumsum(mark)])
@@ -181,7 +207,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             o, run, num = _groups(h ^ W.mix(h2))
             if not len(o):
                 continue
-            dd, pp = ids[first + own][o], (w - edge[own])[o]
+            dd, pp = ids[first + own][o], (w - edge[own] + before[first + own])[o]
             low = np.minimum.reduceat(dd, run)
             sure = dd > low[num]
             rows += [[x[0] % buckets, b"", b"", b"", b"", *x] for x in _hits(dd[sure], pp[sure], groups)]
@@ -207,24 +233,37 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     released(spark)
 
     def keep(_, left, right):
-        at, rows = _places(right), []
-        for d, text in zip(left["doc_id"].tolist(), left["text"].tolist()):
-            b = (text or "").encode()
-            ws, gone = b.split(), 0
+        """Windows of an id's rows whose hashes stand at the places found; their words go from each of the rows."""
+        at, out = _places(right), []
+        gone: dict[int, list] = {}
+        for d, before, b in _parts(left["doc_id"].to_numpy(), left["text"].tolist()):
             if d in at:
                 data, s, e, t = _tokens([b])
                 h = W.rolling(W.hashes(data, s, e), window)
-                starts = np.flatnonzero(np.isin(h, h[at[d]]))
-                mark = np.zeros(len(ws) + 1, np.int64)
+                q = at[d] - before
+                gone.setdefault(d, []).append(h[q[(q >= 0) & (q < len(h))]])
+        for d, text in zip(left["doc_id"].tolist(), left["text"].tolist()):
+            b = (text or "").encode()
+            ws, n_gone = b.split(), 0
+            n = len(ws)
+            if d in gone:
+                data, s, e, t = _tokens([b])
+                starts = np.flatnonzero(np.isin(W.rolling(W.hashes(data, s, e), window), np.concatenate(gone[d])))
+                mark = np.zeros(n + 1, np.int64)
                 np.add.at(mark, starts, 1)
                 np.add.at(mark, starts + window, -1)
                 cover = np.cumsum(mark)[:-1] > 0
-                gone = int(cover.sum())
-                n, ws = len(ws), [w for w, c in zip(ws, cover.tolist()) if not c]
-            else:
-                n = len(ws)
-            kept = b" ".join(ws)
-            rows.append((d, n, gone, hashlib.sha256(kept).hexdigest(), kept.decode()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return dealt.groupBy("g").cogroup(covered.groupBy("g")).applyInPandas(lambda k, a, b: keep(k, a, b), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+                n_gone = int(cover.sum())
+                ws = [w for w, c in zip(ws, cover.tolist()) if not c]
+            out.append((d, n, n_gone, hashlib.sha256(b" ".join(ws)).hexdigest(), b" ".join(ws).decode()))
+        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    def whole(batches):
+        for pdf in batches:
+            kept = [(t or "").encode().split() for t in pdf["text"]]
+            yield pd.DataFrame([(len(w), hashlib.sha256(b" ".join(w)).hexdigest(), b" ".join(w).decode()) for w in kept], columns=["n_words", "kept_sha256", "kept"])
+
+    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    named = dealt.groupBy("g").cogroup(covered.groupBy("g")).applyInPandas(lambda k, a, b: keep(k, a, b), kind)
+    unnamed = rows.where("doc_id is null").mapInPandas(whole, "n_words long, kept_sha256 string, kept string")
+    return named.unionAll(unnamed.select(F.lit(None).cast("long"), "n_words", F.lit(0).cast("long"), "kept_sha256", "kept"))

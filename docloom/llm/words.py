@@ -73,7 +73,7 @@ def slices(texts: list, most: int = 2_000_000):
     """Lists of (first, bytes list) of at most about `most` bytes; a longer text stands alone; null is empty."""
     out, size, first = [], 0, 0
     for i, t in enumerate(texts):
-        b = t.encode() if t else b""
+        b = t if isinstance(t, bytes) else t.encode() if t else b""
         if out and size + len(b) > most:
             yield first, out
             out, size, first = [], 0, i

@@ -1,24 +1,32 @@
 import hashlib
 import random
 
+import pytest
+
 from docloom.llm import repeats
 
 
 def brute(rows, n=13):
-    words = {i: (t or "").encode().split() for i, t in rows}
+    """(id, n_words, n_removed, hash) of every row, sorted."""
+    rows = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}
-    for i in sorted(words):
-        for k in range(len(words[i]) - n + 1):
-            first.setdefault(tuple(words[i][k : k + n]), i)
-    out = {}
-    for i, w in words.items():
+    for i, w in rows:
+        for k in range(len(w) - n + 1):
+            if i is not None:
+                first[tuple(w[k : k + n])] = min(first.get(tuple(w[k : k + n]), i), i)
+    out = []
+    for i, w in rows:
         gone = set()
         for k in range(len(w) - n + 1):
-            if first[tuple(w[k : k + n])] < i:
+            if i is not None and first[tuple(w[k : k + n])] < i:
                 gone |= set(range(k, k + n))
         kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
-        out[i] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
-    return out
+        out.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def found(df):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in repeats.removed(df).collect()), key=str)
 
 
 def test_matches_brute_force(spark):
@@ -35,8 +43,22 @@ def test_matches_brute_force(spark):
         rows.append((i, " ".join(w)))
     rows += [(200 + i, rows[10][1]) for i in range(5)]
     df = spark.createDataFrame([(i, t, "kept") for i, t in rows], "doc_id long, text string, kept string")
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.removed(df).collect()}
-    assert got == brute(rows)
+    assert found(df) == brute(rows)
+
+
+@pytest.mark.parametrize("size", [200, repeats.GROUP_BYTES])
+def test_repeated_and_missing_ids(spark, monkeypatch, size):
+    monkeypatch.setattr(repeats, "GROUP_BYTES", size)
+    rng = random.Random(4)
+    passages = [[f"p{k}_{j}" for j in range(30)] for k in range(6)]
+    rows = [(2, " ".join(passages[0] + passages[1] + ["x"] * 10)), (2, "short"), (2, " ".join(["y"] * 20 + passages[1])), (2, None)]
+    for i in range(120):
+        w = [f"n{rng.randrange(9999)}" for _ in range(rng.randrange(0, 40))]
+        for _ in range(rng.randrange(0, 3)):
+            w += rng.choice(passages)[rng.randrange(0, 10) :]
+        rows.append((rng.choice([None, *range(1, 40)]), " ".join(w)))
+    rows += rows[3:30]
+    assert found(spark.createDataFrame([(*r, 0, "g") for r in rows], "doc_id long, text string, n_words int, g string")) == brute(rows)
 
 
 def test_empty_table(spark):
