@@ -11,12 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir; a temporary folder only on one machine where it is unset, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="docloom")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -38,23 +41,26 @@ def released(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def with_texts(docs: DataFrame, change, text_col: str = "text") -> DataFrame:
+def with_texts(docs: DataFrame, change, text_col: str = "text", extra: bool = False) -> DataFrame:
     """docs with texts changed or rows dropped; all other columns pass as Arrow, so that no null or 64-bit integer is altered.
 
-    change(texts) gives (new texts, or None to leave them; a list of booleans that keep a row, or None).
+    change(texts) gives (new texts, or None to leave them; a list of booleans that keep a row, or None). With `extra` the last
+    column is given to change beside the texts, and goes.
     """
-    at = docs.columns.index(text_col)
+    at, schema = docs.columns.index(text_col), StructType(docs.schema.fields[:-1]) if extra else docs.schema
 
     def run(batches):
         for b in batches:
-            new, keep = change(b.column(at).to_pylist())
+            new, keep = change(b.column(at).to_pylist(), *([b.column(b.num_columns - 1).to_pylist()] if extra else []))
+            if extra:
+                b = pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1]))
             if new is not None:
                 columns = b.columns
                 columns[at] = pa.array(new, b.schema.field(at).type)
                 b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
             yield b if keep is None else b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
