@@ -24,7 +24,7 @@ def op3_quality(spark, at):
 
 
 def op4_simhash(spark, at):
-    return simhash.near_duplicates(_table(spark, at, "documents"))
+    return simhash.near_duplicates(_table(spark, at, "documents")).drop("text_hash", "part")
 
 
 def op5_decontamination(spark, at):
