@@ -1,10 +1,10 @@
 """Best-fit packing by sum of squares.
 
 Only a document's first piece may be shorter than the capacity; all others fill a sequence. Short pieces are dealt into groups
-of about GROUP documents by a hash of the id and the piece; each group takes its pieces from the longest, and places each in the open bin,
-among those it fits, whose choice makes the sum over gaps of squared counts of open bins smallest (ties: the smaller gap left);
-a bin is opened where none fits. Null text is empty, and an empty text is its end token alone. Rows without an id and repeated
-rows are packed each.
+of about GROUP documents by a hash of the id, the piece and how often a task met it before; each group takes its pieces from the
+longest, and places each in the open bin, among those it fits, whose choice makes the sum over gaps of squared counts of open bins
+smallest (ties: the smaller gap left); a bin is opened where none fits. Null text is empty, and an empty text is its end token
+alone. Rows without an id and repeated rows are packed each; however many alike there are, they are dealt over all groups.
 """
 
 from __future__ import annotations
@@ -55,9 +55,10 @@ def place(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.n
     where, offset, n = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), 0
     for i in np.argsort(-sizes, kind="stable").tolist():
         s = int(sizes[i])
-        left = count[: capacity + 1 - s].copy()
-        left[0] = -1  # a full bin is no longer open: nothing is added to the sum
-        cost = np.where(count[s:] > 0, left - count[s:], 1 << 60)
+        # the sum grows by 2 (count of the gap left - count of the gap taken) + 2, and by one less where the bin is filled
+        grown = 2 * (count[: capacity + 1 - s] - count[s:])
+        grown[0] -= 1
+        cost = np.where(count[s:] > 0, grown, 1 << 60)
         g = int(np.argmin(cost)) + s
         if count[g]:
             b = bins[g].pop()
@@ -76,6 +77,7 @@ def pack(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "t
     groups = max(1, docs.count() // GROUP)
 
     def cut(batches):
+        met: dict[int, int] = {}
         for pdf in batches:
             rows = []
             for i, t in zip(pdf["i"].tolist(), pdf["t"].tolist()):
@@ -83,14 +85,17 @@ def pack(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "t
                 first = len(ids) % capacity or capacity
                 for k, s in enumerate([0, *range(first, len(ids), capacity)]):
                     part = ids[s : first if not k else s + capacity]
-                    rows.append((i, k, s, len(part), zlib.crc32(part.tobytes())))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    crc = zlib.crc32(part.tobytes())
+                    what = zlib.crc32(f"{i}/{k}".encode(), crc)
+                    met[what] = again = met.get(what, -1) + 1
+                    rows.append((i, k, s, len(part), crc, again))
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "again"])
 
     def fill(pdf):
         pdf = pdf.sort_values(["doc_id", "ids_crc32", "piece"], ignore_index=True)
         b, o = place(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=b + pdf["g"].to_numpy().astype("int64") * (1 << 40), offset=o).drop(columns="g")
+        return pdf.assign(sequence_id=b + pdf["g"].to_numpy().astype("int64") * (1 << 40), offset=o).drop(columns=["g", "again"])
 
     kind = "doc_id string, piece int, start long, length long, ids_crc32 long"
-    pieces = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(cut, kind).withColumn("g", F.pmod(F.xxhash64("doc_id", "length", "ids_crc32"), F.lit(groups)))
+    pieces = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(cut, kind + ", again long").withColumn("g", F.pmod(F.xxhash64("doc_id", "length", "ids_crc32", "again"), F.lit(groups)))
     return pieces.groupBy("g").applyInPandas(fill, kind + ", sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -1,8 +1,10 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata of the text itself.
 
-score = sigmoid(w0 + x.w + 1/2 sum_f ((x.V)_f^2 - (x^2).(V^2)_f)), linear in the number of features. It is fitted on at most
-`sample` labelled rows, taken by a hash of the id; null labels are left out, null texts are empty. Without labels: 0.5. Rows
-without an id are scored like any other and held out from learning; repeated rows are scored each.
+score = sigmoid(w0 + x.w + 1/2 sum_f ((x.V)_f^2 - (x^2).(V^2)_f)), linear in the number of features. Structure statistics are
+shares of kinds of characters, distinct and repeated words and line ends; metadata are the numbers of words and of bytes a word.
+It is fitted on at most `sample` labelled documents, taken by a hash of the id; null labels are left out, null texts are empty.
+Of several labels of one id the highest counts; of several texts of one id the least in order is learnt from. Without labels:
+0.5. Rows without an id are scored like any other and held out from learning; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -89,7 +91,9 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         for pdf in batches:
             yield pd.DataFrame({"x": [r.tobytes() for r in features(pdf["text"].tolist()).astype(np.float16)], "y": pdf["quality"]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "quality").mapInPandas(numbers, "x binary, y int").collect()
+    # one text of an id: what is collected is bounded by the sample
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = texts.select("text", "quality").mapInPandas(numbers, "x binary, y int").collect()
     x = np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32).reshape(-1, DIM + N_STATS)
     return fit(x, np.array([r.y for r in rows], np.float32))
 

@@ -59,12 +59,43 @@ def test_simhash_against_all_pairs(spark):
     assert got == {i: (prints[i], low[i]) for i in prints}
 
 
-def test_simhash_long_list_lookup(monkeypatch):
-    f = np.random.default_rng(1).integers(0, 1 << 20, 200).astype(np.uint64)
-    f = np.unique(f & np.uint64(0x3FFF))
-    few = {frozenset(p) for p in simhash._links(f)}
-    monkeypatch.setattr(simhash, "LIST_MOST", 1)
-    assert {frozenset(p) for p in simhash._links(f)} == few
+@pytest.mark.parametrize("most,shared,lead,words,short", [(3, 5, 2, 1, 64), (3, 5, 2, 1, 4), (5, 3, 1, 1, 4), (5, 3, 1, 3, 4), (5, 3, 2, 2, 64)])
+def test_simhash_index_misses_no_pair(monkeypatch, most, shared, lead, words, short):
+    monkeypatch.setattr(simhash, "SHORT", short)
+    rng = np.random.default_rng(1)
+    f = rng.integers(0, 1 << 63, (40, words)).astype(np.uint64).repeat(8, 0)
+    for i in range(len(f)):
+        for _ in range(i % 8):
+            f[i, rng.integers(words)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+    f = np.unique(f, axis=0)
+    choices, rows = simhash._choices(shared, lead), []
+    b = f.astype(">u8").view(np.uint8).reshape(len(f), -1)
+    for n, (w, c) in enumerate((w, c) for w in range(words) for c in choices):
+        rows += [((n, *b[i, [8 * w + p for p in c]].tolist()), i) for i in range(len(f))]
+    number = {k: i for i, k in enumerate(sorted({k for k, _ in rows}))}
+    at = np.array([i for _, i in rows])
+    x, y = simhash._refined(np.array([k[0] for k, _ in rows]), np.array([number[k] for k, _ in rows]), f[at], shared, lead, most)
+    a, r = simhash.forest(at[x], at[y], len(f))
+    near = np.bitwise_count(f[:, None] ^ f[None]).sum(2) <= most
+    near &= ((b[:, None] == b[None]).reshape(len(f), len(f), words, 8).sum(3) >= shared).any(2)
+    want = simhash.forest(*np.nonzero(np.triu(near, 1)), len(f))
+    assert dict(zip(a.tolist(), r.tolist())) == dict(zip(*(z.tolist() for z in want))) and len(a) > 100
+    if (most, shared) == (3, 5):
+        assert (near == (np.bitwise_count(f[:, None] ^ f[None]).sum(2) <= most)).all()
+
+
+def test_simhash_of_five_words_finds_jaccard_of_eight_tenths(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(150):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows.append((2 * k, " ".join(w)))
+        for x in rng.choice(200, 3, replace=False):
+            w[x] = f"other{x}"
+        rows.append((2 * k + 1, " ".join(w)))
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, words=4, most=48, shared=3, lead=1).collect()
+    low = {r.doc_id: r.component_id for r in out}
+    assert sum(low[2 * k + 1] == 2 * k for k in range(150)) >= 135 and all(low[2 * k] == 2 * k for k in range(150))
 
 
 def test_decontamination_against_windows():
@@ -87,6 +118,20 @@ def test_decontamination_against_windows():
         assert (n, hit, found) == (len(w), len(cover), ids)
 
 
+def test_decontamination_over_several_passes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    word = lambda: f"w{rng.integers(9)}"
+    items = [(i // 2, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 3, 8, 9, 20, 20, 30, 12, 2])] + [(None, "no id at all"), (7, None)]
+    docs = [(i, " ".join(word() for _ in range(60)) if i % 3 else "plain text, no id at all " * (i % 5), 5, 1, "s") for i in range(40)] + [(None, None, 0, 1, None), (3, "", 0, 1, "")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string, n_chars long, n_hit int, spans string"), spark.createDataFrame(items, "item_id long, text string")
+    one = [sorted(map(repr, x.collect())) for x in (decontam.contamination(d, i), decontam.decontaminate(d, i))]
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 10)
+    monkeypatch.setattr(decontam, "PASS_WORDS", 25)
+    many = [sorted(map(repr, x.collect())) for x in (decontam.contamination(d, i), decontam.decontaminate(d, i))]
+    assert one == many and len(list(decontam.loads(i, "item_id", "text", 8))) > 2
+    assert all(r.n_hit and not r.n_items for r in decontam.contamination(d, i).collect() if r.doc_id and r.doc_id % 15 == 3 and r.n_words > 5)
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
 
@@ -107,6 +152,40 @@ def test_packing_round_trip(spark):
         assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in ps)
 
 
+def test_packing_fills_bins_and_deals_equal_rows(spark, monkeypatch):
+    import public_tokenizers
+
+    sizes = np.random.default_rng(3).integers(1, 700, 4000)
+    where, offset = packing.place(sizes)
+    load = np.bincount(where, sizes)
+    assert load.max() <= packing.CAPACITY and len(load) <= 1.01 * -(-sizes.sum() // packing.CAPACITY)
+    best = []
+    for s in sorted(sizes[:300].tolist(), reverse=True):  # the same rule, by trying each open bin
+        gaps = collections.Counter(g for g in best if g)
+        cost = {g: sum(n * n for n in (gaps - collections.Counter([g]) + collections.Counter([g - s] if g > s else [])).values()) for g in gaps if g >= s}
+        g = min(cost, key=lambda g: (cost[g], g)) if cost else packing.CAPACITY
+        best.remove(g) if cost else None
+        best.append(g - s)
+    assert sorted(best) == sorted((packing.CAPACITY - np.bincount(packing.place(sizes[:300])[0], sizes[:300])).astype(int).tolist())
+    monkeypatch.setattr(packing, "GROUP", 50)
+    out = packing.pack(spark.createDataFrame([(None, None, 1, 2)] * 1000, "doc_id long, text string, g int, again int"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    assert len(out) == 1000 and max(collections.Counter(r.sequence_id >> 40 for r in out).values()) < 300
+
+
+def test_quality_machine_against_all_pairs():
+    rng = np.random.default_rng(2)
+    x, m = rng.normal(size=(5, 9)), {"w0": np.array([0.3]), "w": rng.normal(size=9), "v": rng.normal(size=(9, 4))}
+    for row, got in zip(x, quality.machine(x, m)):
+        z = 0.3 + sum(row * m["w"]) + sum(m["v"][i] @ m["v"][j] * row[i] * row[j] for i in range(9) for j in range(i))
+        assert got == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_quality_collects_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i} of many", 1) for i in range(400)], "doc_id long, text string, quality int")
+    labels = spark.createDataFrame([(i, q, 0) for i in range(4) for q in (0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.scores(docs, labels).count() == 400
+
+
 def test_quality_learns_and_handles_nulls(spark):
     docs = [(i, ("BUY!! NOW!! " if i % 4 == 0 else "plain words of a text ") * (3 + i % 5)) for i in range(200)] + [(200, None), (201, "")]
     labels = [(i, int(i % 4 != 0), 0) for i in range(200)] + [(None, 1, 0), (5, None, 0)]
@@ -217,12 +296,12 @@ def test_null_ids_and_repeated_rows(spark):
 
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, text, 9), (1, text, 9), (2, text, 8), (None, text, 7)], "doc_id long, text string, g long")
-    assert sorted((r.doc_id, r.n_removed) for r in repeats.removed(docs).collect()) == [(1, 0), (1, 0), (2, 30)]
+    assert sorted(((r.doc_id, r.n_removed) for r in repeats.removed(docs).collect()), key=str) == [(1, 0), (1, 0), (2, 30), (None, 0)]
     assert sorted(r.doc_id for r in language.scores(docs).collect()) == [1, 2]
     assert simhash.near_duplicates(docs).count() == 4 and licenses.scans(docs).count() == 4 and surrogates.protected(docs).count() == 4
     assert packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 4
     items = spark.createDataFrame([(7, text), (8, None), (None, text)], "item_id long, text string")
-    assert {r.n_items for r in decontam.contamination(docs, items).collect()} == {2}
+    assert {(r.n_items, r.n_hit) for r in decontam.contamination(docs, items).collect()} == {(1, 30)}
 
 
 def test_ids_beyond_doubles_and_very_long_texts(spark):
@@ -234,6 +313,6 @@ def test_ids_beyond_doubles_and_very_long_texts(spark):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     for out in (quality.scores(docs, labels), simhash.near_duplicates(docs), packing.pack(docs, ranks), decontam.contamination(docs, items), surrogates.protected(docs), licenses.scans(docs)):
         assert {r.doc_id for r in out.select("doc_id").collect()} == {big, None}
-    assert {r.doc_id for r in repeats.removed(docs).collect()} == {r.doc_id for r in language.scores(docs).collect()} == {big}
+    assert {r.doc_id for r in repeats.removed(docs).collect()} == {big, None} and {r.doc_id for r in language.scores(docs).collect()} == {big}
     assert sorted(map(tuple, surrogates.replaced(docs).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
     assert sorted(map(tuple, quality.accepted(docs, labels, 0.0).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
