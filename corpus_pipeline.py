@@ -1,10 +1,11 @@
 """The corpus pipeline: quality, near-duplicates, benchmark decontamination, PII, packing.
 
 Stages take (spark, docs, sf_dir); all but the last return the columns of documents. A document goes when the classifier scores
-it under 0.5, when it is not the smallest id of its SimHash component, or when benchmark words cover over half of it; benchmark
-passages and personal data are replaced in the texts of the others. Rows of one doc_id are one document to the near-duplicate
-stage; rows without an id can't be named as copies and stay. Null texts stay null, and their score decides like any other's.
-SQL can express no stage in full.
+it under 0.5, when it is not the first of its SimHash component (by id, then text), or when benchmark words cover over half of it;
+benchmark passages and personal data are replaced in the texts of the others. Near-duplicates are judged on five-word shingles: 48
+of the 256 bits of a fingerprint may differ, where the angle between the shingle counts of two texts has a cosine of about 0.83.
+Null texts stay null, and their score decides like any other's; all texts without words are copies of each other. SQL can express
+no stage in full.
 """
 
 from __future__ import annotations
@@ -21,9 +22,7 @@ def _quality(spark, docs, sf_dir):
 
 
 def _near_duplicates(spark, docs, sf_dir):
-    one = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    named = docs.dropDuplicates(["doc_id"]).join(one, "doc_id", "left_semi").select(docs.columns)
-    return named.unionAll(docs.where("doc_id is null").select(docs.columns))
+    return simhash.one_of_each(docs, shingle=5, words=4, most=48, shared=3, lead=1)
 
 
 def _decontaminate(spark, docs, sf_dir):
