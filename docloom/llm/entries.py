@@ -32,7 +32,7 @@ def op5_decontamination(spark, at):
 
 
 def op6_surrogates(spark, at):
-    return surrogates.protected(_table(spark, at, "documents"))
+    return surrogates.protected(_table(spark, at, "documents"), surrogates.session_key(spark))
 
 
 def op7_vectors(spark, at):

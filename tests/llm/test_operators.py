@@ -262,10 +262,52 @@ def test_surrogates():
     assert places[1][2].split(" ")[:1] == ["Frau"] and places[1][2].split(" ")[1] in surrogates.FEMALE
     assert surrogates._luhn(re.sub(r"\D", "", places[3][2])) == 0
     assert surrogates.replace(None, b"k") == (None, []) and surrogates.replace("", b"k") == ("", [])
-    every = {surrogates.permute(i, [5, 21], b"k", "t") for i in range(105)}
-    assert every == set(range(105))
+    assert {surrogates.permute(i, [5, 21], b"k", "t") for i in range(105)} == set(range(105))
+    assert all(surrogates.permute(surrogates.permute(i, [5, 21], b"k", "t"), [5, 21], b"k", "t", True) == i for i in range(105))
+    assert {surrogates.onward(i, [5, 21], b"k", "t") for i in range(105)} == set(range(105)) and all(surrogates.onward(i, [5, 21], b"k", "t") != i for i in range(105))
     a, b = surrogates.replace("a 4111111111111111 b", b"k"), surrogates.replace("a 4111111111111111 b", b"other")
-    assert a != b
+    assert a != b and surrogates.replace("a 4111111111111112 b", b"k")[1] == []
+
+
+def test_surrogates_of_one_entity_and_of_alike_ones():
+    one = lambda t: [s for *_, s in surrogates.replace(t, b"k")[1]]
+    a, b = one("host 10.0.0.1 and 10.0.0.01")
+    assert a == b
+    a, b = one("+1 555 123 4567 and +15551234567")
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and a.startswith("+1 ") and b.startswith("+1")
+    a, b = one("Mr John Smith and Mr Secna Smith")
+    assert a != b and a.split()[1] in surrogates.MALE and b.split()[1] not in surrogates._POOL and a.split()[2] == b.split()[2] != "Smith"
+    a, b, c = one("John Smith wrote to Mary Jones. Smith left.")
+    assert a.split()[0] in surrogates.MALE and b.split()[0] in surrogates.FEMALE and c == a.split()[1]
+    a, b, c = one("born on 12 March 1987; DOB: 1987-03-12; born 03/25/2001; on 1 May 1990")
+    assert a.split()[2] == b[:4] and re.fullmatch(r"\d\d/\d\d/\d{4}", c)
+    assert [k for k, *_ in surrogates.replace("He lives at 12 Oak Hill Road, Hauptstraße 12, 5 rue de la Paix, Calle Mayor 7.", b"k")[1]] == ["address"] * 4
+    (iban,) = one("DE89 3704 0044 0532 0130 00")
+    assert surrogates._iban_check("DE", iban.replace(" ", "")[4:]) == int(iban[2:4]) and one("DE88 3704 0044 0532 0130 00") == []
+    assert re.fullmatch("[А-Я][а-я]+ [А-Я][а-я]+", one("Иван Петров пришёл")[0])
+    assert surrogates.replace("DOB: 31.02.1999", b"k")[1][0][0] == "birth"
+    words = [x for p in surrogates.POOLS.values() for x in p] + [f"{a}{b}{c}" for a in "BCDF" for b in "aeiou" for c in "lmnr"] + ["Al", "Xi", "Bo"]
+    assert len({surrogates.word(w, b"k") for w in words}) == len(words) and all(surrogates.word(w, b"k") != w for w in words)
+
+
+def test_surrogates_stay_distinct_over_a_table(spark):
+    rng = np.random.default_rng(3)
+    what = []
+    for i in range(300):
+        d = "".join(map(str, rng.integers(0, 10, 15)))
+        card = d + str(-surrogates._luhn(d + "0") % 10)
+        what += [("email", f"u{i % 7}{'abc'[i % 3]}@h{i}.example.com"), ("ip", f"10.{i % 4}.0.{i % 250}"), ("card", card), ("ssn", f"{100 + i}-12-3456"), ("phone", f"+1 212 555 {1000 + i}"), ("name", f"Mr {surrogates.MALE[i % 30]} {'BCDFGHJKLM'[i % 10]}{'aeiou'[i % 5]}{'lmnr'[i % 4]}t")]
+    rows = [(i, f"x {e} y", 1) for i, (_, e) in enumerate(what)]
+    got = sorted((r.doc_id, r.kinds, r.text[2:-2]) for r in surrogates.protected(spark.createDataFrame(rows, "doc_id long, text string, kinds int"), b"k").collect())
+    assert all(k == what[i][0] and s != what[i][1] for i, k, s in got)
+    pairs = {(k, surrogates.canonical(k, what[i][1]), surrogates.canonical(k, s)) for i, k, s in got}
+    assert len({p[:2] for p in pairs}) == len({(k, s) for k, _, s in pairs}) == len(pairs)
+
+
+def test_surrogates_move_on_where_two_would_meet(monkeypatch):
+    monkeypatch.setattr(surrogates, "surrogate", lambda kind, entity, key: "5.5.5.5" if key == b"k" else f"6.6.6.{key[0]}")
+    new, places = surrogates.replace("1.1.1.1 2.2.2.2 1.1.1.1", b"k")
+    assert places[0][2] == places[2][2] == "5.5.5.5" != places[1][2]
 
 
 def test_names_are_replaced_wherever_they_stand():
@@ -283,8 +325,8 @@ def test_empty_tables(spark, name):
     docs, items = spark.createDataFrame([], "doc_id long, text string, lang string"), spark.createDataFrame([], "item_id long, text string")
     runs = {
         "language": lambda: language.scores(docs), "simhash": lambda: simhash.near_duplicates(docs), "packing": lambda: packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")),
-        "quality": lambda: quality.scores(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")), "licenses": lambda: licenses.scans(docs), "surrogates": lambda: surrogates.replaced(docs),
-        "accepted": lambda: quality.accepted(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")), "protected": lambda: surrogates.protected(docs),
+        "quality": lambda: quality.scores(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")), "licenses": lambda: licenses.scans(docs), "surrogates": lambda: surrogates.replaced(docs, b"k"),
+        "accepted": lambda: quality.accepted(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")), "protected": lambda: surrogates.protected(docs, b"k"),
         "decontam": lambda: decontam.contamination(docs, items), "decontaminate": lambda: decontam.decontaminate(docs.withColumn("n_chars", F.lit(0).cast("long")), items), "repeats": lambda: repeats.removed(docs),
         "vectors": lambda: vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")), "pages": lambda: pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")),
     }
@@ -298,7 +340,7 @@ def test_null_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, text, 9), (1, text, 9), (2, text, 8), (None, text, 7)], "doc_id long, text string, g long")
     assert sorted(((r.doc_id, r.n_removed) for r in repeats.removed(docs).collect()), key=str) == [(1, 0), (1, 0), (2, 30), (None, 0)]
     assert sorted(r.doc_id for r in language.scores(docs).collect()) == [1, 2]
-    assert simhash.near_duplicates(docs).count() == 4 and licenses.scans(docs).count() == 4 and surrogates.protected(docs).count() == 4
+    assert simhash.near_duplicates(docs).count() == 4 and licenses.scans(docs).count() == 4 and surrogates.protected(docs, b"k").count() == 4
     assert packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 4
     items = spark.createDataFrame([(7, text), (8, None), (None, text)], "item_id long, text string")
     assert {(r.n_items, r.n_hit) for r in decontam.contamination(docs, items).collect()} == {(1, 30)}
@@ -311,8 +353,8 @@ def test_ids_beyond_doubles_and_very_long_texts(spark):
     docs = spark.createDataFrame([(big, long, 1, "x"), (None, "a b", None, None)], "doc_id long, text string, score long, held_out string")
     labels, items = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, "q r s")], "item_id long, text string")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    for out in (quality.scores(docs, labels), simhash.near_duplicates(docs), packing.pack(docs, ranks), decontam.contamination(docs, items), surrogates.protected(docs), licenses.scans(docs)):
+    for out in (quality.scores(docs, labels), simhash.near_duplicates(docs), packing.pack(docs, ranks), decontam.contamination(docs, items), surrogates.protected(docs, b"k"), licenses.scans(docs)):
         assert {r.doc_id for r in out.select("doc_id").collect()} == {big, None}
     assert {r.doc_id for r in repeats.removed(docs).collect()} == {big, None} and {r.doc_id for r in language.scores(docs).collect()} == {big}
-    assert sorted(map(tuple, surrogates.replaced(docs).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    assert sorted(map(tuple, surrogates.replaced(docs, b"k").collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
     assert sorted(map(tuple, quality.accepted(docs, labels, 0.0).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
