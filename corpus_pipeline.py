@@ -30,7 +30,7 @@ def _decontaminate(spark, docs, sf_dir):
 
 
 def _pii(spark, docs, sf_dir):
-    new = surrogates.replaced(docs)
+    new = surrogates.replaced(docs, surrogates.session_key(spark))
     return new.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
