@@ -1,8 +1,10 @@
 """License scans by sentence rules.
 
 Known licence sentences are looked for in the words of a text: they begin and end where a sentence or a line does, and may run over
-line ends, comment signs and punctuation in between. The longest counts. Ordered rules over their identifiers then name licences: all of a rule's sentences must follow in order, at most GAP unknown sentences between two of them.
-Rules are tried longest first, and a sentence serves one rule. Nulls and empty texts have none.
+line ends, comment signs and punctuation in between. The longest counts. Ordered rules over their identifiers then name licences:
+all of a rule's sentences must follow in order, at most GAP unknown sentences between two of them. Rules are tried longest first
+(of equal length: in the order given), and a sentence serves one rule. "All rights reserved" names a licence only in a text without
+another. Nulls and empty texts have none; rows without an id and repeated rows come back each.
 """
 
 from __future__ import annotations
@@ -51,6 +53,34 @@ SENTENCES = {
     "cc-by-nc-long": "this work is licensed under a creative commons attribution noncommercial {v} international license",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "reserved": "all rights reserved",
+    "apache-title": "apache license version {v} january {v}",
+    "mpl-title": "mozilla public license version {v}",
+    "gpl-title": "gnu general public license version {v}",
+    "gpl-2-title": "gnu general public license version {v} june {v}",
+    "gpl-3-title": "gnu general public license version {v} {v} june {v}",
+    "lgpl-title": "gnu lesser general public license version {v}",
+    "lgpl-2-title": "gnu lesser general public license version {v} february {v}",
+    "lgpl-3-title": "gnu lesser general public license version {v} {v} june {v}",
+    "agpl-title": "gnu affero general public license version {v}",
+    "agpl-3-title": "gnu affero general public license version {v} {v} november {v}",
+    "gpl-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version {v} as published by the free software foundation",
+    "gpl-only-long": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version {v} of the license",
+    "gpl-see": "see the gnu general public license for more details",
+    "lgpl-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version {v} of the license or at your option any later version",
+    "lgpl-free-program": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version {v} of the license or at your option any later version",
+    "lgpl-no-warranty": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version {v} of the license or at your option any later version",
+    "bsd-by": "licensed under the bsd {v} clause license",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-by": "distributed under the boost software license version {v}",
+    "boost-title": "boost software license version {v}",
+    "epl-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license {v} which is available at",
+    "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "mit-no-attribution": "mit no attribution",
 }
 #: Ordered rules; {v} is the version that their sentences name.
 RULES = [
@@ -59,9 +89,15 @@ RULES = [
     ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-endorse"), ("BSD-2-Clause", "bsd-grant bsd-source bsd-binary"),
     ("GPL-{v}", "gpl-work"), ("GPL-{v}", "gpl-by"), ("GPL-{v}-or-later", "gpl-free gpl-no-warranty"), ("GPL-{v}-or-later", "gpl-free"), ("LGPL-{v}", "lgpl-by"), ("AGPL-{v}", "agpl-by"),
     ("MPL-{v}", "mpl-terms"), ("MPL-{v}", "mpl-by"), ("CC-BY-NC-{v}", "cc-by-nc"), ("CC-BY-SA-{v}", "cc-by-sa"), ("CC-BY-ND-{v}", "cc-by-nd"), ("CC-BY-{v}", "cc-by"), ("CC0-{v}", "cc0"),
-    ("CC-BY-{v}", "cc-by-long"), ("CC-BY-SA-{v}", "cc-by-sa-long"), ("CC-BY-NC-{v}", "cc-by-nc-long"), ("Unlicense", "unlicense"), ("LicenseRef-Proprietary", "reserved"),
+    ("CC-BY-{v}", "cc-by-long"), ("CC-BY-SA-{v}", "cc-by-sa-long"), ("CC-BY-NC-{v}", "cc-by-nc-long"), ("Unlicense", "unlicense"),
+    ("Apache-{v}", "apache-title"), ("MPL-{v}", "mpl-title"), ("GPL-{v}", "gpl-title"), ("GPL-{v}", "gpl-2-title"), ("GPL-{v}", "gpl-3-title"), ("LGPL-{v}", "lgpl-title"), ("LGPL-{v}", "lgpl-2-title"), ("LGPL-{v}", "lgpl-3-title"),
+    ("AGPL-{v}", "agpl-title"), ("AGPL-{v}", "agpl-3-title"), ("GPL-{v}-or-later", "gpl-free gpl-no-warranty gpl-see"), ("GPL-{v}-only", "gpl-only gpl-no-warranty gpl-see"), ("GPL-{v}-only", "gpl-only gpl-no-warranty"), ("GPL-{v}-only", "gpl-only"),
+    ("GPL-{v}-only", "gpl-only-long gpl-no-warranty"), ("GPL-{v}-only", "gpl-only-long"), ("LGPL-{v}-or-later", "lgpl-free lgpl-no-warranty"), ("LGPL-{v}-or-later", "lgpl-free"), ("LGPL-{v}-or-later", "lgpl-free-program gpl-no-warranty"),
+    ("LGPL-{v}-or-later", "lgpl-free-program"), ("AGPL-{v}-or-later", "agpl-free gpl-no-warranty"), ("AGPL-{v}-or-later", "agpl-free"), ("BSD-{v}-Clause", "bsd-by"), ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-endorse bsd-as-is"),
+    ("BSD-2-Clause", "bsd-grant bsd-source bsd-binary bsd-as-is"), ("ISC", "isc-grant isc-as-is"), ("0BSD", "0bsd-grant"), ("Zlib", "zlib-as-is zlib-grant"), ("Zlib", "zlib-grant"), ("BSL-{v}", "boost-by"), ("BSL-{v}", "boost-title"),
+    ("EPL-{v}", "epl-terms"), ("WTFPL", "wtfpl"), ("MIT-0", "mit-no-attribution"), ("LicenseRef-Proprietary", "reserved"),
 ]
-_HINT = re.compile(r"licen[sc]e|permission|redistribution|warrant|free software|unencumbered|rights reserved|spdx|public license", re.I)
+_HINT = re.compile(r"licen[sc]e|permission|redistribution|warrant|free software|unencumbered|rights reserved|spdx|public license|everyone is permitted|no attribution|boost software", re.I)
 _STOP = re.compile(r"""[.;:!?]["'”’)\]]*\s""")
 _REMARK = re.compile(r"^[ \t]*(?:dnl|REM)\b", re.M)
 _VERSION = re.compile(r"\b\d+(?:\.\d+)*\b")
@@ -111,7 +147,7 @@ def known(text: str) -> list[tuple[int, str, str]]:
             for want, k in _STARTS.get(words[i], ()):
                 n = i + len(want)
                 if n <= len(words) and edge[n] and words[i:n] == want:
-                    hit = n, k, next((v for w, v in zip(reversed(want), reversed(raw[i:n])) if w == "{v}"), "")
+                    hit = n, k, next((v for w, v in zip(want, raw[i:n]) if w == "{v}"), "")
                     break
         if hit:
             place += max(unit[i] - last, 1)
@@ -144,9 +180,10 @@ def scan(text: str | None) -> tuple[list[str], list[str]]:
             if len(got) == len(ids):
                 used |= set(got)
                 v = next((seq[i][2] for i in got if seq[i][2]), "")
-                found.append((seq[got[0]][0], name.replace("{v}", v if "." in v or not name.startswith(("Apache", "CC", "MPL", "GPL", "LGPL", "AGPL")) else v + ".0").replace("-.0", "")))
+                found.append((seq[got[0]][0], name.replace("{v}", v if "." in v or not name.startswith(("Apache", "CC", "MPL", "GPL", "LGPL", "AGPL", "BSL", "EPL")) else v + ".0").replace("-.0", "")))
     found += [(k, v) for k, i, v in seq if i == "spdx"]
-    return list(dict.fromkeys(n for _, n in sorted(found))), [i for _, i, _ in seq]
+    names = list(dict.fromkeys(n for _, n in sorted(found)))
+    return [n for n in names if n != "LicenseRef-Proprietary" or len(names) == 1], [i for _, i, _ in seq]
 
 
 def scans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -123,7 +123,7 @@ ISC = """Permission to use, copy, modify, and/or distribute this software for an
 purpose with or without fee is hereby granted, provided that the above
 copyright notice and this permission notice appear in all copies."""
 NOTICES = [
-    (APACHE, "Apache-2.0", "apache-by,apache-you-may-not,apache-copy,apache-as-is,apache-see"), (GPL, "GPL-3.0-or-later", "gpl-free,gpl-no-warranty"), (MPL, "MPL-2.0", "mpl-terms"),
+    (APACHE, "Apache-2.0", "apache-by,apache-you-may-not,apache-copy,apache-as-is,apache-see"), (GPL, "GPL-3.0-or-later", "gpl-free,gpl-no-warranty,gpl-see"), (MPL, "MPL-2.0", "mpl-terms"),
     (MIT, "MIT", "mit-grant,mit-notice,mit-as-is"), (BSD, "BSD-3-Clause", "bsd-grant,bsd-source,bsd-binary,bsd-endorse"), (ISC, "ISC", "isc-grant"),
 ]
 
@@ -139,3 +139,44 @@ def test_licences_of_whole_notices_inside_comments(mark):
 def test_licences_stand_at_edges_of_sentences_or_lines():
     assert licenses.scan("It is not licensed under the MIT license here") == ([], [])
     assert licenses.scan("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC")[0] == ["MIT", "ISC"]
+
+
+FREE = """This {what} is free software; you can redistribute it and/or modify it under the
+terms of the GNU {name}General Public License as published by the Free Software
+Foundation; either version {v} of the License, or (at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE.  See the GNU {name}General Public License for more details."""
+BSD_AS_IS = """
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE"""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In
+no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to
+the following restrictions:"""
+MORE = [
+    (FREE.format(what="program", name="", v=2), ["GPL-2.0-or-later"]), (FREE.format(what="library", name="Lesser ", v="2.1"), ["LGPL-2.1-or-later"]), (FREE.format(what="program", name="Lesser ", v=3), ["LGPL-3.0-or-later"]),
+    (FREE.format(what="program", name="Affero ", v=3), ["AGPL-3.0-or-later"]), ("All rights reserved.\n\n" + BSD + BSD_AS_IS, ["BSD-3-Clause"]), (BSD.split("3. ")[0] + BSD_AS_IS, ["BSD-2-Clause"]), (ZLIB, ["Zlib"]),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n", ["GPL-3.0"]), ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n", ["GPL-2.0"]), ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", ["Apache-2.0"]),
+    ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)", ["BSL-1.0"]), ("Licensed under the BSD 3-Clause License.", ["BSD-3-Clause"]), ("(c) Some One. All rights reserved.", ["LicenseRef-Proprietary"]),
+    ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.", ["GPL-2.0-only"]),
+    (MIT + "\n\n" + APACHE, ["MIT", "Apache-2.0"]), (ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", ""), ["0BSD"]),
+]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_licences_of_more_notices(mark):
+    for text, names in MORE:
+        assert licenses.scan("\n".join(mark + x for x in ["", *text.split("\n"), ""]))[0] == names, text[:40]
+
+
+def test_licences_over_a_table(spark):
+    rows = [(1, MIT, "x"), (1, MIT, "x"), (None, APACHE, "y"), (2, None, None), (3, "", ""), (4, "word " * 50_000 + "\n" + GPL, "z")]
+    got = sorted(((r.doc_id, r.licenses) for r in licenses.scans(spark.createDataFrame(rows, "doc_id long, text string, licenses string")).collect()), key=str)
+    assert got == sorted([(1, "MIT"), (1, "MIT"), (None, "Apache-2.0"), (2, ""), (3, ""), (4, "GPL-3.0-or-later")], key=str)
