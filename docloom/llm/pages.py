@@ -1,24 +1,32 @@
 """HTML main text with a numpy bidirectional LSTM over leaf blocks.
 
-A tokenizer cuts a page into blocks of text, each with the tags, classes and ids it stands in. A block's vector sums hashed
-features of its path and its words; the LSTM reads the page's blocks both ways and labels each. The network is trained here, with
-a fixed seed, on generated pages whose content is known. Null and empty pages give "". <br> and block tags end a block.
-Scripts, styles, comments and the head have no blocks. Nothing is cut.
+A tokenizer cuts a page into blocks of text, each with the tags, classes and ids it stands in. A block's vector holds hashed
+features of its path, of its length, links and marks, and of all its words, however many; the LSTM reads the page's blocks both
+ways and labels each. The network is trained here, with a fixed seed, on generated pages whose content is known: half of their
+notices, comments and adverts stand in containers without a telling name, and are known by their words and place.
+
+Null and empty pages give "". <br> and block tags end a block. Scripts, styles, comments and the head have no blocks. Nothing is
+cut. Every row comes back once, also without an id or repeated, with its id and url as they were.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from docloom.llm import words as W
 
-FEATURES, HIDDEN = 512, 12
+PLACES, WORDS, HIDDEN = 1024, 512, 12
+FEATURES = PLACES + WORDS
 #: HTML element kinds.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -29,18 +37,23 @@ _NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _PARTS = re.compile(r"[a-z]+")
 
 
-def blocks(page: str) -> list[tuple[tuple, str]]:
-    """(path, text) of each block in page order; path holds a tuple of names for each open element."""
-    out, stack, text, at, low = [], [], [], 0, None
+def blocks(page: str) -> list[tuple[tuple, str, float]]:
+    """(path, text, share of it within links) of each block in page order; path holds a tuple of names for each open element."""
+    out, stack, text, at, low, linked = [], [], [], 0, None, 0
 
     def end():
-        t = " ".join(html.unescape("".join(text)).split())
+        nonlocal linked
+        raw = "".join(text)
+        t = " ".join(html.unescape(raw).split())
         text.clear()
         if t:
-            out.append((tuple(s for s in stack if s[0] not in _INLINE or len(s) > 1), t))
+            out.append((tuple(s for s in stack if s[0] not in _INLINE or len(s) > 1), t, min(1.0, linked / max(len(raw.strip()), 1))))
+        linked = 0
 
     while m := _TOKEN.search(page, at):
         text.append(page[at : m.start()])
+        if stack and stack[-1][0] in _INLINE and any(s[0] == "a" for s in reversed(stack)):
+            linked += m.start() - at
         at = m.end()
         tag = (m[1] or "").lower()
         if not tag:
@@ -84,24 +97,69 @@ def blocks(page: str) -> list[tuple[tuple, str]]:
     return out
 
 
+#: Names that pages give to what is not their article, the words found there, and names given to what is.
+BAD = {
+    "nav/menu/navigation/navbar header/top/masthead/banner div/menu/breadcrumb/breadcrumbs/links": "home about contact us products services news blog login register search menu start startseite kontakt über uns accueil inicio contacto",
+    "footer/bottom/copyright div/footer/legal": "copyright all rights reserved privacy policy terms of use imprint impressum sitemap contact powered by 2020 2021 2022 2023 2024 inc ltd",
+    "aside/sidebar/related/widget div/rail/recommended/trending/more": "related posts read more you may also like popular recommended stories from trending next previous latest top see all",
+    "div/ad/ads/advert/advertisement/sponsor/promo": "advertisement sponsored ad buy now sale offer discount free shipping shop today limited deal click here save best price anzeige publicidad",
+    "div/cookie/cookies/notice/consent/alert/popup/gdpr/banner": "we use cookies to improve your experience accept all cookies privacy settings consent by continuing you agree our use of this site cookie reject manage preferences akzeptieren",
+    "section/comments/comment/replies/disqus/discussion div/comments/comment/replies ol/commentlist": "reply said says comment comments posted by great nice post thanks thank you for sharing love like this i agree ago hours days anonymous user lol report wow",
+    "form/search/newsletter/subscribe/login div/newsletter/subscribe/signup": "subscribe newsletter email sign up enter your address get updates inbox weekly password log in forgot join submit",
+    "div/share/social/pagination/tags": "share tweet facebook twitter pinterest linkedin whatsapp print email follow us copy link tags page",
+}
+GOOD = "article main div/content/article/post/entry/story section/body/text div/main".split()
+_PROSE = "the of and a in to is was that for it with as on at by from this are be were which der die das und ist von zu mit den ein le la les des est que dans une el los las y en por con".split()
+
+
+@lru_cache(1)
+def _telling() -> np.ndarray:
+    """Hashes of the words above, in order."""
+    data, bounds = W.joined([w.encode() for w in {*_PROSE, *" ".join(BAD.values()).split()}])
+    return np.unique(W.hashes(data, bounds[:-1], bounds[1:]))
+
+
+def _word_slots(h: np.ndarray) -> np.ndarray:
+    """Telling words have places of their own; all others share the rest by their hashes."""
+    known = _telling()
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, at, len(known) + (h % np.uint64(WORDS - len(known))).astype(np.int64))
+
+
 def _slot(s: str) -> int:
-    """Paths and lengths have the first 448 places, words the last 64."""
-    return 448 + zlib.crc32(s.encode()) % 64 if s[0] == "w" else zlib.crc32(s.encode()) % 448
+    return zlib.crc32(s.encode()) % PLACES
 
 
 @lru_cache(4096)
 def _path(path: tuple) -> tuple:
-    out = [_slot(f"t:{x}") for el in path for x in el]
+    out = {_slot(f"t:{x}") for el in path for x in el}
     if path:
-        out.append(_slot("leaf:" + path[-1][0]))
+        out |= {_slot("leaf:" + path[-1][0]), *(_slot(f"in:{x}/{path[-1][0]}") for x in (path[-2] if len(path) > 1 else ()))}
     return tuple(out)
 
 
-def indices(path: tuple, text: str) -> list[int]:
-    out = list(_path(path))
-    n = text.count(" ") + 1
-    out += [_slot("w:" + x) for x in text.lower().split()[:3]] if n < 12 else []
-    return [*out, _slot(f"n:{min(n.bit_length(), 6)}")]
+@lru_cache(4096)
+def _shape(bits: int, linked: int, marks: int, end: str) -> tuple:
+    return _slot(f"n:{bits}"), _slot(f"a:{linked}"), _slot(f"m:{marks}"), _slot(f"e:{end}"), _slot(f"n:{bits}/a:{linked > 1}")
+
+
+def vectors(bs: list) -> np.ndarray:
+    """A row for each block: its path and shape, and the counts of its hashed words over the root of their number."""
+    x = np.zeros((len(bs), FEATURES), np.float32)
+    rows, cols = [], []
+    for i, (path, text, linked) in enumerate(bs):
+        n = text.count(" ") + 1
+        marks = text.count(". ") + text.count(", ") + text.count("! ") + text.count("? ")
+        own = *_path(path), *_shape(min(n.bit_length(), 8), round(linked * 4), min(marks.bit_length(), 4), text[-1] if text[-1] in ".!?:,;|" else "")
+        rows += [i] * len(own)
+        cols += own
+    x[rows, cols] = 1
+    data, bounds = W.joined([t.lower().encode() for _, t, _ in bs])
+    s, e, t = W.spans(data, bounds, W.ALNUM)
+    slot = _word_slots(W.hashes(data, s, e))
+    n = np.bincount(t * WORDS + slot, minlength=len(bs) * WORDS).reshape(len(bs), WORDS)
+    x[:, PLACES:] = 2 * n / np.sqrt(np.maximum(n.sum(1, keepdims=True), 1))
+    return x
 
 
 def _sig(x):
@@ -139,16 +197,15 @@ def _back(x, dh_all, keep, u):
         dz_all[:, k] = dz
         du += h.T @ dz
         dh, dc = dz @ u.T, dc * f
-    return np.einsum("ntd,nte->de", x, dz_all), du, dz_all.sum((0, 1))
+    return x.reshape(-1, d).T @ dz_all.reshape(-1, 4 * HIDDEN), du, dz_all.sum((0, 1))
 
 
-def _dense(seqs: list[list[list[int]]]):
-    t = max(map(len, seqs), default=0)
-    x, mask = np.zeros((len(seqs), t, FEATURES), np.float32), np.zeros((len(seqs), t), np.float32)
-    for i, s in enumerate(seqs):
-        mask[i, : len(s)] = 1
-        for k, f in enumerate(s):
-            x[i, k, f] = 1
+def _padded(pages: list[np.ndarray]):
+    t = max(map(len, pages), default=0)
+    x, mask = np.zeros((len(pages), t, FEATURES), np.float32), np.zeros((len(pages), t), np.float32)
+    for i, p in enumerate(pages):
+        x[i, : len(p)] = p
+        mask[i, : len(p)] = 1
     return x, mask
 
 
@@ -156,63 +213,84 @@ def label(m: dict, x, mask):
     a, ka = _run(x, mask, *m["fwd"])
     rev = x[:, ::-1]
     b, kb = _run(rev, mask[:, ::-1], *m["bwd"])
-    return _sig(np.concatenate([a, b[:, ::-1]], 2) @ m["out"] + m["bias"]), a, b, ka, kb
-
-
-#: Names that pages give to what is not their article, with the words found there, and to what is.
-BAD = "nav/menu/navigation header/top/masthead/banner footer/bottom/copyright aside/sidebar/related/widget div/ad/ads/advert/advertisement/sponsor/promo div/cookie/notice/consent/alert/popup/gdpr section/comments/comment/replies/disqus form/search/newsletter/subscribe/login div/share/social/breadcrumb/breadcrumbs/pagination/tags".split()
-GOOD = "article main div/content/article/post/entry/story section/body/text div/main".split()
+    return _sig(np.concatenate([a, b[:, ::-1]], 2) @ m["out"] + x @ m["own"] + m["bias"]), a, b, ka, kb
 
 
 def generated(rng, n: int):
-    """Pages as (index lists, labels)."""
-    words = "the of and une der le que un menu home contact about cookies accept reply subscribe said is was in to".split()
-
-    def text(lo, hi):
-        return " ".join(rng.choice(words) if rng.random() < 0.4 else f"w{rng.integers(10**6)}" for _ in range(rng.integers(lo, hi)))
-
-    def part(kind, path):
+    """Pages as (vectors, labels)."""
+    kinds = [(k.split(), v.split()) for k, v in BAD.items()]
+    every = [w for _, v in kinds for w in v]
+
+    def text(lo, hi, share, told=()):
+        """Words of which `share` are those told, the rest prose or unknown."""
+        out, prose = [], rng.choice([0.05, 0.3, 0.5])
+        for _ in range(rng.randrange(lo, hi)):
+            r = rng.random()
+            out.append(told[rng.randrange(len(told))] if len(told) and r < share else _PROSE[rng.randrange(len(_PROSE))] if r < share + (1 - share) * prose else f"w{rng.randrange(10**6)}")
+            if hi > 8 and rng.random() < 0.12:
+                out[-1] += (rng.choice([",", ".", ".", ",", "!", " |"]))
+        return " ".join(out) + ((rng.choice([".", ".", ".", " |", "!", ":"])) if rng.random() < (0.8 if hi > 20 else 0.3) else "")
+
+    def part(kind, path, named):
         tag, *names = kind.split("/")
-        return (*path, (tag, rng.choice(names)) if names and rng.random() < (0.6 if tag in ("nav", "header", "footer", "aside", "form") else 1) else (tag,))
+        if names and rng.random() < named:
+            return (*path, (tag, rng.choice(names)))
+        return (*path, (tag,))
 
     for _ in range(n):
         body, out = (("html",), ("body",)), []
 
-        def noise(path, out=out):
-            inner = part(rng.choice(BAD), path)
+        def noise(path, after, out=out):
+            names, told = kinds[rng.randrange(5 if not after else len(kinds))]
+            kind = rng.choice(names)
+            plain = rng.random() < 0.45
+            tag = kind.split("/")[0]
+            if plain:
+                inner = (*path, (rng.choice(["div", "div", "section", "ul"]),))
+                share = 0.75
+            else:
+                inner = part(kind, path, 0.6 if tag in ("nav", "header", "footer", "aside", "form") else 1)
+                share = rng.choice([0.0, 0.0, 0.5, 0.8])
             if rng.random() < 0.4:
                 inner = (*inner, ("ul",), ("li",)) if rng.random() < 0.6 else (*inner, ("div",))
-            for _ in range(rng.integers(1, 7)):
-                out.append((inner if rng.random() < 0.6 else (*inner, ("p",)), text(1, 6 if rng.random() < 0.6 else 40), 0))
-
-        for _ in range(rng.integers(0, 4)):
-            noise(body)
-        path = part(rng.choice(GOOD), body)
+            links = rng.random() < 0.45
+            for _ in range(rng.randrange(1, 7)):
+                leaf = inner if rng.random() < 0.6 else (*inner, ("p",))
+                out.append((leaf, text(1, 6 if rng.random() < 0.6 else 40, share, told), 1.0 if links else 0.0, 0))
+
+        for _ in range(rng.randrange(0, 4)):
+            noise(body, False)
+        named = rng.random() < 0.75
+        path = part(rng.choice(GOOD), body, 1) if named else (*body, ("div",))
         if rng.random() < 0.4:
-            path = part(rng.choice(GOOD), path)
+            path = part(rng.choice(GOOD), path, 0.5)
         if rng.random() < 0.8:
-            out.append(((*path, ("h1",)), text(2, 12), 1))
-        for _ in range(rng.integers(1, 12) if rng.random() < 0.8 else rng.integers(12, 40)):
+            out.append(((*path, (rng.choice(["h1", "h1", "h1", "h2"]),)), text(2, 12, 0.03, every), 0.0, 1))
+        for _ in range(rng.randrange(1, 12) if rng.random() < 0.8 else rng.randrange(12, 40)):
             leaf = rng.choice(["p", "p", "p", "h2", "h3", "li", "blockquote", "td", "pre", ""])
-            out.append(((*path, ("ul",), ("li",)) if leaf == "li" else (*path, ("table",), ("tr",), ("td",)) if leaf == "td" else (*path, (leaf,)) if leaf else path, text(1, 8 if rng.random() < 0.3 else 80), 1))
+            where = (*path, ("ul",), ("li",)) if leaf == "li" else (*path, ("table",), ("tr",), ("td",)) if leaf == "td" else (*path, (leaf,)) if leaf else path
+            told = named and leaf == "p" and rng.random() < 0.06  # an article may quote a legal line
+            out.append((where, text(2, 8, 0.9, kinds[1][1]) if told else text(1, 8 if rng.random() < 0.3 else 80, 0.05, every), float(rng.choice([0, 0, 0, 0.2, 1]) if leaf == "li" else rng.choice([0, 0, 0, 0.1])), 1))
+            if named and leaf == "p" and rng.random() < 0.05:
+                out += out[-1:] * rng.randrange(2, 30)
             if rng.random() < 0.12:
-                noise(path)
-        for _ in range(rng.integers(0, 4)):
-            noise(body)
-        yield [indices(p, t) for p, t, _ in out], [y for *_, y in out]
+                noise(path, True)
+        for _ in range(rng.randrange(0, 4)):
+            noise(body, True)
+        yield vectors([x[:3] for x in out]), [x[3] for x in out]
 
 
-def train(pages: int = 1200, epochs: int = 5, seed: int = 11) -> dict:
+def train(pages: int = 3000, epochs: int = 6, seed: int = 11) -> dict:
     rng = np.random.default_rng(seed)
     init = lambda *s: rng.normal(0, 0.15, s).astype(np.float32)
-    m = {k: (init(FEATURES, 4 * HIDDEN), init(HIDDEN, 4 * HIDDEN), np.zeros(4 * HIDDEN, np.float32)) for k in ("fwd", "bwd")} | {"out": init(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
-    data = sorted(generated(rng, pages), key=lambda s: len(s[0]))
+    m = {k: (init(FEATURES, 4 * HIDDEN), init(HIDDEN, 4 * HIDDEN), np.zeros(4 * HIDDEN, np.float32)) for k in ("fwd", "bwd")} | {"out": init(2 * HIDDEN), "own": np.zeros(FEATURES, np.float32), "bias": np.zeros(1, np.float32)}
+    data = sorted(generated(random.Random(seed), pages), key=lambda s: len(s[0]))
     adam: dict = {}
     step = 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
         for b in rng.permutation(max(1, len(data) // 32)):
             part = data[b * 32 : b * 32 + 32]
-            x, mask = _dense([s for s, _ in part])
+            x, mask = _padded([s for s, _ in part])
             y = np.zeros_like(mask)
             for i, (_, v) in enumerate(part):
                 y[i, : len(v)] = v
@@ -220,52 +298,50 @@ def train(pages: int = 1200, epochs: int = 5, seed: int = 11) -> dict:
             dz = ((p - y) * mask / mask.sum()).astype(np.float32)
             both = np.concatenate([a, bh[:, ::-1]], 2)
             dh = dz[..., None] * m["out"]
-            g = {"out": np.einsum("nt,nth->h", dz, both), "bias": dz.sum(keepdims=True).reshape(1), "fwd": _back(x, dh[..., :HIDDEN], ka, m["fwd"][1]), "bwd": _back(x[:, ::-1], dh[..., HIDDEN:][:, ::-1], kb, m["bwd"][1])}
+            g = {"out": dz.ravel() @ both.reshape(-1, 2 * HIDDEN), "own": dz.ravel() @ x.reshape(-1, FEATURES), "bias": dz.sum(keepdims=True).reshape(1), "fwd": _back(x, dh[..., :HIDDEN], ka, m["fwd"][1]), "bwd": _back(x[:, ::-1], dh[..., HIDDEN:][:, ::-1], kb, m["bwd"][1])}
             step += 1
 
-            def update(key, w, d, step=step):
+            def update(key, w, d, step=step, rate=0.012 * (1 - epoch / epochs) ** 1.2 + 0.0005):
                 s, v = adam.get(key, (0.0, 0.0))
                 s, v = adam[key] = (0.9 * s + 0.1 * d, 0.999 * v + 0.001 * d * d)
-                return (w - 0.01 * (s / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                return (w - rate * (s / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
             m = {k: tuple(update((k, j), w, d) for j, (w, d) in enumerate(zip(m[k], g[k]))) if isinstance(m[k], tuple) else update(k, m[k], g[k]) for k in m}
     return m
 
 
-def _probabilities(m: dict, seqs: list[list[list[int]]]) -> list[np.ndarray]:
-    """label() of pages, with the input product summed from the features that are on; pages of like length run together."""
-    out: list = [None] * len(seqs)
-    order = sorted((k for k in range(len(seqs)) if seqs[k]), key=lambda k: len(seqs[k]))
+def _probabilities(m: dict, pages: list[list]) -> list[np.ndarray]:
+    """label() of pages of blocks; pages of like length run together, and vectors are made for a part of them at a time."""
+    out: list = [None] * len(pages)
+    order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
+    both = np.concatenate([m["fwd"][0], m["bwd"][0], m["own"][:, None]], 1)
     at = 0
     while at < len(order):
-        size = max(1, min(128, 40_000 // len(seqs[order[min(at + 127, len(order) - 1)]])))
+        size = max(1, min(128, 40_000 // len(pages[order[min(at + 127, len(order) - 1)]])))
         some = order[at : at + size]
         at += size
-        t = max(len(seqs[k]) for k in some)
-        memo: dict = {}
-        row, mask = np.zeros((len(some), t), np.int64), np.zeros((len(some), t), np.float32)
+        t = max(len(pages[k]) for k in some)
+        flat = [b for k in some for b in pages[k]]
+        z = np.concatenate([vectors(flat[a : a + 2048]) @ both for a in range(0, len(flat), 2048)])
+        pre, mask, done = np.zeros((len(some), t, 8 * HIDDEN + 1), np.float32), np.zeros((len(some), t), np.float32), 0
         for i, k in enumerate(some):
-            row[i, : len(seqs[k])] = [memo.setdefault(tuple(sorted(set(f))), len(memo)) for f in seqs[k]]
-            mask[i, : len(seqs[k])] = 1
-        on = np.zeros((len(memo), FEATURES), np.float32)
-        for i, f in enumerate(memo):
-            on[i, list(f)] = 1
+            n = len(pages[k])
+            pre[i, :n], mask[i, :n] = z[done : done + n], 1
+            done += n
         hs = []
-        for name in ("fwd", "bwd"):
-            w, u, b = m[name]
-            step = 1 if name == "fwd" else -1
-            h, _ = _run(None, mask[:, ::step], None, u, b, (on @ w)[row[:, ::step]] + b)
+        for name, step, part in (("fwd", 1, pre[..., : 4 * HIDDEN]), ("bwd", -1, pre[..., 4 * HIDDEN : -1])):
+            _, u, b = m[name]
+            h, _ = _run(None, mask[:, ::step], None, u, b, part[:, ::step] + b)
             hs.append(h[:, ::step])
-        p = _sig(np.concatenate(hs, 2) @ m["out"] + m["bias"])
+        p = _sig(np.concatenate(hs, 2) @ m["out"] + pre[..., -1] + m["bias"])
         for i, k in enumerate(some):
-            out[k] = p[i, : len(seqs[k])]
+            out[k] = p[i, : len(pages[k])]
     return out
 
 
 def extract_all(m: dict, pages: list) -> list[str]:
     found = [blocks(p or "") for p in pages]
-    ps = _probabilities(m, [[indices(path, t) for path, t in bs] for bs in found])
-    return ["\n".join(t for (_, t), q in zip(bs, p) if q >= 0.5) if bs else "" for bs, p in zip(found, ps)]
+    return ["\n".join(t for (_, t, _), q in zip(bs, p) if q >= 0.5) if bs else "" for bs, p in zip(found, _probabilities(m, found))]
 
 
 def main_text(pages: DataFrame, model: dict | None = None) -> DataFrame:
@@ -273,7 +349,10 @@ def main_text(pages: DataFrame, model: dict | None = None) -> DataFrame:
     shipped = pages.sparkSession.sparkContext.broadcast(model or train())
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": [t for k in range(0, len(pdf), 500) for t in extract_all(shipped.value, pdf["html"].tolist()[k : k + 500])]})
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            done = [t for k in range(0, len(texts), 500) for t in extract_all(shipped.value, texts[k : k + 500])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(done, pa.string())], names=["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    kind = StructType([pages.schema["page_id"], pages.schema["url"], StructField("text", StringType())])
+    return pages.select("page_id", "url", "html").mapInArrow(run, kind).withColumn("n_chars", F.length("text").cast("long"))
