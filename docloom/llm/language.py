@@ -7,8 +7,9 @@ moved. Matrix products over all predecessors, dealt out in blocks, give the norm
 probabilities are exact. A token of the rest has the probability of its class times its share of the unigram mass there,
 unseen tokens together counting as one. Texts end with one end token, which predicts itself nothing beyond. Nulls are empty.
 
-Counts of the TOP commonest tokens (a bound) travel to all tasks; scores of the others are joined by hash bucket.
-A token is known by a 64-bit hash.
+Counts of about the TOP commonest tokens (a bound; ties at it are cut by hash) travel to all tasks; those of all others are joined
+in hash buckets, one for each BUCKET_BYTES of text at least. A token is known by a 64-bit hash. Every row comes back once, also
+repeated or without an id; a row without an id is learnt from, as its remainder is not 1.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from docloom.llm import words as W
 from docloom.llm.shared import written
 
-LEAST, RANK, TOP, END = 8000, 24, 400_000, np.uint64(1)
+LEAST, RANK, TOP, END, BUCKET_BYTES = 8000, 24, 400_000, np.uint64(1), 16 << 20
 BATCH, NOISE, RATE, BLOCK = 8192, 64, 0.1, 1024
 
 
@@ -52,6 +53,23 @@ def _neighbours(h: np.ndarray, t: np.ndarray, top: np.ndarray) -> tuple[np.ndarr
     return c, before
 
 
+def level(n: np.ndarray) -> np.ndarray:
+    """Counts in order, by themselves up to 2^20 and in steps of a thousandth beyond, so that there are few levels at any size."""
+    high = (1 << 20) + (np.log2(np.maximum(n, 1) / float(1 << 20)) * 1024).astype(np.int64)
+    return np.where(n < 1 << 20, n, high)
+
+
+def cut(levels: list[tuple[int, int]], most: int) -> tuple[int, int, int]:
+    """(least, tied, below): of (level, tokens) from the highest, levels from least on are in whole, and of the level tied those
+    tokens whose hash is under `below`, so that about `most` tokens are in."""
+    least, seen = 1 << 62, 0
+    for at, m in levels:
+        if seen + m > most:
+            return least, at, int((1 << 64) * ((most - seen) / m))
+        least, seen = at, seen + m
+    return least, -1, 0
+
+
 def classes(total: int) -> int:
     """Tokens that the model knows by themselves: as their square grows with the corpus, so do the normalisers' steps."""
     return max(LEAST, int(4 * total**0.5))
@@ -119,11 +137,14 @@ def normalisers(m: dict, c: np.ndarray) -> np.ndarray:
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per id; rows of one id add up, rows without id are left out."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+    from pyspark import TaskContext
+
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * shuffles
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False)).alias("held_out")).where("doc_id is not null")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(4 * shuffles, size // BUCKET_BYTES)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False)).alias("held_out"))
     learn = base.where("not held_out").select("text")
 
     def count(batches):
@@ -152,27 +173,22 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         u, at = np.unique(h, return_inverse=True)
         c = np.zeros(len(u), np.int64)
         np.add.at(c, at, n)
-        bits = np.bincount(np.minimum(c, 1 << 20).astype(np.int64)) if len(c) else []
-        at = np.flatnonzero(bits)
-        return pd.DataFrame({"b": pdf["b"].iloc[:1], "h": [u.tobytes()], "n": [c.tobytes()], "size": [len(u)], "total": [int(c.sum())], "at": [at.tolist()], "many": [np.asarray(bits)[at].tolist()]})
+        at, many = np.unique(level(c), return_counts=True)
+        return pd.DataFrame({"b": pdf["b"].iloc[:1], "h": [u.tobytes()], "n": [c.tobytes()], "size": [len(u)], "total": [int(c.sum())], "at": [at.tolist()], "many": [many.tolist()]})
 
     kind = "b long, h binary, n binary"
     table = written(learn.mapInPandas(count, kind).groupBy("b").applyInPandas(add, kind + ", size long, total long, at array<long>, many array<long>"), "counts")
     v, total = table.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    # the smallest count of which at most TOP tokens have as many
     hist = table.select(F.explode(F.arrays_zip("at", "many")).alias("x")).groupBy("x.at").agg(F.sum("x.many").alias("m")).orderBy(F.desc("at")).limit(TOP).collect()
-    least, seen = (1 << 20) + 1, 0
-    for r in hist:
-        if seen + r.m > TOP:
-            break
-        least, seen = r.at, seen + r.m
+    least, tied, below = cut([(r.at, r.m) for r in hist], TOP)
 
     def common(batches):
         for pdf in batches:
             for h, n in zip(pdf["h"], pdf["n"]):
-                n = np.frombuffer(n, "i8")
-                i = np.minimum(n, 1 << 20) >= least
-                yield pd.DataFrame({"h": [np.frombuffer(h, "u8")[i].tobytes()], "n": [n[i].tobytes()]})
+                h, n = np.frombuffer(h, "u8"), np.frombuffer(n, "i8")
+                of = level(n)
+                i = (of >= least) | ((of == tied) & (W.mix(h) < np.uint64(min(below, (1 << 64) - 1))))
+                yield pd.DataFrame({"h": [h[i].tobytes()], "n": [n[i].tobytes()]})
 
     got = table.select("h", "n").mapInPandas(common, "h binary, n binary").collect()
     th, tn = (np.concatenate([np.frombuffer(r[c], k) for r in got] or [np.zeros(0, k)]) for c, k in ((0, "u8"), (1, "i8")))
@@ -235,8 +251,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def score(batches):
         th, tn, top, m = sent.value
+        key = TaskContext.get().partitionId() << 40  # a row's own number: one attempt of a task writes all of its rows
         for pdf in batches:
-            ids, rows = pdf["doc_id"].to_numpy(), []
+            ids, rows = np.arange(key, key + len(pdf)), []
+            key += len(pdf)
+            given = pdf["doc_id"].tolist()
             for first, p in W.slices(pdf["text"].tolist()):
                 h, t = tokens(p)
                 n = len(p)
@@ -247,31 +266,32 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 lc = np.where(known, np.log10((tn[at] if len(th) else np.zeros(len(h))) + 0.5), 0.0)
                 basis, full = np.bincount(t, lc - lb, n), np.bincount(t, lp + np.where(c == 0, lc - rest, 0), n)
                 yes, many = np.bincount(t, known, n).astype(np.int64), np.bincount(t, minlength=n)
-                rows += [(i, a, b, x, y, -1, b"", b"") for i, a, b, x, y in zip(ids[first : first + n].tolist(), many.tolist(), yes.tolist(), basis.tolist(), full.tolist())]
+                rows += [(k, i, a, b, x, y, -1, b"", b"") for k, i, a, b, x, y in zip(ids[first : first + n].tolist(), given[first : first + n], many.tolist(), yes.tolist(), basis.tolist(), full.tolist())]
                 rh, rt = h[~known], t[~known]
                 b = (rh % np.uint64(buckets)).astype(np.int64)
                 o = np.argsort(b, kind="stable")
                 cuts = np.searchsorted(b[o], np.arange(buckets + 1))
                 for q in np.flatnonzero(np.diff(cuts)).tolist():
                     i = o[cuts[q] : cuts[q + 1]]
-                    rows.append((None, 0, 0, 0.0, 0.0, q, rh[i].tobytes(), ids[first + rt[i]].astype(np.int64).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_known", "base", "full", "b", "h", "ids"]).astype({"doc_id": "Int64"})
+                    rows.append((None, None, 0, 0, 0.0, 0.0, q, rh[i].tobytes(), ids[first + rt[i]].astype(np.int64).tobytes()))
+            yield pd.DataFrame(rows, columns=["key", "doc_id", "n_tokens", "n_known", "base", "full", "b", "h", "ids"]).astype({"key": "Int64"})
 
-    first = base.select("doc_id", "text").mapInPandas(score, "doc_id long, n_tokens long, n_known long, base double, full double, b long, h binary, ids binary")
+    first = base.select(F.col("doc_id").cast("string"), "text").mapInPandas(score, "key long, doc_id string, n_tokens long, n_known long, base double, full double, b long, h binary, ids binary")
     first = written(first, "scores")
 
     def rare(_, left, right):
         if not len(left):
-            return pd.DataFrame({"doc_id": [], "n_tokens": [], "n_known": [], "base": [], "full": []})
+            return pd.DataFrame({"key": [], "n_tokens": [], "n_known": [], "base": [], "full": []})
         h, i = (np.concatenate([np.frombuffer(x, q) for x in left[c]]) for c, q in (("h", "u8"), ("ids", "i8")))
         u = np.concatenate([np.frombuffer(x, "u8") for x in right["h"]] or [np.zeros(0, "u8")])
         n = np.concatenate([np.frombuffer(x, "i8") for x in right["n"]] or [np.zeros(0, "i8")])
         at = np.minimum(np.searchsorted(u, h), max(len(u) - 1, 0))
         c = np.where(u[at] == h, n[at], 0) if len(u) else np.zeros(len(h), np.int64)
-        x = pd.DataFrame({"doc_id": i, "n_tokens": 0, "n_known": (c > 0).astype(np.int64), "base": np.log10(c + 0.5)})
-        return x.assign(full=x["base"]).groupby("doc_id", as_index=False).sum()[["doc_id", "n_tokens", "n_known", "base", "full"]]
+        x = pd.DataFrame({"key": i, "n_tokens": 0, "n_known": (c > 0).astype(np.int64), "base": np.log10(c + 0.5)})
+        return x.assign(full=x["base"]).groupby("key", as_index=False).sum()[["key", "n_tokens", "n_known", "base", "full"]]
 
-    wide = "doc_id long, n_tokens long, n_known long, base double, full double"
+    wide = "key long, n_tokens long, n_known long, base double, full double"
     more = first.where("b >= 0").select("b", "h", "ids").groupBy("b").cogroup(table.select("b", "h", "n").groupBy("b")).applyInPandas(lambda key, a, b: rare(key, a, b), wide)
-    out = first.where("b < 0").select("doc_id", "n_tokens", "n_known", "base", "full").unionAll(more).groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "full")))
+    out = first.where("b < 0").select("key", "doc_id", "n_tokens", "n_known", "base", "full").unionByName(more, allowMissingColumns=True)
+    out = out.groupBy("key").agg(F.max("doc_id").cast("long").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "full")))
     return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("full").alias("score"))

@@ -40,6 +40,30 @@ def test_language_rare_tokens_through_buckets(spark, monkeypatch):
     test_language_base_score(spark)
 
 
+def test_language_commonest_tokens_are_cut_in_one_level():
+    n = np.array([1, 5, (1 << 20) - 1, 1 << 20, 1 << 21, 1 << 40])
+    at = language.level(n)
+    assert (np.diff(at) > 0).all() and language.level(np.array([1 << 60]))[0] < (1 << 20) + 50_000
+    assert language.cut([(9, 2), (7, 3), (1, 10)], 5) == (7, 1, 0)
+    least, tied, below = language.cut([(1 << 21, 1000), (1, 5)], 400)
+    assert least > tied == 1 << 21 and below == int((1 << 64) * 0.4)
+    h = np.random.default_rng(1).integers(0, 1 << 63, 100_000).astype(np.uint64)
+    assert abs((language.W.mix(h) < np.uint64(below)).mean() - 0.4) < 0.01
+
+
+def test_language_keeps_a_model_where_all_counts_tie(spark, monkeypatch):
+    monkeypatch.setattr(language, "TOP", 50)
+    rows = [(i, " ".join(f"a{(i * 7 + k) % 100} b{(i * 7 + k) % 100}" for k in range(100))) for i in range(300)]
+    got = [r for r in language.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    assert len(got) > 30 and sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.05
+
+
+def test_language_rows_of_one_id(spark):
+    rows = [(1, "a b", 1.0), (1, "c", 2.0), (None, "a", 3.0), (None, None, 4.0)]
+    got = language.scores(spark.createDataFrame(rows, "doc_id long, text string, score double")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.train_tokens) for r in got) == [("1", 2, 8), ("1", 3, 8), ("None", 1, 8), ("None", 2, 8)]
+
+
 def test_simhash_against_all_pairs(spark):
     base = " ".join(f"w{i}" for i in range(300))
     rows = [(i, base.replace("w7 ", f"x{i} ") if i % 3 else base) for i in range(30)] + [(30 + i, f"other text {i} " * 9) for i in range(10)] + [(50, None), (51, ""), (52, "A b"), (53, "a\tB")]
@@ -237,15 +261,54 @@ def test_vector_passes_grow_and_windows_cross_partitions(spark, monkeypatch):
     assert got == dict(enumerate(want.tolist())) and len({tuple(k) for k in (u @ r > 0).tolist()}) > 2
 
 
-def test_pages():
-    model = pages.train()
+@pytest.fixture(scope="module")
+def labeller():
+    return pages.train()
+
+
+def test_pages(labeller):
     page = '<!DOCTYPE html><head><title>t</title></head><body><nav><ul><li>Home<li>About</ul></nav><div class="cookie">We use cookies</div><main><article><h1>A &amp; B</h1><p>First  line<br>of the text with words<p>Second <b>bold</b> text that is longer than the first<script>x="</p>"</script></article></main><section class="comments"><p>Nice post I like it</p></section><form><input><p>Subscribe</p></form><aside>Related</aside><footer>&copy; me</footer></body>'
-    text, *empty = pages.extract_all(model, [page, None, "", "<p"])
-    assert text.split("\n") == ["A & B", "First line of the text with words", "Second bold text that is longer than the first"] or text.split("\n") == ["A & B", "First line", "of the text with words", "Second bold text that is longer than the first"]
+    text, *empty = pages.extract_all(labeller, [page, None, "", "<p"])
+    assert text.split("\n") == ["A & B", "First line", "of the text with words", "Second bold text that is longer than the first"]
     assert empty[:2] == ["", ""]
     assert html.unescape("&eacute;") == "é"
 
 
+def test_pages_without_telling_names(labeller):
+    one = "<body><div>We use cookies to improve your experience. Accept</div><div><h1>A walk in the hills</h1><p>The path climbed slowly from the village and we met nobody on the way up, which suited us.</p><p>At noon the fog lifted. We ate bread and cheese.</p></div><div><p>Anna: Great post, thanks for sharing!</p><p>Tom: I agree, love this</p></div><div class=rail><h3>More stories</h3><a href=x>You may also like this one</a></div><footer>(c) 2020</footer></body>"
+    two = "<div id=top><a href=/>Home</a> <a href=/a>About us</a></div><div class=post><h2>Title of the story</h2>Text of it stands here without a paragraph, and it goes on for a while until it ends.<br>Second line of it.</div><div><a href=1>Share</a> <a href=2>Tweet</a></div><div>Subscribe to our newsletter. Enter your email</div>"
+    a, b = pages.extract_all(labeller, [one, two])
+    assert a.split("\n") == ["A walk in the hills", "The path climbed slowly from the village and we met nobody on the way up, which suited us.", "At noon the fog lifted. We ate bread and cheese."]
+    assert b.split("\n") == ["Title of the story", "Text of it stands here without a paragraph, and it goes on for a while until it ends.", "Second line of it."]
+
+
+def test_pages_read_all_words_of_a_block():
+    long = " ".join(f"w{i}" for i in range(5000))
+    x = pages.vectors([((("p",),), long, 0.0), ((("p",),), long + " cookies", 0.0)])
+    assert (x[0] != x[1]).any() and (x[:, pages.PLACES :] > 0).sum(1).min() > 100
+
+
+def test_pages_against_the_articles_of_the_table(spark, labeller):
+    got = {r.page_id: r for r in pages.main_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), labeller).collect()}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        body = re.split(r"<(?:/?p|/?h1|br)[^>]*>", r.html[r.html.index("<article>") + 9 : r.html.index("</article>")])
+        lines = [" ".join(html.unescape(re.sub("<[^>]+>", "", x)).split()) for x in body]
+        want = "\n".join(x for x in lines if x)
+        assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (want, len(want), r.url)
+
+
+def test_pages_table_with_nulls_repeats_and_long_pages(spark, labeller):
+    art = "<body><nav>Home</nav><article>" + "<p>Some words of a text that goes on, and on.</p>" * 3 + "</article></body>"
+    long = "<body><article>" + "<p>Some words of a text that goes on, and on.</p>" * 20_000 + "</article></body>"
+    big = (1 << 62) + 1
+    rows = [(big, "u", art, "a", 7), (None, "v", art, "b", 7), (None, None, None, None, None), (3, "", "", "c", 7), (3, "w", long, "d", 7), (big, "u", art, "a", 7)]
+    out = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"), labeller).collect()
+    line = "Some words of a text that goes on, and on."
+    want = [(big, "u", 3), (None, "v", 3), (None, None, 0), (3, "", 0), (3, "w", 20_000), (big, "u", 3)]
+    assert sorted(((r.page_id, r.url, r.text) for r in out), key=str) == sorted(((i, u, "\n".join([line] * n)) for i, u, n in want), key=str)
+    assert all(r.n_chars == len(r.text) for r in out)
+
+
 def test_licenses():
     assert licenses.scan("x y.\nReleased under the MIT License.")[0] == ["MIT"]
     assert licenses.scan("Licensed under the Apache License, Version 2.0.")[0] == ["Apache-2.0"]
@@ -339,7 +402,7 @@ def test_null_ids_and_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, text, 9), (1, text, 9), (2, text, 8), (None, text, 7)], "doc_id long, text string, g long")
     assert sorted(((r.doc_id, r.n_removed) for r in repeats.removed(docs).collect()), key=str) == [(1, 0), (1, 0), (2, 30), (None, 0)]
-    assert sorted(r.doc_id for r in language.scores(docs).collect()) == [1, 2]
+    assert sorted((r.doc_id for r in language.scores(docs).collect()), key=str) == [1, 1, 2, None]
     assert simhash.near_duplicates(docs).count() == 4 and licenses.scans(docs).count() == 4 and surrogates.protected(docs, b"k").count() == 4
     assert packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 4
     items = spark.createDataFrame([(7, text), (8, None), (None, text)], "item_id long, text string")
@@ -355,6 +418,6 @@ def test_ids_beyond_doubles_and_very_long_texts(spark):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     for out in (quality.scores(docs, labels), simhash.near_duplicates(docs), packing.pack(docs, ranks), decontam.contamination(docs, items), surrogates.protected(docs, b"k"), licenses.scans(docs)):
         assert {r.doc_id for r in out.select("doc_id").collect()} == {big, None}
-    assert {r.doc_id for r in repeats.removed(docs).collect()} == {big, None} and {r.doc_id for r in language.scores(docs).collect()} == {big}
+    assert {r.doc_id for r in repeats.removed(docs).collect()} == {r.doc_id for r in language.scores(docs).collect()} == {big, None}
     assert sorted(map(tuple, surrogates.replaced(docs, b"k").collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
     assert sorted(map(tuple, quality.accepted(docs, labels, 0.0).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
