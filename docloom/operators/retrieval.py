@@ -105,8 +105,8 @@ def embedding_choice(spark, at):
     return gap.join(F.broadcast(bounds)).select("n", "gap", "low", "high", sure.alias("sure"), F.when(sure & (F.col("gap") > 0), "whole").otherwise("half").alias("chosen"))
 
 
-def centroid_index(v: DataFrame, lists: int = 16, sample: int = 5_000, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """Unit centroids fitted on a bounded sample, taken by a hash of the id."""
+def centroid_index(v: DataFrame, lists: int = 16, sample: int = 5_000, rounds: int = 8, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centroids, and the bounded sample of unit vectors, taken by a hash of the id, that they are fitted on."""
     rows = v.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     x = np.stack(rows["embedding"]).astype(float) if len(rows) else np.zeros((1, 1))
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
@@ -115,12 +115,25 @@ def centroid_index(v: DataFrame, lists: int = 16, sample: int = 5_000, rounds: i
         near = (x @ c.T).argmax(1)
         c = np.stack([x[near == k].sum(0) if (near == k).any() else c[k] for k in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
-    return c
+    return c, x
 
 
-def approximate_topk(v: DataFrame, queries: DataFrame, k: int = 10, probes: int = 6, centroids: np.ndarray | None = None) -> DataFrame:
-    """T4: every vector stands in the list of its nearest centroid; a query reads `probes` lists. Ties by id."""
-    c = v.sparkSession.sparkContext.broadcast(centroid_index(v) if centroids is None else centroids)
+def enough_probes(x: np.ndarray, c: np.ndarray, k: int, recall: float) -> int:
+    """The least number of lists that hold `recall` of the k nearest of up to 200 rows of a sample, within that sample."""
+    q = x[:200]
+    near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, 1 : k + 1]
+    rank = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)
+    cell = (x @ c.T).argmax(1)
+    needed = np.sort(np.take_along_axis(rank, cell[near], 1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1 if len(needed) else 1
+
+
+def approximate_topk(v: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.95) -> DataFrame:
+    """T4: every vector stands in the list of its nearest centroid; a query reads as many lists as gave `recall` on the sample that
+    the centroids are fitted on. Ties by id."""
+    fitted, x = centroid_index(v)
+    probes = enough_probes(x, fitted, k, recall)
+    c = v.sparkSession.sparkContext.broadcast(fitted)
 
     def listed(many):
         def run(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import partial
 
 from docloom.functions import dialect
-from docloom.operators import chunking, layout, numbering, relational, segments, substring, vectors
+from docloom.operators import answers, choices, chunking, chunks, facts, fusion, layout, numbering, probes, relational, retrieval, substring, tenders, vectors
 
 #: Capitalised words after a space stand in for named entities.
 _NAMES = "regexp_extract_all(text, ' ([A-ZÀ-Þ][a-zà-ÿ][a-zà-ÿ]+)', 1)"
@@ -33,5 +33,10 @@ def _plain(name, text):
     return f"SELECT * REPLACE ({wide}) FROM ({dialect.plain_sql(text)}) w" if wide else dialect.plain_sql(text)
 
 
-QUERIES = {name: partial(_run, name, ours) for name, ours, _ in _texts()} | chunking.QUERIES | vectors.QUERIES | segments.QUERIES | substring.QUERIES | numbering.QUERIES
+#: Modules whose Spark side is columns and whose SQL is written apart.
+_APART = (answers, choices, chunks, facts, fusion, probes, retrieval, tenders)
+QUERIES = {name: partial(_run, name, ours) for name, ours, _ in _texts()} | chunking.QUERIES | vectors.QUERIES | substring.QUERIES | numbering.QUERIES
 ORACLES = {name: _plain(name, theirs) for name, _, theirs in _texts()} | chunking.ORACLES | vectors.ORACLES
+for _module in _APART:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
