@@ -22,6 +22,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where it comes from fewer files than there are; many files feed the cores as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def given(spark: SparkSession, rows, columns: str) -> DataFrame:
     """Rows of Python as a table: columns are written 'name type, ...'."""
     return spark.createDataFrame(rows, columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import plain, texts
-from docloom.functions.tables import given
+from docloom.functions.tables import given, spread, written
 from docloom.operators.numbering import numbered
 
 TARGET, OVERLAP, LEAST, FACTOR, PER_TOKEN = 1200, 150, 200, 1.6, 4.6
@@ -33,9 +33,9 @@ def sentences(text: Column) -> Column:
         return word.isin(ABBREVIATIONS) | word.rlike("^[a-z]$") | ((F.length(prev) < 25) & ~prev.rlike("[:?!]$"))
 
     def step(a, p):
-        more = joins(a["last"])
-        begun = a["last"] != ""
-        return F.struct(F.when(begun & ~more, F.concat(a["done"], F.array(a["last"]))).otherwise(a["done"]).alias("done"), F.when(begun & more, F.concat(a["last"], F.lit(" "), p)).otherwise(p).alias("last"))
+        kept = F.struct(a["done"].alias("done"), F.concat(a["last"], F.lit(" "), p).alias("last"))
+        cut = F.struct(F.concat(a["done"], F.array(a["last"])).alias("done"), p.alias("last"))
+        return F.when(a["last"] == "", F.struct(a["done"].alias("done"), p.alias("last"))).when(joins(a["last"]), kept).otherwise(cut)
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("last"))
     return F.aggregate(parts, start, step, lambda a: F.when(a["last"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["last"]))))
@@ -164,7 +164,7 @@ def records(doc: Column, section: Column, g: Column) -> list[Column]:
 
 
 def _documents(spark, at) -> DataFrame:
-    return spark.read.parquet(f"{at}/documents.parquet").where("text is not null").select(F.col("doc_id").cast("string").alias("doc"), "text")
+    return spread(spark.read.parquet(f"{at}/documents.parquet")).where("text is not null").select(F.col("doc_id").cast("string").alias("doc"), "text")
 
 
 def _marked(spark, at) -> DataFrame:
@@ -182,6 +182,7 @@ def fixed_chunks(spark, at):
 
 
 def _sections(spark, at):
+    """Written once: both kinds of structural chunks read it."""
     s = _marked(spark, at).withColumn("all", sections(F.col("text")))
     s = s.withColumn("titled", F.size(F.filter("all", lambda x: x["title"].isNotNull())) >= 2)
     return s.select("doc", "text", "titled", F.posexplode("all").alias("block", "s")).where("s.body <> ''")
@@ -226,8 +227,8 @@ def parent_children(spark, at):
 
 def measured_children(spark, at):
     """C11: children of the measured chunks; their index starts anew in each parent, and parents are numbered over the corpus."""
-    p = fixed_chunks(spark, at).withColumn("key", F.col("doc").cast("long") * 1_000_000 + F.col("chunk"))
-    p = numbered(p.select("key", "text"), "key").select(F.col("place").alias("parent_index"), "text")
+    p = written(fixed_chunks(spark, at).select((F.col("doc").cast("long") * 1_000_000 + F.col("chunk")).alias("key"), "text"), "parents")
+    p = numbered(p, "key").select(F.col("place").alias("parent_index"), "text")
     kids = split_pieces(F.col("text"), 552, 110)
     return p.select("parent_index", F.posexplode(F.when(F.size(kids) > 0, kids).otherwise(F.array("text"))).alias("chunk_index", "child"))
 

@@ -12,14 +12,16 @@ def numbered(df: DataFrame, key: str, name: str = "place") -> DataFrame:
     The table is cut at quantiles, as many as there are shuffle partitions; rows are numbered within a cut and moved by the
     rows of the cuts before it. The driver sees the quantiles only; the offsets are one row per cut.
     """
+    own = lambda n: n + "_" * max(map(len, df.columns))  # noqa: E731  names that no column has
+    c_cut, c_k, c_offset = own("_cut"), own("_k"), own("_offset")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     lows = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    cut = df.where(F.col(key).isNotNull()).withColumn("_cut", F.size(F.filter(lows, lambda c: c < F.col(key))))
-    before = Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    offset = cut.groupBy("_cut").agg(F.count("*").alias("n")).select("_cut", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_cut").orderBy(key))
-    return cut.withColumn("_k", inside).join(F.broadcast(offset), "_cut").withColumn(name, F.col("_offset") + F.col("_k") - 1).drop("_cut", "_k", "_offset")
+    cut = df.where(F.col(key).isNotNull()).withColumn(c_cut, F.size(F.filter(lows, lambda c: c < F.col(key))))
+    before = Window.orderBy(c_cut).rowsBetween(Window.unboundedPreceding, -1)
+    offset = cut.groupBy(c_cut).agg(F.count("*").alias("n")).select(c_cut, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(c_offset))
+    inside = F.row_number().over(Window.partitionBy(c_cut).orderBy(key))
+    return cut.withColumn(c_k, inside).join(F.broadcast(offset), c_cut).withColumn(name, F.col(c_offset) + F.col(c_k) - 1).drop(c_cut, c_k, c_offset)
 
 
 def even_sample(spark, at) -> DataFrame:

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.tables import written
+
 BLOCK = 2048
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k highest cosines of each query, itself left out; ties by id. Queries go out in blocks of at most BLOCK rows."""
+    """The k highest cosines of each query, itself left out; ties by id. Queries go out in blocks of at most BLOCK rows; where
+    there are several, each block's answer is written before the next is asked, so the plan stays one pass long."""
     spark, parts, block = vectors.sparkSession, [], []
+    placed = lambda near: near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k)
 
     def one(rows):
         ids = np.array([r[0] for r in rows])
@@ -39,12 +41,13 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for r in queries.select("vec_id", "embedding").toLocalIterator():
         block.append(r)
         if len(block) == BLOCK:
-            parts.append(one(block))
+            parts.append(written(placed(one(block)), "nearest"))
             block = []
-    if block or not parts:
-        parts.append(one(block)) if block else parts.append(spark.createDataFrame([], "query_id long, vec_id long, label int, score double"))
-    near = reduce(DataFrame.unionAll, parts)
-    return near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k)
+    if not parts:
+        return placed(one(block) if block else spark.createDataFrame([], "query_id long, vec_id long, label int, score double"))
+    if block:
+        parts.append(written(placed(one(block)), "nearest"))
+    return spark.read.schema(parts[0].schema).parquet(*(f for p in parts for f in p.inputFiles()))
 
 
 def _both(spark, at):
