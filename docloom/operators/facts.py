@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import plain, texts
-from docloom.functions.tables import given
+from docloom.functions.tables import given, spread
 
 MENTION, RELATION = r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+){0,3}", r"(\p{Lu}\p{L}+) (\p{Ll}+) (\p{Lu}\p{L}+)"
 
@@ -30,6 +30,24 @@ def entity_mentions(spark, at):
     return m.groupBy("canon").agg(F.sum("n").alias("mentions"), F.count("*").alias("docs")).where("mentions >= 2")
 
 
+def _marked(c):
+    """Folded words apart by single spaces, all else between them as a bar."""
+    return F.trim(F.regexp_replace(F.regexp_replace(texts.fold(c), r"[^\p{L}\p{N}_\s]", " | "), r"\s+", " "))
+
+
+def entity_spread(spark, at):
+    """In how many whole texts a name of two mentions and more stands as whole words.
+
+    Each place of a text carries its four next words; names meet it on their first word and are then compared whole.
+    """
+    names = entity_mentions(spark, at).select("canon", F.element_at(F.split("canon", " "), 1).alias("w1"), F.size(F.split("canon", " ")).alias("n"))
+    w = F.split(_marked(F.col("text")), " ")
+    next_words = lambda k: F.slice(F.col("w"), k + 1, F.size("w"))
+    d = spread(_documents(spark, at)).select("doc_id", w.alias("w")).select("doc_id", F.explode(F.arrays_zip(F.col("w").alias("a"), next_words(1).alias("b"), next_words(2).alias("c"), next_words(3).alias("d"))).alias("x"))
+    met = d.join(names, F.col("x.a") == F.col("w1")).where(F.array_join(F.slice(F.array("x.a", "x.b", "x.c", "x.d"), F.lit(1), F.col("n")), " ") == F.col("canon"))
+    return met.groupBy("canon").agg(F.countDistinct("doc_id").alias("docs"))
+
+
 def entity_filter(spark, at):
     """Mentions as found and as kept, the share rejected, distinct names, those met once, and names per 1000 words."""
     words = _documents(spark, at).agg(F.sum(F.size(texts.words(F.col("text"))).cast("long")).alias("words"))
@@ -146,9 +164,10 @@ _ALIAS = plain.values(ALIASES, "name string, alias string")
 _KEPT = f"(SELECT * FROM {_CHECKED} c WHERE reason = 'kept')"
 _NAMES = f"(SELECT DISTINCT unnest([s, o]) AS name FROM {_KEPT} k)"
 _SHARED = f"(SELECT name FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({plain.fold('text')}, '[a-z]+')) AS name FROM {_DOCS} d) w GROUP BY name HAVING count(*) >= 2)"
-QUERIES = {f.__name__: f for f in (entity_mentions, entity_filter, relation_checks, graph_merged, gleaned, rewritten, graph_lines, probe_report, top_predicates)}
+QUERIES = {f.__name__: f for f in (entity_mentions, entity_spread, entity_filter, relation_checks, graph_merged, gleaned, rewritten, graph_lines, probe_report, top_predicates)}
 ORACLES = {
     "entity_mentions": f"SELECT canon, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM {_MENTIONS} m WHERE canon IS NOT NULL GROUP BY canon HAVING count(*) >= 2",
+    "entity_spread": f"SELECT canon, count(*) AS docs FROM (SELECT canon FROM {_MENTIONS} m WHERE canon IS NOT NULL GROUP BY canon HAVING count(*) >= 2) n JOIN (SELECT ' ' || trim(regexp_replace(regexp_replace({plain.fold('text')}, '[^\\p{{L}}\\p{{N}}_ \\t\\n\\r\\f\\v]', ' | ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) || ' ' AS t FROM {_DOCS} d) d ON contains(t, ' ' || canon || ' ') GROUP BY canon",
     "entity_filter": f"SELECT cast(sum(n) AS bigint) AS found, cast(sum(CASE WHEN canon IS NOT NULL THEN n END) AS bigint) AS kept, round(1 - sum(CASE WHEN canon IS NOT NULL THEN n END) / sum(n), 2) AS rejected, count(canon) AS distinct_names, count(CASE WHEN canon IS NOT NULL AND n = 1 THEN 1 END) AS met_once, round(1000 * sum(CASE WHEN canon IS NOT NULL THEN n END) / max(words), 1) AS density FROM (SELECT canon, count(*) AS n FROM {_MENTIONS} m GROUP BY canon) g, {_WORDS} w",
     "relation_checks": f"SELECT reason, count(*) AS n FROM {_CHECKED} c GROUP BY reason",
     "graph_merged": f"SELECT s, p, o, cast(len(d) AS int) AS sources, fresh AS is_new, d[1] AS first_doc FROM (SELECT s, p, o, list_sort(list(DISTINCT doc)) AS d, min(doc % 2) <> 0 AS fresh FROM {_KEPT} k GROUP BY s, p, o) g",

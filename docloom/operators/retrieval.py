@@ -73,9 +73,11 @@ def _first_hits(near: DataFrame) -> DataFrame:
 
 def rank_summary(spark, at):
     """Hits, mean reciprocal rank (0 beyond twenty) and the upper median of ranks."""
-    r = _first_hits(_found(spark, at, 20))
-    hit = lambda k: F.round(F.avg((F.col("r") <= k).cast("double")), 6).alias(f"hit{k}")
-    return r.agg(F.count("*").alias("n"), hit(1), hit(5), F.round(F.avg(F.when(F.col("r") <= 20, 1 / F.col("r")).otherwise(0.0)), 6).alias("mrr"), F.expr("element_at(array_sort(collect_list(r)), int(count(r) / 2) + 1)").alias("median_rank"))
+    r = _first_hits(_found(spark, at, 20)).groupBy("r").agg(F.count("*").alias("m"))  # 21 rows at most
+    r = r.withColumn("upto", F.sum("m").over(Window.orderBy("r"))).withColumn("n", F.sum("m").over(Window.partitionBy(F.lit(1))))
+    mean = lambda x: F.round(F.sum(x * F.col("m")) / F.max("n"), 6)
+    hit = lambda k: mean((F.col("r") <= k).cast("double")).alias(f"hit{k}")
+    return r.agg(F.max("n").alias("n"), hit(1), hit(5), mean(F.when(F.col("r") <= 20, 1 / F.col("r")).otherwise(0.0)).alias("mrr"), F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("r"))).alias("median_rank"))
 
 
 def recall_curve(spark, at):
