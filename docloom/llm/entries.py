@@ -61,5 +61,26 @@ def queries():
     return {"pipeline": pipeline} | {k: v for k, v in globals().items() if k.startswith("op")}
 
 
+#: The operators whose whole contract SQL can say; the others are tested against plain Python.
+_REPEATS = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d) x),
+    low AS (SELECT k, min(doc_id) AS least_id FROM win GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+    gone AS (SELECT DISTINCT win.doc_id, win.i + r.o AS p FROM win JOIN low ON low.k = win.k AND low.least_id < win.doc_id, range(13) AS r(o)),
+    word AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d)
+    SELECT d.doc_id, cast(len(d.w) AS bigint) AS n_words, coalesce(s.gone, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256 FROM d LEFT JOIN
+    (SELECT word.doc_id, count(gone.p) AS gone, string_agg(CASE WHEN gone.p IS NULL THEN t END, ' ' ORDER BY word.p) AS kept FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p GROUP BY word.doc_id) s ON s.doc_id = d.doc_id"""
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAKS = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), b AS (SELECT cast(item_id AS varchar) AS item, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    win AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS t FROM (SELECT item, w, least(8, len(w)) AS k, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS i FROM b WHERE len(w) > 0) x),
+    own AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS t FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) ks) x),
+    hit AS (SELECT own.doc_id, own.i, own.k, win.item FROM own JOIN win ON win.t = own.t AND win.k = own.k),
+    n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hit) h) q GROUP BY doc_id),
+    m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) h GROUP BY doc_id)
+    SELECT d.doc_id, cast(len(d.w) AS bigint) AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items, sha256(coalesce(m.items, '')) AS items_sha256, coalesce(m.n_items, 0) >= 2 AS contaminated FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""
+_VECTORS = """WITH RECURSIVE link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(cast(a.embedding AS double[]), cast(b.embedding AS double[])) BETWEEN 0.93 AND 1.1),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+    SELECT e.vec_id, coalesce(l.n, 0) AS n_links, r.component_id, e.vec_id = r.component_id AS kept FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = e.vec_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = e.vec_id"""
+
+
 def oracle_sql():
-    return {}
+    return {"op1_repeats": _REPEATS, "op5_decontamination": _LEAKS, "op7_vectors": _VECTORS}
