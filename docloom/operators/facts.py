@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from docloom.functions import plain, texts
 from docloom.functions.tables import given, spread
+from docloom.operators.chunks import bound
 
 MENTION, RELATION = r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+){0,3}", r"(\p{Lu}\p{L}+) (\p{Ll}+) (\p{Lu}\p{L}+)"
 
 
 def _documents(spark, at) -> DataFrame:
-    return spark.read.parquet(f"{at}/documents.parquet").where("text is not null")
+    return spread(spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text")).where("text is not null")
 
 
 def _mentions(spark, at) -> DataFrame:
@@ -38,14 +39,13 @@ def _marked(c):
 def entity_spread(spark, at):
     """In how many whole texts a name of two mentions and more stands as whole words.
 
-    Each place of a text carries its four next words; names meet it on their first word and are then compared whole.
+    Names have four words at most, so they meet the distinct runs of one to four words of each text.
     """
-    names = entity_mentions(spark, at).select("canon", F.element_at(F.split("canon", " "), 1).alias("w1"), F.size(F.split("canon", " ")).alias("n"))
-    w = F.split(_marked(F.col("text")), " ")
-    next_words = lambda k: F.slice(F.col("w"), k + 1, F.size("w"))
-    d = spread(_documents(spark, at)).select("doc_id", w.alias("w")).select("doc_id", F.explode(F.arrays_zip(F.col("w").alias("a"), next_words(1).alias("b"), next_words(2).alias("c"), next_words(3).alias("d"))).alias("x"))
-    met = d.join(names, F.col("x.a") == F.col("w1")).where(F.array_join(F.slice(F.array("x.a", "x.b", "x.c", "x.d"), F.lit(1), F.col("n")), " ") == F.col("canon"))
-    return met.groupBy("canon").agg(F.countDistinct("doc_id").alias("docs"))
+    longer = lambda runs, w, k: F.zip_with(runs, F.slice(w, k, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+    every = bound(F.split(_marked(F.col("text")), " "), lambda w: bound(longer(w, w, 2), lambda two: bound(longer(two, w, 3), lambda three: F.array_distinct(F.flatten(F.array(w, two, three, longer(three, w, 4)))))))
+    names = entity_mentions(spark, at).select("canon")
+    runs = _documents(spark, at).select("doc_id", F.explode(every).alias("canon"))
+    return runs.join(names, "canon", "left_semi").groupBy("canon").agg(F.countDistinct("doc_id").alias("docs"))
 
 
 def entity_filter(spark, at):
