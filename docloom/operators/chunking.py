@@ -23,14 +23,6 @@ def pack(parts: Column, target: int = 1400) -> Column:
     return F.aggregate(parts, empty, step, lambda a: F.when(a["size"] > 0, F.concat(a["done"], F.array(a["size"]))).otherwise(a["done"]))
 
 
-def merge_tiny(sizes: Column, least: int = 200) -> Column:
-    """C3 without its first-group case: a group under least joins the group before it."""
-    def step(a, n):
-        return F.when((n < least) & (F.size(a) > 0), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.element_at(a, -1) + n + 1))).otherwise(F.concat(a, F.array(n)))
-
-    return F.aggregate(sizes, F.array().cast("array<int>"), step)
-
-
 def chunk_fixed(spark, at) -> DataFrame:
     docs = spark.read.parquet(f"{at}/documents.parquet")
     return docs.select("doc_id", F.posexplode(pack(sentences(F.col("text")))).alias("chunk", "n_chars"))
