@@ -9,16 +9,20 @@ keeps its words; repeats within one text stay. Texts of fewer than 13 words keep
 
 Every row comes back once. Rows that repeat an id are parts of one document: windows don't cross them, and what goes from one goes
 from the others. A row without an id has no smaller one beside it: it keeps its words, and takes none from others. Texts are dealt
-into groups of about GROUP_BYTES, counted beforehand, so that a group fits a worker at any size of the corpus.
+into groups of about GROUP_BYTES, counted beforehand, so that a group fits a worker at any size of the corpus. Words are hashed in
+pieces, and a worker gives free memory back after each slice or group: beside it the executor's heap may be full. Hits go to few
+files: on local folders an executor starts three processes (chmod) for each file, and each counts as large as its JVM at first.
 """
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +31,8 @@ from docloom.llm import words as W
 from docloom.llm.shared import released, written
 
 WINDOW, GROUP_BYTES, SLICE = 13, 64 << 20, 2 << 20
+#: Bytes of text whose words are hashed at once: arrays of eight bytes for each byte of a text are held for no more than this.
+PIECE = 1 << 18
 
 
 def _tokens(parts):
@@ -35,6 +41,25 @@ def _tokens(parts):
     return data, s, e, t
 
 
+def _hashes(data, s, e, table: int = 0) -> np.ndarray:
+    """W.hashes, in pieces of whole words."""
+    out = np.empty(len(s), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(s, np.arange(0, len(data), PIECE)), len(s))).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        x, y = s[a], e[b - 1]
+        out[a:b] = W.hashes(data[x:y], s[a:b] - x, e[a:b] - x, table)
+    return out
+
+
+def _lean(out):
+    """out, after Arrow and the C library gave what they hold unused back to the system: workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    return out
+
+
 def _grams(h, t, n):
     """Window hashes, their starts, and texts, for windows within one text."""
     g = W.rolling(h, n)
@@ -123,36 +148,42 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     base = rows.where("doc_id is not null")
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
-    buckets = 2 * groups
+    buckets, files = 2 * groups, -(-groups // 16)
     slice_bytes = min(max(SLICE, SLICE * groups // 512), 8 * SLICE)
 
+    def entries(ids, first, p):
+        """Rows of a slice of texts: anchors found in it, and one entry a hash for the buckets."""
+        data, s, e, t = _tokens(p)
+        h, at, own = _grams(_hashes(data, s, e), t, block)
+        edge = np.searchsorted(t, np.arange(len(p) + 1))
+        aligned = (at - edge[own]) % block == 0
+        doc = ids[first + own]
+        o, run, num = _groups(h)
+        if not len(o):
+            return []
+        dd = doc[o]
+        low, high = np.minimum.reduceat(dd, run), np.maximum.reduceat(dd, run)
+        none = np.iinfo(np.int64).max
+        owner = np.minimum.reduceat(np.where(aligned[o], dd, none), run)
+        pos = (at - edge[own])[o]
+        shared = (low != high)[num]
+        rows = [[x[0] % buckets, b"", b"", b"", *x] for x in _hits(dd[shared], pos[shared], groups)]
+        # an entry's code: twice its place, plus one if a block; -1: only its prober, -2: only its owner
+        only, two = low == high, (low != high) & (owner != none)
+        code = np.where(only, pos[run] * 2 + (owner != none), -1).astype(np.int32)
+        hh, d, c = np.concatenate([h[o][run], h[o][run][two]]), np.concatenate([high, owner[two]]), np.concatenate([code, np.full(two.sum(), -2, np.int32)])
+        near = np.concatenate([o[run], o[run][two]]).argsort(kind="stable")
+        hh, d, c = hh[near], d[near].astype(np.int64), c[near]
+        return rows + [[*x, None, None, None] for x in _deal(hh, [hh.astype(np.uint32), d, c], buckets)]
+
     def probe(batches):
-        for pdf in batches:
-            ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
-            for first, p in W.slices(texts, slice_bytes):
-                data, s, e, t = _tokens(p)
-                h, at, own = _grams(W.hashes(data, s, e), t, block)
-                edge = np.searchsorted(t, np.arange(len(p) + 1))
-                aligned = (at - edge[own]) % block == 0
-                doc = ids[first + own]
-                o, run, num = _groups(h)
-                if not len(o):
-                    continue
-                dd = doc[o]
-                low, high = np.minimum.reduceat(dd, run), np.maximum.reduceat(dd, run)
-                none = np.iinfo(np.int64).max
-                owner = np.minimum.reduceat(np.where(aligned[o], dd, none), run)
-                pos = (at - edge[own])[o]
-                shared = (low != high)[num]
-                rows = [[x[0] % buckets, b"", b"", b"", *x] for x in _hits(dd[shared], pos[shared], groups)]
-                # an entry's code: twice its place, plus one if a block; -1: only its prober, -2: only its owner
-                only, two = low == high, (low != high) & (owner != none)
-                code = np.where(only, pos[run] * 2 + (owner != none), -1).astype(np.int32)
-                hh, d, c = np.concatenate([h[o][run], h[o][run][two]]), np.concatenate([high, owner[two]]), np.concatenate([code, np.full(two.sum(), -2, np.int32)])
-                near = np.concatenate([o[run], o[run][two]]).argsort(kind="stable")
-                hh, d, c = hh[near], d[near].astype(np.int64), c[near]
-                rows += [[*x, None, None, None] for x in _deal(hh, [hh.astype(np.uint32), d, c], buckets)]
-                yield pd.DataFrame(rows, columns=["b", "h", "doc", "code", "g", "docs", "at"]).astype({"g": "Int64"})
+        form = pa.schema([(n, pa.int64() if n in ("b", "g") else pa.binary()) for n in ("b", "h", "doc", "code", "g", "docs", "at")])
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for first, p in W.slices((x.as_py() for x in batch.column("text")), slice_bytes):
+                rows = entries(ids, first, p)
+                if rows:
+                    yield _lean(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), form)], schema=form))
 
     def passed(pdf, hits):
         sure = pdf[pdf["g"].notna()]
@@ -171,7 +202,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         return passed(pdf, _hits(d[hit], c[hit] // 2, groups))
 
     packed = "b long, h binary, doc binary, code binary, g long, docs binary, at binary"
-    anchors = written(base.mapInPandas(probe, packed).groupBy("b").applyInPandas(meet, "g long, docs binary, at binary"), "anchors")
+    anchors = written(base.mapInArrow(probe, packed).groupBy("b").applyInPandas(lambda pdf: _lean(meet(pdf)), "g long, docs binary, at binary").repartition(files), "anchors")
     released(spark)
     dealt = base.withColumn("g", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(groups)))
 
@@ -184,12 +215,13 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         seen_of: dict[int, list] = {d: [] for d in several}
         for d, _, b in own_parts:
             if d in several:  # an anchor of one row marks all rows of its id
-                h7 = _grams(W.hashes(*_tokens([b])[:3]), _tokens([b])[3], block)[0]
+                data, s, e, t = _tokens([b])
+                h7 = _grams(_hashes(data, s, e), t, block)[0]
                 q = at[d]
                 seen_of[d].append(h7[q[q < len(h7)]])
         for first, p in W.slices([b for *_, b in own_parts], slice_bytes):
             data, s, e, t = _tokens(p)
-            wh = W.hashes(data, s, e)
+            wh = _hashes(data, s, e)
             h7, at7, own7 = _grams(wh, t, block)
             edge = np.searchsorted(t, np.arange(len(p) + 1))
             mark = np.zeros(len(wh) + 1, bool)
@@ -200,7 +232,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 if len(seen):
                     mark[at7[a:b][np.isin(seen, np.concatenate(seen_of[d]) if d in several else seen[q[q < len(seen)]])]] = True
             h, w, own = _grams(wh, t, window)
-            h2 = _grams(W.hashes(data, s, e, 1), t, window)[0]
+            h2 = _grams(_hashes(data, s, e, 1), t, window)[0]
             total = np.concatenate([[0], np.cumsum(mark)])
             take = total[w + window - block + 1] > total[w] if len(w) else np.zeros(0, bool)
             h, h2, w, own = h[take], h2[take], w[take], own[take]
@@ -228,8 +260,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         return passed(pdf, _hits(low[o][hit], pos[o][hit], groups))
 
     wide = "b long, h binary, h2 binary, low binary, pos binary, g long, docs binary, at binary"
-    second = dealt.groupBy("g").cogroup(anchors.groupBy("g")).applyInPandas(lambda k, a, b: windows(k, a, b), wide)
-    covered = written(second.groupBy("b").applyInPandas(decide, "g long, docs binary, at binary"), "covered")
+    second = dealt.groupBy("g").cogroup(anchors.groupBy("g")).applyInPandas(lambda k, a, b: _lean(windows(k, a, b)), wide)
+    covered = written(second.groupBy("b").applyInPandas(lambda pdf: _lean(decide(pdf)), "g long, docs binary, at binary").repartition(files), "covered")
     released(spark)
 
     def keep(_, left, right):
@@ -239,7 +271,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         for d, before, b in _parts(left["doc_id"].to_numpy(), left["text"].tolist()):
             if d in at:
                 data, s, e, t = _tokens([b])
-                h = W.rolling(W.hashes(data, s, e), window)
+                h = W.rolling(_hashes(data, s, e), window)
                 q = at[d] - before
                 gone.setdefault(d, []).append(h[q[(q >= 0) & (q < len(h))]])
         for d, text in zip(left["doc_id"].tolist(), left["text"].tolist()):
@@ -248,7 +280,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             n = len(ws)
             if d in gone:
                 data, s, e, t = _tokens([b])
-                starts = np.flatnonzero(np.isin(W.rolling(W.hashes(data, s, e), window), np.concatenate(gone[d])))
+                starts = np.flatnonzero(np.isin(W.rolling(_hashes(data, s, e), window), np.concatenate(gone[d])))
                 mark = np.zeros(n + 1, np.int64)
                 np.add.at(mark, starts, 1)
                 np.add.at(mark, starts + window, -1)
@@ -264,6 +296,6 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             yield pd.DataFrame([(len(w), hashlib.sha256(b" ".join(w)).hexdigest(), b" ".join(w).decode()) for w in kept], columns=["n_words", "kept_sha256", "kept"])
 
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    named = dealt.groupBy("g").cogroup(covered.groupBy("g")).applyInPandas(lambda k, a, b: keep(k, a, b), kind)
+    named = dealt.groupBy("g").cogroup(covered.groupBy("g")).applyInPandas(lambda k, a, b: _lean(keep(k, a, b)), kind)
     unnamed = rows.where("doc_id is null").mapInPandas(whole, "n_words long, kept_sha256 string, kept string")
     return named.unionAll(unnamed.select(F.lit(None).cast("long"), "n_words", F.lit(0).cast("long"), "kept_sha256", "kept"))

@@ -1,6 +1,9 @@
 import hashlib
 import random
+import re
+from pathlib import Path
 
+import psutil
 import pytest
 
 from docloom.llm import repeats
@@ -63,3 +66,56 @@ def test_repeated_and_missing_ids(spark, monkeypatch, size):
 
 def test_empty_table(spark):
     assert repeats.removed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hits_go_to_few_files(spark, monkeypatch):
+    paths, written = [], repeats.written
+
+    def kept(df, name):
+        out = written(df, name)
+        paths.append(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(repeats, "written", kept)
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = [(i, " ".join(f"w{i % 50}_{j}" for j in range(30))) for i in range(150)]
+        assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [0 < len(x) <= 4 for x in paths] == [True, True]
+
+
+def test_hashes_in_pieces(monkeypatch):
+    text = " ".join(["wörd", "x" * 50, "y", "a b  c", "z" * 9] * 20).encode()
+    data, s, e, _ = repeats._tokens([text, b"", b"end"])
+    monkeypatch.setattr(repeats, "PIECE", 16)
+    for table in (0, 1):
+        assert repeats._hashes(data, s, e, table).tolist() == repeats.W.hashes(data, s, e, table).tolist()
+    assert len(repeats._hashes(*repeats._tokens([b" "])[:3])) == len(repeats._hashes(*repeats._tokens([b""])[:3])) == 0
+
+
+def workers(what):
+    """MB of each Python worker by a line of its status."""
+    for p in psutil.Process().children(recursive=True):
+        if "pyspark.daemon" in " ".join(p.cmdline()):
+            yield int(re.search(rf"{what}:\s+(\d+)", Path(f"/proc/{p.pid}/status").read_text())[1]) >> 10
+
+
+def test_workers_hold_little_beside_a_long_text(spark):
+    """16 MB of text: hashing it at once took eight bytes a byte of it, five times over, and the workers kept much of that."""
+    rng = random.Random(5)
+    long = [f"{rng.getrandbits(240):060x}" for _ in range(260_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["a"] * 20 + long[1000:1040] + ["b"] * 5)), (3, " ".join(long[-13:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    df.mapInPandas(lambda it: it, df.schema).count()
+    for p in psutil.Process().children(recursive=True):
+        if "pyspark.daemon" in " ".join(p.cmdline()):
+            Path(f"/proc/{p.pid}/clear_refs").write_text("5")  # the peak starts anew
+    assert [r[2] for r in found(df)] == [0, 40, 13]
+    assert max(workers("VmHWM")) < 400
+    assert max(workers("RssAnon")) < 250
