@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docloom.llm import decontam, language, licenses, packing, pages, quality, repeats, simhash, surrogates, vectors
+from docloom.llm import decontam, langid, language, licenses, negatives, packing, pages, quality, repeats, simhash, surrogates, tries, vectors
 
 
 def _table(spark, at, name):
@@ -51,6 +51,18 @@ def op10_licenses(spark, at):
     return licenses.scans(_table(spark, at, "documents"))
 
 
+def op11_language_id(spark, at):
+    return langid.predictions(_table(spark, at, "documents"))
+
+
+def op12_hard_negatives(spark, at):
+    return negatives.mined(_table(spark, at, "embeddings"), shift=(7, 10))
+
+
+def op13_prefix_trie(spark, at):
+    return tries.prefix_trie(*tries.placed(_table(spark, at, "conversations"), graft=20))
+
+
 def pipeline(spark, at):
     import corpus_pipeline
 
@@ -81,6 +93,23 @@ _VECTORS = """WITH RECURSIVE link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e
     reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
     SELECT e.vec_id, coalesce(l.n, 0) AS n_links, r.component_id, e.vec_id = r.component_id AS kept FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = e.vec_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = e.vec_id"""
 
+_NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint)) AS q FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, v.vec_id AS id, a.label = v.label AS same, cast(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * v.q[i])) AS bigint) AS score FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same) x WHERE k <= 5),
+    n AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+    SELECT anchor_id, positive_id, cast(rank AS int) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+#: crc32 of a decimal number, bit by bit.
+_CRC = "xor(list_reduce(list_concat([cast(4294967295 AS bigint)], list_transform(regexp_extract_all(cast(c AS varchar), '.'), lambda s: cast(ascii(s) AS bigint))), lambda a, b: list_reduce(list_concat([xor(a, b)], cast(range(8) AS bigint[])), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, cast(3988292384 AS bigint)) ELSE x // 2 END)), cast(4294967295 AS bigint))"
+_TRIE = rf"""WITH own AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    h AS (SELECT c, s, {_CRC} % 4 AS h FROM own), new AS (SELECT h.c, list_concat(coalesce(b.s[1:h.h], []), h.s[h.h + 1:]) AS s FROM h LEFT JOIN own b ON b.c = h.c - h.c % 20),
+    part AS (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM new), node AS (SELECT d, s[1:d] AS k, min(c) AS id, count(*) AS n, coalesce(string_agg(cast(c AS varchar), ',' ORDER BY c) FILTER (WHERE len(s) = d), '') AS ends FROM part GROUP BY ALL),
+    kid AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+    full_node AS (SELECT node.*, coalesce(kid.n, 0) AS kids, CASE WHEN node.d > 0 THEN (node.n - 1) * len(regexp_extract_all(node.k[node.d].t, '[^ 	-]+')) ELSE 0 END AS saved FROM node LEFT JOIN kid ON kid.d = node.d AND kid.k = node.k),
+    up AS (SELECT e AS d, k[1:e] AS k, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM full_node) x GROUP BY ALL)
+    SELECT f.id AS conv_id, cast(f.d AS bigint) AS depth, p.id AS parent_conv_id, f.n AS n_convs, cast(f.kids AS bigint) AS n_children, cast(up.leaves AS bigint) AS n_leaves, cast(up.saved AS bigint) AS saved_tokens, sha256(f.ends) AS ends_sha256
+    FROM full_node f JOIN up ON up.d = f.d AND up.k = f.k LEFT JOIN node p ON p.d = f.d - 1 AND p.k = f.k[1:f.d - 1]"""
+
 
 def oracle_sql():
-    return {"op1_repeats": _REPEATS, "op5_decontamination": _LEAKS, "op7_vectors": _VECTORS}
+    return {"op1_repeats": _REPEATS, "op5_decontamination": _LEAKS, "op7_vectors": _VECTORS, "op12_hard_negatives": _NEGATIVES, "op13_prefix_trie": _TRIE}
