@@ -1,4 +1,7 @@
-"""Sentences, chunks and index pieces as folds over arrays inside the JVM: one pass over each text, no shuffle."""
+"""Sentences, chunks and index pieces as folds inside the JVM: one pass over each text, no shuffle.
+
+Folds run over lengths and places of sentences; texts are put together once, at the end.
+"""
 
 from __future__ import annotations
 
@@ -24,69 +27,100 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def sentences(text: Column) -> Column:
-    """Cut after . ! ? … and white space; a part joins the one before it after an abbreviation, an initial, or a short start."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace(text, r"[ \t]+", " "), r"(?<=[.!?…])\s+"), stripped), lambda p: p != "")
+#: A fold copies its state at each step; so items are folded in blocks of WIDTH, these in blocks of WIDTH blocks, and each level
+#: adds what a block gave to its list at once: a step copies few items, however many there are.
+WIDTH, LEVELS = 64, 2
 
-    def joins(prev):
-        word = F.lower(F.regexp_extract(F.regexp_replace(prev, r"\.+$", ""), r"([^\s(]*)$", 1))
-        return word.isin(ABBREVIATIONS) | word.rlike("^[a-z]$") | ((F.length(prev) < 25) & ~prev.rlike("[:?!]$"))
 
-    def step(a, p):
-        kept = F.struct(a["done"].alias("done"), F.concat(a["last"], F.lit(" "), p).alias("last"))
-        cut = F.struct(F.concat(a["done"], F.array(a["last"])).alias("done"), p.alias("last"))
-        return F.when(a["last"] == "", F.struct(a["done"].alias("done"), p.alias("last"))).when(joins(a["last"]), kept).otherwise(cut)
+def folded(items: Column, kind: str, now: Column, step) -> Column:
+    """The last state (done, now) of a fold: step(done, now, item) gives both anew, where done holds what its block added so far."""
+    state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
+    none = F.array().cast(f"array<{kind}>")
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("last"))
-    return F.aggregate(parts, start, step, lambda a: F.when(a["last"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["last"]))))
+    def level(items, now, k, end):
+        if not k:
+            return F.aggregate(items, state(none, now), lambda a, x: state(*step(a["done"], a["now"], x)), end)
+        width = WIDTH**k
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / width).cast("int")), lambda b: F.slice(items, b * width + 1, F.lit(width)))
+        some = F.when(F.size(items) > 0, blocks).otherwise(F.slice(blocks, 1, 0))
+        return F.aggregate(some, state(none, now), lambda a, b: level(b, a["now"], k - 1, lambda r: state(F.concat(a["done"], r["done"]), r["now"])), end)
 
+    return bound(items, lambda x: level(x, now, LEVELS, lambda a: a))
 
-_GROUP = "array<struct<body:string,n:int,last:string>>"
 
+_RUN = {"at": "int", "n": "int", "len": "int"}
 
-def _one(body, n, last) -> Column:
-    return F.struct(body.alias("body"), n.cast("int").alias("n"), last.alias("last"))
 
+def _run(at, n, size, **more: Column) -> Column:
+    return F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"), size.cast("int").alias("len"), *(c.alias(k) for k, c in more.items()))
 
-def _swap_last(a, x) -> Column:
-    return F.concat(F.slice(a, 1, F.size(a) - 1), F.array(x))
 
+def gathered(items: Column, joins, **more: str) -> Column:
+    """Runs of neighbouring parts: an item (at, n, len and `more`) joins the run before it where joins(run, item), or opens one.
 
-def packed(parts: Column, target: int = TARGET) -> Column:
-    """Groups of whole sentences up to the target; a longer sentence stands alone, whatever its length."""
+    at is the first part, n how many parts there are, len their length joined by spaces; the rest stays as the last item has it.
+    """
+    kind = "struct<" + ",".join(f"{k}:{t}" for k, t in (_RUN | more).items()) + ">"
 
-    def step(a, s):
-        p = F.element_at(a, -1)
-        fits = F.length(p["body"]) + 1 + F.length(s) + 1 <= target
-        return F.when((F.size(a) > 0) & fits, _swap_last(a, _one(F.concat(p["body"], F.lit(" "), s), p["n"] + 1, s))).otherwise(F.concat(a, F.array(_one(s, F.lit(1), s))))
+    def step(done, run, x):
+        longer = _run(run["at"], run["n"] + x["n"], run["len"] + 1 + x["len"], **{k: x[k] for k in more})
+        on = run.isNull() | joins(run, x)
+        return F.when(on, done).otherwise(F.concat(done, F.array(run))), F.when(run.isNull(), x).when(joins(run, x), longer).otherwise(x)
 
-    return F.aggregate(parts, F.array().cast(_GROUP), step)
+    return bound(folded(items, kind, F.lit(None).cast(kind), step), lambda a: F.when(a["now"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
 
 
-def merged(groups: Column, least: int = LEAST) -> Column:
-    """A group under the least size joins the one before; a first one the second."""
-    both = lambda p, g: _one(F.concat(p["body"], F.lit(" "), g["body"]), p["n"] + g["n"], g["last"])
+def body(parts: Column, run: Column) -> Column:
+    """The parts of a run, joined by spaces."""
+    return F.when(run["n"] == 1, F.get(parts, run["at"])).otherwise(F.array_join(F.slice(parts, run["at"] + 1, run["n"]), " "))
 
-    def step(a, g):
-        return F.when((F.size(a) > 0) & (F.length(g["body"]) < least), _swap_last(a, both(F.element_at(a, -1), g))).otherwise(F.concat(a, F.array(g)))
 
-    def head(a):
-        return F.when((F.size(a) >= 2) & (F.length(F.get(a, F.lit(0))["body"]) < least), F.concat(F.array(both(F.get(a, F.lit(0)), F.get(a, F.lit(1)))), F.slice(a, 3, F.greatest(F.size(a) - 2, F.lit(0))))).otherwise(a)
+def sentences(text: Column) -> Column:
+    """Cut after . ! ? … and white space; a part joins the one before it after an abbreviation, an initial, or a short start."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace(text, r"[ \t]+", " "), r"(?<=[.!?…])\s+"), stripped), lambda p: p != "")
+
+    def item(p, i):
+        word = F.lower(F.regexp_extract(F.regexp_replace(p, r"\.+$", ""), r"([^\s(]*)$", 1))
+        return _run(i, F.lit(1), F.length(p), held=word.isin(ABBREVIATIONS) | word.rlike("^[a-z]$"), ended=p.rlike("[:?!]$"))
 
-    return F.aggregate(groups, F.array().cast(_GROUP), step, head)
+    def joined(parts):
+        runs = gathered(F.transform(parts, item), lambda run, _: run["held"] | ((run["len"] < 25) & ~run["ended"]), held="boolean", ended="boolean")
+        return F.transform(runs, lambda r: body(parts, r))
 
+    return bound(parts, joined)
+
+
+def packed(parts: Column, target: int = TARGET) -> Column:
+    """Runs of whole sentences up to the target; a longer sentence stands alone, whatever its length."""
+    return gathered(F.transform(parts, lambda s, i: _run(i, F.lit(1), F.length(s))), lambda run, s: run["len"] + 1 + s["len"] + 1 <= target)
 
-def overlapped(groups: Column, overlap: int = OVERLAP) -> Column:
-    """C4: each group but the first starts with the last sentence of the one before, where that is short."""
 
-    def with_tails(groups):
-        def with_tail(g, i):
-            tail = F.get(groups, i - 1)["last"]
-            return F.when((i > 0) & (F.length(tail) <= overlap), _one(F.concat(tail, F.lit(" "), g["body"]), g["n"] + 1, g["last"])).otherwise(_one(g["body"], g["n"], g["last"]))
+def merged(runs: Column, least: int = LEAST) -> Column:
+    """A run under the least size joins the one before; a first one the second."""
+    first, second = (lambda r: F.get(r, F.lit(0))), (lambda r: F.get(r, F.lit(1)))
+    both = lambda r: _run(first(r)["at"], first(r)["n"] + second(r)["n"], first(r)["len"] + 1 + second(r)["len"])
+    return bound(gathered(runs, lambda run, x: x["len"] < least), lambda r: F.when((F.size(r) >= 2) & (first(r)["len"] < least), F.concat(F.array(both(r)), F.slice(r, 3, F.greatest(F.size(r) - 2, F.lit(0))))).otherwise(r))
 
-        return F.transform(groups, with_tail)
 
-    return bound(groups, with_tails)
+def chunked(parts: Column, runs: Column) -> Column:
+    """(body, n) of runs."""
+    return F.transform(runs, lambda r: F.struct(body(parts, r).alias("body"), r["n"].alias("n")))
+
+
+def overlapped(parts: Column, runs: Column, overlap: int = OVERLAP) -> Column:
+    """C4: (body, n); each run but the first starts with the sentence before it, where that is short."""
+
+    def with_tail(r):
+        tail = F.get(parts, r["at"] - 1)
+        led = (r["at"] > 0) & (F.length(tail) <= overlap)
+        return F.struct(F.when(led, F.concat(tail, F.lit(" "), body(parts, r))).otherwise(body(parts, r)).alias("body"), F.when(led, r["n"] + 1).otherwise(r["n"]).alias("n"))
+
+    return F.transform(runs, with_tail)
+
+
+def fixed(text: Column) -> Column:
+    """The chunks of a text."""
+    return bound(sentences(text), lambda s: overlapped(s, merged(packed(s))))
 
 
 def sections(text: Column) -> Column:
@@ -99,30 +133,34 @@ def sections(text: Column) -> Column:
 
 def split_pieces(text: Column, size: int, overlap: int) -> Column:
     """Windows of at most `size` characters that end after the last paragraph, line, sentence or word break of their final
-    quarter; the next begins `overlap` before that end."""
-    return bound(stripped(text), lambda t: _windows(t, size, overlap))
+    quarter; the next begins `overlap` before that end. The text is cut into blocks of `size` beforehand, so that no window is
+    looked for from the front of a text."""
+    blocks = lambda t: F.regexp_extract_all(t, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return bound(stripped(text), lambda t: bound(F.length(t), lambda n: F.when(n <= size, F.filter(F.array(t), lambda x: x != "")).otherwise(bound(blocks(t), lambda b: _windows(b, n, size, overlap)))))
 
 
-def _windows(t: Column, size: int, overlap: int) -> Column:
+def _windows(blocks: Column, n: Column, size: int, overlap: int) -> Column:
     zone = max(1, size // 4)
-    n = F.length(t)
+
+    def at(start, length):
+        k = F.floor(start / size).cast("int")
+        return F.concat(F.coalesce(F.get(blocks, k), F.lit("")), F.coalesce(F.get(blocks, k + 1), F.lit(""))).substr(start - k * size + 1, length)
 
     def cut(s):
         full = s + size
-        last = F.reverse(t.substr(full - zone + 1, F.lit(zone)))
-        breaks = [F.instr(last, sep[::-1]) for sep in ("\n\n", "\n", ". ", " ")]
-        found = F.coalesce(*(F.when(b > 0, b) for b in breaks))
-        return F.when(full >= n, n).otherwise(F.coalesce(full - found + 1, full))
 
-    def step(a, _):
-        e = cut(a["s"])
-        piece = stripped(t.substr(a["s"] + 1, e - a["s"]))
-        more = F.when(piece != "", F.concat(a["done"], F.array(piece))).otherwise(a["done"])
-        return F.when(a["s"] >= n, a).otherwise(F.struct(F.when(e >= n, n).otherwise(F.greatest(a["s"] + 1, e - overlap)).alias("s"), more.alias("done")))
+        def last_break(last):
+            breaks = [F.instr(last, sep[::-1]) for sep in ("\n\n", "\n", ". ", " ")]
+            return F.coalesce(full - F.coalesce(*(F.when(b > 0, b) for b in breaks)) + 1, full)
+
+        return F.when(full >= n, n).otherwise(bound(F.reverse(at(full - zone, F.lit(zone))), last_break))
+
+    def step(done, s, _):
+        e = cut(s)
+        return F.when(s < n, F.concat(done, F.array(F.struct(s.alias("s"), e.cast("int").alias("e"))))).otherwise(done), F.when((s >= n) | (e >= n), n).otherwise(F.greatest(s + 1, e - overlap)).cast("int")
 
-    start = F.struct(F.lit(0).alias("s"), F.array().cast("array<string>").alias("done"))
-    rounds = F.sequence(F.lit(1), F.ceil(n / (0.75 * size - overlap - 2)).cast("int") + 2)
-    return F.when(n <= size, F.filter(F.array(t), lambda x: x != "")).otherwise(F.aggregate(rounds, start, step, lambda a: a["done"]))
+    found = folded(F.sequence(F.lit(1), F.ceil(n / (0.75 * size - overlap - 2)).cast("int") + 2), "struct<s:int,e:int>", F.lit(0), step)
+    return F.filter(F.transform(found["done"], lambda w: stripped(at(w["s"], w["e"] - w["s"]))), lambda p: p != "")
 
 
 def bag_cosine(a: Column, b: Column) -> Column:
@@ -140,21 +178,19 @@ def likeness(parts: Column) -> Column:
 
 
 def semantic(parts: Column, target: int = TARGET) -> Column:
-    """Cut where neighbours are among the least alike quarter and half the target is reached, and beyond FACTOR times the target."""
-    return bound(parts, lambda p: bound(likeness(p), lambda sims: bound(F.get(F.array_sort(sims), F.greatest(F.lit(0), F.floor(F.size(sims) * 0.25).cast("int") - 1)), lambda limit: _cut_where_unlike(p, sims, limit, target))))
+    """Runs cut where neighbours are among the least alike quarter and half the target is reached, and beyond FACTOR times the target."""
+    return bound(likeness(parts), lambda sims: bound(F.get(F.array_sort(sims), F.greatest(F.lit(0), F.floor(F.size(sims) * 0.25).cast("int") - 1)), lambda limit: _cut_where_unlike(parts, sims, limit, target)))
 
 
 def _cut_where_unlike(parts: Column, sims: Column, limit: Column, target: int) -> Column:
-    items = F.transform(parts, lambda s, i: F.struct(s.alias("s"), F.when(i > 0, F.get(sims, i - 1)).alias("sim")))
+    items = F.transform(parts, lambda s, i: _run(i, F.lit(1), F.length(s), sim=F.when(i > 0, F.get(sims, i - 1))))
 
-    def step(a, x):
-        p = F.element_at(a, -1)
-        size = F.length(p["body"]) + F.when(F.size(a) > 1, 1).otherwise(0)
-        cut = ((x["sim"] <= limit) & (size >= target * 0.5)) | (size + F.length(x["s"]) + 1 > int(target * FACTOR))
-        return F.when((F.size(a) == 0) | cut, F.concat(a, F.array(_one(x["s"], F.lit(1), x["s"])))).otherwise(_swap_last(a, _one(F.concat(p["body"], F.lit(" "), x["s"]), p["n"] + 1, x["s"])))
+    def joins(run, x):
+        size = run["len"] + F.when(run["at"] > 0, 1).otherwise(0)
+        return ~(((x["sim"] <= limit) & (size >= target * 0.5)) | (size + x["len"] + 1 > int(target * FACTOR)))
 
-    whole = F.array(_one(F.array_join(parts, " "), F.size(parts), F.element_at(parts, -1)))
-    return F.when(F.size(parts) == 0, F.array().cast(_GROUP)).when(F.size(parts) < 3, whole).otherwise(F.aggregate(items, F.array().cast(_GROUP), step))
+    plain = lambda runs: F.transform(runs, lambda r: _run(r["at"], r["n"], r["len"]))
+    return F.when(F.size(parts) < 3, gathered(F.transform(parts, lambda s, i: _run(i, F.lit(1), F.length(s))), lambda *_: F.lit(True))).otherwise(plain(gathered(items, joins, sim="double")))
 
 
 def records(doc: Column, section: Column, g: Column) -> list[Column]:
@@ -177,7 +213,7 @@ def sentence_pieces(spark, at):
 
 def fixed_chunks(spark, at):
     """C4, C7 over all documents."""
-    g = _documents(spark, at).withColumn("g", merged(packed(sentences(F.col("text"))))).select("doc", F.posexplode(overlapped(F.col("g"))).alias("chunk", "g"))
+    g = _documents(spark, at).select("doc", F.posexplode(fixed(F.col("text"))).alias("chunk", "g"))
     return g.select("doc", "chunk", *records(F.col("doc"), F.lit(""), F.col("g")))
 
 
@@ -194,19 +230,17 @@ def markdown_blocks(spark, at):
 
 
 def structural_chunks(spark, at):
-    """Chunks never cross a section; a document without two titles is cut as a fixed one."""
-    s = _sections(spark, at)
-    own = s.where("titled").select("doc", "block", F.coalesce("s.title", F.lit("")).alias("title"), F.posexplode(merged(packed(sentences(F.col("s.body"))))).alias("k", "g"))
-    own = own.select("doc", (F.col("block") * 10000 + F.col("k")).alias("chunk"), "title", "g")
-    g = s.where("not titled").select("doc", F.col("s.body").alias("text")).withColumn("g", merged(packed(sentences(F.col("text"))))).select("doc", F.posexplode(overlapped(F.col("g"))).alias("chunk", "g"))
-    every = own.unionAll(g.select("doc", "chunk", F.lit("").alias("title"), "g"))
-    return every.select("doc", "chunk", *records(F.col("doc"), F.col("title"), F.col("g")))
+    """Chunks never cross a section, and are counted in each; a document without two titles is cut as a fixed one."""
+    s = _sections(spark, at).select("doc", "block", "titled", F.coalesce("s.title", F.lit("")).alias("title"), F.col("s.body").alias("text"))
+    own = s.where("titled").select("doc", "block", "title", F.posexplode(bound(sentences(F.col("text")), lambda p: chunked(p, merged(packed(p))))).alias("chunk", "g"))
+    every = own.unionAll(s.where("not titled").select("doc", "block", F.lit("").alias("title"), F.posexplode(fixed(F.col("text"))).alias("chunk", "g")))
+    return every.select("doc", "block", "chunk", *records(F.col("doc"), F.col("title"), F.col("g")))
 
 
 def semantic_chunks(spark, at):
     """C6 with bags of words for an embedder."""
-    s = _documents(spark, at).select("doc", sentences(F.col("text")).alias("s")).withColumn("g", merged(semantic(F.col("s"))))
-    return s.select("doc", F.posexplode("g").alias("chunk", "g")).select("doc", "chunk", F.col("g.body").alias("body"), F.col("g.n").alias("n_sentences"))
+    g = bound(sentences(F.col("text")), lambda s: chunked(s, merged(semantic(s))))
+    return _documents(spark, at).select("doc", F.posexplode(g).alias("chunk", "g")).select("doc", "chunk", F.col("g.body").alias("body"), F.col("g.n").alias("n_sentences"))
 
 
 def flat_pieces(spark, at):
@@ -214,10 +248,6 @@ def flat_pieces(spark, at):
     return _documents(spark, at).select("doc", F.posexplode(split_pieces(F.col("text"), 2990, 450)).alias("chunk_index", "piece"))
 
 
-def _parents(spark, at):
-    return _documents(spark, at).select("doc", F.posexplode(split_pieces(F.col("text"), 2990, 299)).alias("parent_index", "parent"))
-
-
 def parent_children(spark, at):
     """Parents of 650 tokens, children of 120; the child index runs on over the parents of a document."""
     deep = F.flatten(F.transform(split_pieces(F.col("text"), 2990, 299), lambda p, i: F.transform(split_pieces(p, 552, 110), lambda c: F.struct(i.alias("i"), p.alias("p"), c.alias("c")))))
@@ -227,17 +257,17 @@ def parent_children(spark, at):
 
 def measured_children(spark, at):
     """C11: children of the measured chunks; their index starts anew in each parent, and parents are numbered over the corpus."""
-    p = written(fixed_chunks(spark, at).select((F.col("doc").cast("long") * 1_000_000 + F.col("chunk")).alias("key"), "text"), "parents")
+    wide = F.col("doc").cast("decimal(38,0)") * F.lit(10_000_000_000).cast("decimal(11,0)") + F.col("chunk")  # a chunk's number is under 2^31
+    p = written(fixed_chunks(spark, at).select(wide.cast("decimal(38,0)").alias("key"), "text"), "parents")
     p = numbered(p, "key").select(F.col("place").alias("parent_index"), "text")
     kids = split_pieces(F.col("text"), 552, 110)
-    return p.select("parent_index", F.posexplode(F.when(F.size(kids) > 0, kids).otherwise(F.array("text"))).alias("chunk_index", "child"))
+    return p.select("parent_index", F.posexplode(bound(kids, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array("text")))).alias("chunk_index", "child"))
 
 
 def requirement_children(spark, at):
     """C14: children of 200 tokens of the structural chunks, under a key of parent and child."""
-    p = structural_chunks(spark, at)
-    x = p.select("doc", "chunk", "text", F.posexplode(split_pieces(F.col("text"), 920, 184)).alias("child_index", "child"))
-    return x.select("doc", "chunk", "child_index", F.length("child").alias("n_chars"), F.sha1(F.concat("text", F.lit("||"), "child")).alias("key"))
+    x = structural_chunks(spark, at).select("doc", "block", "chunk", "text", F.posexplode(split_pieces(F.col("text"), 920, 184)).alias("child_index", "child"))
+    return x.select("doc", "block", "chunk", "child_index", F.length("child").alias("n_chars"), F.sha1(F.concat("text", F.lit("||"), "child")).alias("key"))
 
 
 def chunk_report(spark, at):
@@ -307,14 +337,20 @@ _TAIL = f"CASE WHEN i > 1 AND length(g[i - 1].l) <= {OVERLAP} THEN g[i - 1].l ||
 _MORE = f"CASE WHEN i > 1 AND length(g[i - 1].l) <= {OVERLAP} THEN g[i].n + 1 ELSE g[i].n END"
 
 
-def _fixed(source: str) -> str:
-    return f"(SELECT doc, cast(i - 1 AS int) AS chunk, doc || chr(10) || chr(10) || ({_TAIL}) AS text, {_TAIL} AS body, cast(length(doc) + 2 + length({_TAIL}) AS int) AS n_chars, {_MORE} AS n_sentences FROM (SELECT doc, g, unnest(range(1, len(g) + 1)) AS i FROM {_groups(source)} q) r)"
+def _fixed(source: str, name: str = "doc") -> str:
+    return f"(SELECT doc, cast(i - 1 AS int) AS chunk, {name} || chr(10) || chr(10) || ({_TAIL}) AS text, {_TAIL} AS body, cast(length({name}) + 2 + length({_TAIL}) AS int) AS n_chars, {_MORE} AS n_sentences FROM (SELECT doc, g, unnest(range(1, len(g) + 1)) AS i FROM {_groups(source)} q) r)"
 
 
 _CUT = f"string_split(regexp_replace(text, '(\\n)([ \\t]*#)', chr(1) || '\\2', 'g'), chr(1))"
-_BLOCK = f"(SELECT doc, text, cast(block AS int) AS block, titled, coalesce(title, '') AS title, body FROM (SELECT doc, text, len(list_filter(c, lambda x: regexp_matches(x, '^[ \\t]*#'))) >= 2 AS titled, i - 1 AS block, CASE WHEN regexp_matches(c[i], '^[ \\t]*#') THEN {_strip(chr(114) + 'egexp_replace(string_split(c[i], chr(10))[1], ' + chr(39) + '^[ ' + chr(92) + 't]*#+' + chr(39) + ', ' + chr(39) * 2 + ')')} END AS title, {_strip('CASE WHEN regexp_matches(c[i], ' + chr(39) + '^[ ' + chr(92) + 't]*#' + chr(39) + ') THEN array_to_string(string_split(c[i], chr(10))[2:], chr(10)) ELSE c[i] END')} AS body FROM (SELECT doc, text, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc, text, {_CUT} AS c FROM {_ALL} x) y) z) w WHERE body <> '')"
-_STRUCTURAL = f"""(SELECT doc, cast(block * 10000 + i - 1 AS int) AS chunk, doc || CASE WHEN title <> '' THEN ' > ' || title ELSE '' END || chr(10) || chr(10) || g[i].b AS text, g[i].b AS body, g[i].n AS n_sentences FROM (SELECT doc, block, title, g, unnest(range(1, len(g) + 1)) AS i FROM {_groups(f"(SELECT doc, block, title, body AS text FROM {_BLOCK} k WHERE titled)", ", block, title")} q) r
-    UNION ALL SELECT doc, chunk, text, body, n_sentences FROM {_fixed(f"(SELECT doc, body AS text FROM {_BLOCK} k WHERE NOT titled)")} f)"""
+_HASHED = r"regexp_matches(c[i], '^[ \t]*#')"
+_TITLE = r"regexp_replace(string_split(c[i], chr(10))[1], '^[ \t]*#+', '')"
+_BODY = f"CASE WHEN {_HASHED} THEN array_to_string(string_split(c[i], chr(10))[2:], chr(10)) ELSE c[i] END"
+_BLOCK = f"""(SELECT doc, text, cast(block AS int) AS block, titled, coalesce(title, '') AS title, body FROM (SELECT doc, text, len(list_filter(c, lambda x: regexp_matches(x, '^[ \\t]*#'))) >= 2 AS titled, i - 1 AS block,
+    CASE WHEN {_HASHED} THEN {_strip(_TITLE)} END AS title, {_strip(_BODY)} AS body FROM (SELECT doc, text, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc, text, {_CUT} AS c FROM {_ALL} x) y) z) w WHERE body <> '')"""
+_STRUCTURAL = f"""(SELECT doc, block, cast(i - 1 AS int) AS chunk, doc || CASE WHEN title <> '' THEN ' > ' || title ELSE '' END || chr(10) || chr(10) || g[i].b AS text, g[i].b AS body, g[i].n AS n_sentences FROM (SELECT doc, block, title, g, unnest(range(1, len(g) + 1)) AS i FROM {_groups(f"(SELECT doc, block, title, body AS text FROM {_BLOCK} k WHERE titled)", ", block, title")} q) r
+    UNION ALL SELECT doc.d, doc.b, chunk, doc.d || chr(10) || chr(10) || body, body, n_sentences FROM {_fixed(f"(SELECT {{'d': doc, 'b': block}} AS doc, body AS text FROM {_BLOCK} k WHERE NOT titled)", "doc.d")} f)"""
+
+_CHUNKED = f"(SELECT {{'d': doc, 'b': block, 'c': chunk, 't': text}} AS key, text FROM {_STRUCTURAL} s)"
 
 
 def _cosine(a: str, b: str) -> str:
@@ -349,11 +385,11 @@ ORACLES = {
     "sentence_pieces": f"SELECT doc, cast(i - 1 AS int) AS place, s[i] AS piece FROM (SELECT doc, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc, {_sentences('text')} AS s FROM {_DOCS} x) a) b",
     "fixed_chunks": f"SELECT doc, chunk, text, body, n_chars, n_sentences FROM {_fixed(_DOCS)} f",
     "markdown_blocks": f"SELECT doc, block, titled, title, cast(length(body) AS int) AS n_chars FROM {_BLOCK} k",
-    "structural_chunks": f"SELECT doc, chunk, text, body, cast(length(text) AS int) AS n_chars, n_sentences FROM {_STRUCTURAL} f",
+    "structural_chunks": f"SELECT doc, block, chunk, text, body, cast(length(text) AS int) AS n_chars, n_sentences FROM {_STRUCTURAL} f",
     "semantic_chunks": f"SELECT doc, cast(i - 1 AS int) AS chunk, g[i].b AS body, g[i].n AS n_sentences FROM (SELECT doc, g, unnest(range(1, len(g) + 1)) AS i FROM {_SEMANTIC} f) h",
     "flat_pieces": f"SELECT key AS doc, i AS chunk_index, piece FROM {_pieces(_KEYED, 2990, 450)} p",
     "parent_children": f"SELECT key.d AS doc, cast(row_number() OVER (PARTITION BY key.d ORDER BY key.p, i) - 1 AS int) AS chunk_index, key.p AS parent_index, sha1(key.t) AS parent_sha, piece AS child FROM {_KIDS} k",
     "measured_children": f"SELECT p.place AS parent_index, k.i AS chunk_index, k.piece AS child FROM (SELECT key AS place, i, piece FROM {_pieces(f'(SELECT row_number() OVER (ORDER BY cast(doc AS bigint), chunk) - 1 AS key, text FROM {_fixed(_DOCS)} f)', 552, 110)} q) k, (SELECT k.place) p",
-    "requirement_children": f"SELECT key.d AS doc, key.c AS chunk, i AS child_index, cast(length(piece) AS int) AS n_chars, sha1(key.t || '||' || piece) AS key FROM {_pieces(f'(SELECT {{{chr(39)}d{chr(39)}: doc, {chr(39)}c{chr(39)}: chunk, {chr(39)}t{chr(39)}: text}} AS key, text FROM {_STRUCTURAL} s)', 920, 184)} k",
+    "requirement_children": f"SELECT key.d AS doc, key.b AS block, key.c AS chunk, i AS child_index, cast(length(piece) AS int) AS n_chars, sha1(key.t || '||' || piece) AS key FROM {_pieces(_CHUNKED, 920, 184)} k",
     "chunk_report": f"SELECT chunks, docs, low, high, mean, tiny, round(size_raw, 6) AS size_score, round(end_raw, 6) AS end_score, round(begin_raw, 6) AS begin_score, round(cohesion_raw, 6) AS cohesion, note FROM ({_REPORT}) z",
 }
