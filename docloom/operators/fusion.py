@@ -1,34 +1,83 @@
 """Fusion of near-duplicate rows into leaders, over whole tables.
 
-A greedy pass in a given order makes a row a leader unless an earlier leader is near enough. That is the first maximal independent
-set of the graph of near pairs, and is found in parallel by rounds: a row with an earlier leader among its neighbours follows, a row
-whose earlier neighbours all follow leads. So U3, U6, U8 and U9 are joins and a few rounds, not a loop over rows.
+A greedy pass in a given order makes a row a leader unless an earlier leader is near enough. Rows get ids in that order, and the near
+pairs are dealt by ranges of the later row's id. In a round each range is folded in order: a row is settled once all of its earlier
+neighbours are, also by rows of its own range just before. The first range that is left always settles whole, and chains within
+a range cost no round, so there are no more rounds than ranges. So U3, U4, U6, U8 and U9 are joins and a few rounds.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import plain, texts
 from docloom.functions.tables import given, written
 
+#: Near pairs that one range holds, and ranges at least, where there are as many shuffle partitions.
+RANGE_PAIRS, RANGES = 2_000_000, 16
+
+
+def ordered(df: DataFrame, *keys, name: str = "id") -> DataFrame:
+    """df with ids that rise in the order of keys; distinct, but not without gaps. Written, so that they stay."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()), "ordered")
+
+
+def any_leader(earlier: list[tuple]) -> bool | None:
+    """Whether a row leads, from (state, ...) of its earlier neighbours: state 1 leads, -1 follows, 0 is open. None: not known yet."""
+    states = {x[0] for x in earlier}
+    return False if 1 in states else None if 0 in states else True
+
+
+def settled(pairs: DataFrame, leads=any_leader, facts: tuple = ()) -> DataFrame:
+    """(node, leads) of all nodes of pairs (a, b, ...) of longs, where a stands before b; a node without an earlier one leads.
+
+    leads(earlier) gets (state, *facts of the pair) of each earlier neighbour of a node and says whether it leads.
+    """
+    spark = pairs.sparkSession
+    state = F.lit(1).cast("int")
+    pairs = written(pairs.where("a < b"), "near")
+    ranges = max(min(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-pairs.count() // RANGE_PAIRS))
+    roots = written(pairs.select(F.col("a").alias("node")).distinct().join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(True).alias("leads")), "settled")
+    done = [roots]
+    e = pairs.join(roots, F.col("a") == F.col("node"), "left").select(*pairs.columns, F.when(F.col("leads"), state).otherwise(0).alias("state"))
+    e = written(e.repartitionByRange(ranges, "b").withColumn("range", F.spark_partition_id()), "near")
+
+    def fold(batches):
+        """Pairs in order of b, then a. Holds the states of this range's settled nodes, and the pairs of one node."""
+        known, now, earlier = {}, None, []
+
+        def told():
+            said = leads(earlier)
+            if said is not None:
+                known[now] = 1 if said else -1
+                return [(now, said)]
+            return []
+
+        for pdf in batches:
+            out = []
+            for a, b, s, *more in zip(*(pdf[c].tolist() for c in ("a", "b", "state", *facts))):
+                if b != now:
+                    out += told() if now is not None else []
+                    now, earlier = b, []
+                earlier.append((s or known.get(a, 0), *more))
+            yield pd.DataFrame(out, columns=["node", "leads"]).astype({"node": "int64", "leads": bool})
+        if now is not None:
+            yield pd.DataFrame(told(), columns=["node", "leads"]).astype({"node": "int64", "leads": bool})
 
-def leaders(edges: DataFrame) -> DataFrame:
-    """The leading nodes among those of edges (a, b), where a stands before b in the order."""
-    e = written(edges.select("a", "b").where("a < b").distinct(), "near")
-    found = e.select(F.col("a").alias("node")).limit(0)
     while not e.isEmpty():
-        first = e.select(F.col("a").alias("node")).distinct().join(e.select(F.col("b").alias("node")), "node", "left_anti")
-        first = written(first, "leaders")
-        found = found.unionAll(first)
-        led = e.join(first, F.col("a") == F.col("node"), "left_semi").select(F.col("b").alias("node")).distinct()
-        rest = e.join(led, F.col("b") == F.col("node"), "left_anti").join(led, F.col("a") == F.col("node"), "left_anti")
-        # a node whose edges all came from followers has no edge left, and leads
-        freed = e.select(F.col("b").alias("node")).distinct().join(led, "node", "left_anti").join(rest.select(F.col("b").alias("node")), "node", "left_anti").join(rest.select(F.col("a").alias("node")), "node", "left_anti")
-        found = found.unionAll(written(freed, "leaders"))
-        e = written(rest, "near")
-    return found.distinct()
+        new = e.repartition(ranges, "range").sortWithinPartitions("b", "a").mapInPandas(fold, "node long, leads boolean")
+        done.append(written(new, "settled"))
+        e = e.join(done[-1].select(F.col("node").alias("b")), "b", "left_anti").join(done[-1], F.col("a") == F.col("node"), "left")
+        e = written(e.select(*pairs.columns, "range", F.when(F.col("state") != 0, F.col("state")).when(F.col("leads"), 1).when(~F.col("leads"), -1).otherwise(0).cast("int").alias("state")), "near")
+    return spark.read.schema(roots.schema).parquet(*(f for d in done for f in d.inputFiles()))
+
+
+def leaders(edges: DataFrame) -> DataFrame:
+    """The leading nodes among those of edges (a, b) of longs, where a stands before b in the order."""
+    return settled(edges.select("a", "b").where("a < b").distinct()).where("leads").select("node")
 
 
 def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
@@ -48,10 +97,18 @@ def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
 
 
 def fused(items: DataFrame, least: float = 0.72, best: bool = True) -> DataFrame:
-    """U3 (best leader) and U6 (first leader): (pos, leader, score) of rows (pos, toks) in the order of pos.
+    """U3 (best leader) and U6 (first leader): (pos, leader, score) of rows (pos, toks) in the order of pos, which is any ordered type.
 
     Rows of equal sets are one class, so copies cost no pairs; a row without tokens leads itself.
     """
+    rows = ordered(items.select(F.col("pos").alias("was"), "toks"), "was", name="pos")
+    found = _fused(rows.select("pos", "toks"), least, best)
+    named = rows.select(F.col("pos").alias("at"), "was")
+    found = found.join(named, F.col("pos") == F.col("at")).select(F.col("was").alias("own"), "leader", "score")
+    return found.join(named, F.col("leader") == F.col("at")).select(F.col("own").alias("pos"), F.col("was").alias("leader"), "score")
+
+
+def _fused(items: DataFrame, least: float, best: bool) -> DataFrame:
     told = written(items.where(F.size("toks") > 0).groupBy("toks").agg(F.min("pos").alias("c")), "classes")
     pairs = written(jaccard_pairs(told, least), "pairs")
     lead = leaders(pairs).withColumnRenamed("node", "leader")
@@ -67,7 +124,7 @@ def fused(items: DataFrame, least: float = 0.72, best: bool = True) -> DataFrame
 
 def best_matches(references: DataFrame, predictions: DataFrame, least: float) -> DataFrame:
     """For each reference (r, toks) the highest Jaccard of any prediction (p, toks), where it reaches the limit."""
-    every = references.select(F.concat(F.lit("r"), F.col("r").cast("string")).alias("c"), "toks").unionAll(predictions.select(F.concat(F.lit("p"), F.col("p").cast("string")).alias("c"), "toks")).where(F.size("toks") > 0)
+    every = references.select(F.concat(F.lit("r"), F.to_json(F.struct("r"))).alias("c"), "toks").unionAll(predictions.select(F.concat(F.lit("p"), F.to_json(F.struct("p"))).alias("c"), "toks")).where(F.size("toks") > 0)
     one = written(every.groupBy("toks").agg(F.min("c").alias("c"), F.collect_set(F.substring("c", 1, 1)).alias("side")), "sets")
     pairs = jaccard_pairs(one, least).unionAll(one.where(F.size("side") == 2).select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0)))
     sided = one.select("c", "side")
@@ -80,7 +137,7 @@ def best_matches(references: DataFrame, predictions: DataFrame, least: float) ->
 def _turns(spark, at, role=None):
     t = spark.read.parquet(f"{at}/conversations.parquet").where("text is not null")
     t = t.where(F.col("role") == role) if role else t
-    return t.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("pos"), texts.tokens(F.col("text")).alias("toks"))
+    return t.select(F.struct("conv_id", "turn").alias("pos"), texts.tokens(F.col("text")).alias("toks"))
 
 
 def _requirements(spark):
@@ -89,7 +146,7 @@ def _requirements(spark):
 
 def fused_turns(spark, at):
     """U3 over all turns of all conversations."""
-    return fused(_turns(spark, at)).select("pos", "leader", F.round("score", 6).alias("score"))
+    return fused(_turns(spark, at)).select("pos.conv_id", "pos.turn", F.col("leader.conv_id").alias("leader_conv"), F.col("leader.turn").alias("leader_turn"), F.round("score", 6).alias("score"))
 
 
 def fused_requirements(spark, at):
@@ -124,67 +181,13 @@ def category_first(spark, at):
     return r.groupBy("key").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
 
 
-def alias_names(spark, at):
-    """Names to the first commoner name that holds all their words or none beyond theirs, with a word of four letters in common."""
-    n = given(spark, NAMES, "name string, n long").withColumn("toks", texts.words(F.col("name")))
-    rank = F.struct((-F.col("n")).alias("n"), F.length("name").alias("l"), "name")
-    n = n.withColumn("pos", rank)
-    x = n.select("pos", "toks", F.explode(F.filter("toks", lambda w: F.length(w) >= 4)).alias("w"))
-    a, b = x.alias("a"), x.alias("b")
-    held = lambda p, q: F.size(F.array_except(p, q)) == 0
-    e = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.pos") < F.col("b.pos")) & (held("a.toks", "b.toks") | held("b.toks", "a.toks"))).select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b")).distinct()
-    e = written(e, "near")
-    lead = leaders(e)
-    first = e.join(lead.select(F.col("node").alias("a")), "a", "left_semi").groupBy("b").agg(F.min("a").alias("to"))
-    return n.join(first, n["pos"] == first["b"], "left").select("name", F.coalesce(F.col("to.name"), F.col("name")).alias("alias"))
-
-
-def aligned_names(spark, at):
-    """U8: names, legal forms left out, to the shortest alike name of as many words; likeness is 1 - edits / length, 0.80 at least.
-
-    Candidates share a word or the first three letters; the edit distance stands for a sequence matcher.
-    """
-    n = given(spark, NAMES, "name string, n long").select("name", F.array_join(F.filter(texts.words(texts.fold(F.col("name"))), lambda w: ~w.isin(texts.LEGAL)), " ").alias("key"))
-    n = n.withColumn("key", F.when(F.col("key") == "", texts.fold(F.col("name"))).otherwise(F.col("key"))).withColumn("pos", F.struct(F.length("name").alias("l"), "name")).withColumn("w", F.size(texts.words(F.col("key"))))
-    x = n.select("pos", "key", "w", F.explode(F.array_union(F.transform(texts.words(F.col("key")), lambda v: F.concat(F.lit("w:"), v)), F.array(F.concat(F.lit("s:"), F.substring("key", 1, 3))))).alias("t"))
-    a, b = x.alias("a"), x.alias("b")
-    alike = 1 - F.levenshtein(F.col("a.key"), F.col("b.key")) / F.greatest(F.length("a.key"), F.length("b.key"))
-    e = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.pos") < F.col("b.pos"))).select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), alike.alias("s")).distinct().where("s >= 0.8")
-    e = written(e, "near")
-    lead = leaders(e)
-    best = e.join(lead.select(F.col("node").alias("a")), "a", "left_semi").groupBy("b").agg(F.min_by("a", F.struct((-F.col("s")).alias("s"), "a")).alias("to"))
-    return n.join(best, n["pos"] == best["b"], "left").select("name", F.coalesce(F.col("to.name"), F.col("name")).alias("aligned"))
-
-
-def longest_first(spark, at):
-    """U4: requirements, longest first, each to the first leader alike by 0.88; ids of leaders and their occurrences.
-
-    Likeness is 1 - edits / length of the folded texts; candidates share a word.
-    """
-    r = given(spark, REQUIREMENTS, "pos long, text string").withColumn("key", F.trim(F.regexp_replace(F.regexp_replace(texts.fold(F.col("text")), "[^a-z0-9 ]", " "), r"\s+", " "))).where("key <> ''")
-    r = r.withColumn("rank", F.struct((-F.length("text")).alias("l"), "pos"))
-    x = r.select("rank", "key", F.explode(texts.words(F.col("key"))).alias("t")).distinct()
-    a, b = x.alias("a"), x.alias("b")
-    alike = 1 - F.levenshtein(F.col("a.key"), F.col("b.key")) / F.greatest(F.length("a.key"), F.length("b.key"))
-    e = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.rank") < F.col("b.rank"))).select(F.col("a.rank").alias("a"), F.col("b.rank").alias("b"), alike.alias("s")).distinct().where("s >= 0.88")
-    e = written(e, "near")
-    lead = leaders(e)
-    first = e.join(lead.select(F.col("node").alias("a")), "a", "left_semi").groupBy("b").agg(F.min("a").alias("to"))
-    return r.join(first, r["rank"] == first["b"], "left").groupBy(F.coalesce(F.col("to.pos"), F.col("pos")).alias("leader")).agg(F.count("*").alias("occurrences"))
-
-
 REQUIREMENTS = list(enumerate([
     "The bidder must provide five certified network engineers", "Five certified network engineers must be provided", "Certified network engineers: five", "", "Response time under four hours for severity one",
     "Response time below four hours for severity one incidents", "Monthly reports in PDF format", "monthly reports in pdf format!", "Monthly réports in PDF format", "Two years of warranty on all hardware parts and labour",
     "Three years of warranty on all hardware parts and labour", "Warranty on hardware parts and labour", "Backups are encrypted at rest", "Backups are encrypted in transit and at rest", "Encrypted backups at rest and in transit and offsite",
     "Five certified network engineers and one manager", "Two years of warranty on all hardware parts and labor", "The of and", "Audit logs kept for ten years", "Audit logs are kept for ten years", "Audit logs kept ten years",
 ]))
-NAMES = [
-    ("acme", 9), ("acme group", 4), ("acme sa", 3), ("acme networks", 5), ("networks", 2), ("global networks", 5), ("union bank", 7), ("bank union", 1), ("union banks", 2), ("bank", 6), ("ab", 8), ("ab cd", 2),
-    ("northern light power", 3), ("light", 3), ("northern lights power", 2), ("power", 1), ("société générale", 4), ("societe generale sa", 2), ("zeta", 1), ("zetas", 1), ("group", 1),
-]
-
-_T = f"(SELECT conv_id * 1000000 + turn AS pos, role, {plain.tokens('text')} AS toks FROM conversations WHERE text IS NOT NULL)"
+_T = f"(SELECT conv_id * 1000000 + turn AS pos, conv_id, turn, role, {plain.tokens('text')} AS toks FROM conversations WHERE text IS NOT NULL)"
 _R = f"(SELECT pos, text, {plain.tokens('text')} AS toks FROM {plain.values(REQUIREMENTS, 'pos long, text string')} r)"
 
 
@@ -204,28 +207,12 @@ _BEST = "(SELECT r.pos AS r, coalesce(max({j}), 0.0) AS score FROM {refs} r LEFT
 _KEY = f"trim(regexp_replace(regexp_replace({plain.fold('text')}, '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-def _rounds(items: str, edge: str, order: str, pick: str) -> str:
-    """Names in order (row k), led by a fold; pick orders a follower's leaders."""
-    rows = f"(SELECT *, row_number() OVER (ORDER BY {order}) AS k FROM {items} i)"
-    near = f"SELECT b.k, list(a.k ORDER BY a.k) AS near FROM {rows} a JOIN {rows} b ON a.k < b.k AND {edge} GROUP BY b.k"
-    led = f"""(SELECT unnest(list_reduce(list({{'k': i.k, 'near': coalesce(n.near, [])}} ORDER BY i.k), lambda a, x: CASE WHEN len(list_intersect(a.near, x.near)) = 0 THEN {{'k': x.k, 'near': list_append(a.near, x.k)}} ELSE a END,
-        {{'k': cast(-1 AS bigint), 'near': cast([] AS bigint[])}}).near) AS k FROM {rows} i LEFT JOIN ({near}) n ON i.k = n.k)"""
-    return f"""(SELECT * FROM (SELECT b.*, a.*, row_number() OVER (PARTITION BY b.k ORDER BY CASE WHEN a.k = b.k THEN 0 ELSE 1 END, {pick}) AS place FROM {rows} b JOIN (SELECT x.* FROM {rows} x JOIN {led} l ON x.k = l.k) a ON a.k = b.k OR (a.k < b.k AND {edge})) c WHERE place = 1)"""
-
-
-_N = plain.values(NAMES, "name string, n long")
-_ALIAS = f"(SELECT name, n, string_split(name, ' ') AS toks FROM {_N} n)"
-_ALIGN = f"(SELECT name, array_to_string(CASE WHEN len(list_filter(string_split(f, ' '), lambda w: w NOT IN {plain.listed(texts.LEGAL)})) > 0 THEN list_filter(string_split(f, ' '), lambda w: w NOT IN {plain.listed(texts.LEGAL)}) ELSE string_split(f, ' ') END, ' ') AS key FROM (SELECT name, {plain.fold('name')} AS f FROM {_N} n) m)"
-_LIKE = "(1 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key)))"
-QUERIES = {f.__name__: f for f in (fused_turns, fused_requirements, distinct_requirements, turn_matches, requirement_recall, category_first, alias_names, aligned_names, longest_first)}
+QUERIES = {f.__name__: f for f in (fused_turns, fused_requirements, distinct_requirements, turn_matches, requirement_recall, category_first)}
 ORACLES = {
-    "fused_turns": f"SELECT pos, leader, round(score, 6) AS score FROM {_greedy(_T, True)} g",
+    "fused_turns": f"SELECT pos // 1000000 AS conv_id, pos % 1000000 AS turn, leader // 1000000 AS leader_conv, leader % 1000000 AS leader_turn, round(score, 6) AS score FROM {_greedy(_T, True)} g",
     "fused_requirements": f"SELECT pos, leader, round(score, 6) AS score FROM {_greedy(_R, True)} g",
     "distinct_requirements": f"SELECT pos FROM {_greedy(_R, False)} g WHERE pos = leader",
     "turn_matches": f"SELECT count(*) AS n, {_SHARE(0.35, 35)}, {_SHARE(0.45, 45)}, {_SHARE(0.60, 60)} FROM " + _BEST.format(j=plain.jaccard("r.toks", "p.toks"), refs=f"(SELECT * FROM {_T} t WHERE role = 'user')", preds=f"(SELECT * FROM {_T} t WHERE role = 'assistant')") + " b",
     "requirement_recall": "SELECT r, CASE WHEN score >= 0.35 THEN round(score, 6) ELSE 0.0 END AS score, score >= 0.35 AS at_35, score >= 0.45 AS at_45, score >= 0.60 AS at_60 FROM " + _BEST.format(j=plain.jaccard("r.toks", "p.toks"), refs=f"(SELECT * FROM {_R} t WHERE pos % 2 = 0)", preds=f"(SELECT * FROM {_R} t WHERE pos % 2 = 1)") + " b",
     "category_first": f"SELECT {_KEY} AS key, min(pos) AS pos, count(*) AS n FROM {_R} r GROUP BY ALL",
-    "alias_names": "SELECT name, name_1 AS alias FROM (SELECT * FROM " + _rounds(_ALIAS, "(len(list_intersect(a.toks, b.toks)) = len(a.toks) OR len(list_intersect(a.toks, b.toks)) = len(b.toks)) AND len(list_filter(list_intersect(a.toks, b.toks), lambda w: length(w) >= 4)) > 0", "n DESC, length(name), name", "a.k") + " r) z",
-    "aligned_names": "SELECT name, name_1 AS aligned FROM (SELECT * FROM " + _rounds(_ALIGN, f"len(string_split(a.key, ' ')) = len(string_split(b.key, ' ')) AND {_LIKE} >= 0.8", "length(name), name", f"{_LIKE} DESC, a.k") + " r) z",
-    "longest_first": "SELECT leader, count(*) AS occurrences FROM (SELECT pos_1 AS leader FROM " + _rounds(f"(SELECT pos, text, {_KEY} AS key FROM {_R} r WHERE {_KEY} <> '')", f"{_LIKE} >= 0.88", "length(text) DESC, pos", "a.k") + " r) z GROUP BY leader",
 }
