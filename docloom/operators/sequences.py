@@ -3,7 +3,9 @@
 The likeness is the ratio of the standard library's sequence matcher: twice the characters in matching blocks over both lengths.
 Candidates come from a count filter that loses no pair: where M characters match in order, M * 2 >= least * (n + m), and each of
 the n - M deletions spoils at most two of a text's pairs of neighbouring characters, each of the m - M insertions at most one. So two texts
-share at least 3 * M - n - m - 1 such pairs, copies counted, and meet on one of the rarest of each that leave no room for fewer.
+share at least S = 3 * M - n - m - 1 such pairs, copies counted. Where each text keeps all but its S - MEET commonest pairs, two of
+them still share MEET of those kept, or S if that is less. Short texts, whose pairs are all common, meet by both lengths and two or
+three such pairs at once.
 """
 
 from __future__ import annotations
@@ -21,32 +23,55 @@ from docloom.operators.fusion import ordered, settled
 
 #: The likeness from which requirements are one, and names are; and words that may end a name without being part of it.
 SAME, ALIGNED = 0.88, 0.80
+MEET, SHORT = 3, 12
 LEGAL_ENDS = "sa s.a sarl sas inc ltd llc plc corp corporation company co group groupe holding holdings".split()
 
 
+def _tokens(rows: DataFrame) -> DataFrame:
+    """(id, n, toks): pairs of neighbouring characters, each with its number among equal ones, the rarest first."""
+    gram = F.when(F.length("key") >= 2, F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substring(F.col("key"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    many = rows.select("id", F.explode(gram).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
+    token = written(many.select("id", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("c")), lambda k: F.concat("g", k.cast("string")))).alias("t")), "grams")
+    often = token.groupBy("t").agg(F.count("*").alias("often"))
+    toks = token.join(often, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("x"))
+    return rows.join(toks, "id", "left").select("id", F.length("key").alias("n"), F.coalesce(F.transform("x", lambda x: x["t"]), F.array().cast("array<string>")).alias("toks"))
+
+
+def _combined(toks, size):
+    """All choices of 0 to 3 tokens, in order, as strings."""
+    rest = lambda xs, i: F.slice(xs, i + 2, F.greatest(F.size(xs) - i - 1, F.lit(0)))
+    two = lambda xs: F.flatten(F.transform(xs, lambda x, i: F.transform(rest(xs, i), lambda y: F.concat_ws("|", x, y))))
+    three = F.flatten(F.transform(toks, lambda x, i: F.transform(two(rest(toks, i)), lambda y: F.concat_ws("|", x, y))))
+    return F.when(size == 0, F.array(F.lit(""))).when(size == 1, toks).when(size == 2, two(toks)).otherwise(three)
+
+
 def _candidates(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b, ka, kb), a before b, of rows (id, key) that share one of their rarest pairs of characters."""
-    n = F.length("key")
-    low = F.ceil((1.5 * least - 1) * (n + F.ceil(n * least / (2 - least) - 1e-9)) - 1 - 1e-9)
-    sized = rows.select("id", "key", n.alias("n"), low.alias("low"))
-    gram = F.when(F.col("n") >= 2, F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring(F.col("key"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    many = sized.select("id", "n", "low", F.explode(gram).alias("g")).groupBy("id", "n", "low", "g").agg(F.count("*").alias("c"))
-    token = written(many.select("id", "n", "low", "g", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("k")), "grams")
-    often = token.groupBy("g", "k").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "g", "k"))
-    head = token.join(often, ["g", "k"]).withColumn("place", rank).where(F.col("place") <= F.col("n") - F.greatest("low", F.lit(1))).select("id", "n", "g", "k")
-    short = sized.where("low < 1").select("id", "n", F.lit("").alias("g"), F.lit(0).cast("long").alias("k"))  # texts of so few characters may share none
-    head = written(head.unionByName(short), "heads")
-    a, b = head.alias("a"), head.alias("b")
-    near = F.least("a.n", "b.n") * (2 - least) >= F.greatest("a.n", "b.n") * least - 1e-9
-    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    """(a, b, ka, kb), a before b, of rows (id, key) that share enough of their rarest pairs of characters."""
+    t = written(_tokens(rows), "tokens")
+    n = F.col("n")
+    same = lambda total: 3 * F.ceil(total * least / 2 - 1e-9) - total - 1
+    first, last = F.ceil(n * least / (2 - least) - 1e-9).cast("int"), F.floor(n * (2 - least) / least + 1e-9).cast("int")
+    # texts of which one has SHORT characters at most, by both lengths
+    small = t.where(first <= SHORT).withColumn("m", F.explode(F.sequence(F.greatest(first, F.lit(0)), last))).where(F.least("n", "m") <= SHORT)
+    size = F.least(F.when(F.greatest("n", "m") <= 9, 3).otherwise(2), F.greatest(same(n + F.col("m")), F.lit(0))).cast("int")
+    small = small.withColumn("size", size).withColumn("kept", F.slice("toks", 1, F.greatest(n - 1 - same(n + F.col("m")) + F.col("size"), F.lit(0)).cast("int")))
+    small = written(small.select("id", "n", "m", F.explode(_combined(F.col("kept"), F.col("size"))).alias("k")), "short")
+    x, y = small.alias("x"), small.alias("y")
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.n") == F.col("y.m")) & (F.col("x.m") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    # longer texts, by single pairs
+    low = F.ceil((1.5 * least - 1) * (n + first) - 1 - 1e-9)
+    long = written(t.where(n > SHORT).select("id", "n", F.explode(F.slice("toks", 1, F.greatest(n - 1 - low + MEET, F.lit(0)).cast("int"))).alias("k")), "long")
+    x, y = long.alias("x"), long.alias("y")
+    near = F.least("x.n", "y.n") * (2 - least) >= F.greatest("x.n", "y.n") * least - 1e-9
+    many = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & near).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total")).agg(F.count("*").alias("met"))
+    met = met.unionByName(many.where(F.col("met") >= F.least(F.lit(MEET), same(F.col("total")))).select("a", "b"))
     return met.join(rows.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(rows.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
 
 
-def alike(rows: DataFrame, least: float, later_first: bool = False) -> DataFrame:
-    """(a, b, score) of rows (id long, key string) with distinct keys, a before b, whose sequences match by `least` and more.
+def alike(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, score, back) of rows (id long, key string) with distinct keys, a before b, whose sequences match by `least` and more.
 
-    The matcher treats its two sides unlike: later_first gives it b, then a.
+    The matcher treats its two sides unlike: score is the ratio of a's key to b's, back that of b's to a's; one of them reaches the limit.
     """
     total = F.length("ka") + F.length("kb")
     most = (total - 2 * F.ceil(total * least / 2 - 1e-9)).cast("int")  # edits of texts with so many characters in common
@@ -56,12 +81,14 @@ def alike(rows: DataFrame, least: float, later_first: bool = False) -> DataFrame
         for pdf in batches:
             out = []
             for a, b, x, y in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["ka"].tolist(), pdf["kb"].tolist()):
-                m = difflib.SequenceMatcher(None, *((y, x) if later_first else (x, y)))
-                if m.quick_ratio() >= least and (score := m.ratio()) >= least:
-                    out.append((a, b, score))
-            yield pd.DataFrame(out, columns=["a", "b", "score"]).astype({"a": "int64", "b": "int64", "score": float})
+                one = difflib.SequenceMatcher(None, x, y)
+                if one.quick_ratio() >= least:
+                    score, back = one.ratio(), difflib.SequenceMatcher(None, y, x).ratio()
+                    if max(score, back) >= least:
+                        out.append((a, b, score, back))
+            yield pd.DataFrame(out, columns=["a", "b", "score", "back"]).astype({"a": "int64", "b": "int64", "score": float, "back": float})
 
-    return left.mapInPandas(match, "a long, b long, score double")
+    return left.mapInPandas(match, "a long, b long, score double, back double")
 
 
 def longest_of_alike(rows: DataFrame, least: float = SAME) -> DataFrame:
@@ -72,8 +99,8 @@ def longest_of_alike(rows: DataFrame, least: float = SAME) -> DataFrame:
     key = F.trim(F.regexp_replace(F.regexp_replace(texts.fold(F.col("text")), "[^a-z0-9 ]", " "), r"\s+", " "))
     r = ordered(rows.where("text is not null").select("pos", key.alias("key"), F.length("text").alias("n")).where("key <> ''"), F.desc("n"), "pos")
     classes = written(r.groupBy("key").agg(F.min("id").alias("id")), "classes")
-    near = written(alike(classes, least, later_first=True), "alike")
-    first = _first_leaders(near, settled(near.select("a", "b")))
+    near = written(alike(classes, least).where(F.col("back") >= least).select("a", "b"), "alike")
+    first = _first_leaders(near, settled(near))
     of = classes.join(first, F.col("id") == F.col("b"), "left").select("key", F.coalesce("to", "id").alias("to"))
     return r.join(of, "key").join(r.select(F.col("id").alias("to"), F.col("pos").alias("leader")), "to").select("pos", "leader")
 
@@ -101,9 +128,10 @@ def aligned(names: DataFrame, least: float = ALIGNED) -> DataFrame:
     n = ordered(names.where("name is not null").select("name").distinct().select("name", probe.alias("key"), F.length("name").alias("n")), "n", "name")
     classes = ordered(n.select("key").distinct(), "key")
     n = written(n.join(classes.select("key", F.col("id").alias("c")), "key"), "names")
-    # the matcher gets the earlier name first; among classes either may come first, so both ways are scored
-    one, two = (alike(classes, least, w) for w in (False, True))
-    ways = written(one.unionByName(two.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(classes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))), "ways")
+    # the matcher gets the earlier name first, and of two classes either may have it
+    found = written(alike(classes, least), "alike")
+    back = found.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").alias("score"))
+    ways = found.select("a", "b", "score").unionByName(back).where(F.col("score") >= least).unionByName(classes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score")))
     words = F.size(F.split("key", " "))
     x, y = n.select(F.col("c").alias("a"), F.col("id").alias("x"), words.alias("wx")), n.select(F.col("c").alias("b"), F.col("id").alias("y"), words.alias("wy"))
     near = written(ways.join(x, "a").join(y, "b").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), "score", F.col("a").alias("text_rank"), (F.col("wx") == F.col("wy")).alias("same")), "near")

@@ -61,9 +61,9 @@ WORDS = "the bidder must provide certified network engineers on two sites within
 def test_the_count_filter_loses_no_pair(spark, least):
     rng = random.Random(7)
     keys = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 8))) for _ in range(150)} | set(map(fold, varied(rng, WORDS, 120, 12))) - {""})
-    got = {(r.a, r.b): r.score for r in sequences.alike(spark.createDataFrame(list(enumerate(keys)), "id long, key string"), least).collect()}
+    got = {(r.a, r.b): (r.score, r.back) for r in sequences.alike(spark.createDataFrame(list(enumerate(keys)), "id long, key string"), least).collect()}
     ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
-    want = {(i, j): ratio(x, y) for i, x in enumerate(keys) for j, y in enumerate(keys) if i < j and ratio(x, y) >= least}
+    want = {(i, j): (ratio(x, y), ratio(y, x)) for i, x in enumerate(keys) for j, y in enumerate(keys) if i < j and max(ratio(x, y), ratio(y, x)) >= least}
     assert got == want and len(want) > 100
 
 
