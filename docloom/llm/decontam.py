@@ -32,7 +32,7 @@ def item_words(text: str | None) -> list[int]:
     data, bounds = W.joined([(text or "").encode()])
     data = W.LOWER[data]
     s, e, _ = W.spans(data, bounds, W.ALNUM)
-    return W.hashes(data, s, e).tolist()
+    return W.digests(data, s, e).tolist()
 
 
 class Automaton:
@@ -155,7 +155,7 @@ def scan_texts(auto: Automaton, texts: list):
         data, bounds = W.joined(parts)
         data = W.LOWER[data]
         s, e, text = W.spans(data, bounds, W.ALNUM)
-        h = W.hashes(data, s, e)
+        h = W.digests(data, s, e)
         known = _member(h, auto.words)
         pair = np.zeros(len(h) + 1, bool)
         if len(h) > 1:

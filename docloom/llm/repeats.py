@@ -42,12 +42,12 @@ def _tokens(parts):
 
 
 def _hashes(data, s, e, table: int = 0) -> np.ndarray:
-    """W.hashes, in pieces of whole words."""
+    """W.digests, in pieces of whole words."""
     out = np.empty(len(s), np.uint64)
     cuts = np.unique(np.append(np.searchsorted(s, np.arange(0, len(data), PIECE)), len(s))).tolist()
     for a, b in zip(cuts, cuts[1:]):
         x, y = s[a], e[b - 1]
-        out[a:b] = W.hashes(data[x:y], s[a:b] - x, e[a:b] - x, table)
+        out[a:b] = W.digests(data[x:y], s[a:b] - x, e[a:b] - x, table)
     return out
 
 
