@@ -270,6 +270,18 @@ def requirement_children(spark, at):
     return x.select("doc", "block", "chunk", "child_index", F.length("child").alias("n_chars"), F.sha1(F.concat("text", F.lit("||"), "child")).alias("key"))
 
 
+def middle_sentence(text: Column) -> Column:
+    """Of the sentences of eight words and more the one in the middle; null where there is none."""
+    long = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), stripped), lambda p: F.size(texts.words(p)) >= 8)
+    return bound(long, lambda s: F.get(s, F.floor(F.size(s) / 2).cast("int")))
+
+
+def middle_queries(spark, at):
+    """A query for each fixed chunk of sixteen words and more, from its middle, where a title does not give it away."""
+    c = fixed_chunks(spark, at).where(F.size(texts.words(F.col("text"))) >= 16)
+    return c.select("doc", "chunk", middle_sentence(F.col("text")).alias("query")).where("query is not null")
+
+
 def chunk_report(spark, at):
     """Counts, and scores of size, endings, beginnings and cohesion of the fixed chunks, with their weighted note.
 
@@ -380,7 +392,7 @@ _BEGINS = "^(?:" + "|".join([*DANGLING, "the former", "the latter"]) + ")(?:[^\\
 _REPORT = f"""SELECT *, round((0.15 * size_raw + 0.25 * end_raw + 0.25 * begin_raw + 0.20 * cohesion_raw) / 0.85, 6) AS note FROM (SELECT count(*) AS chunks, count(DISTINCT doc) AS docs, min(n_chars) AS low, max(n_chars) AS high, round(avg(n_chars), 4) AS mean, round(avg(CASE WHEN n_chars < 300 THEN 1.0 ELSE 0.0 END), 6) AS tiny,
     avg(CASE WHEN length(body) BETWEEN {TARGET // 2} AND {TARGET * 3 // 2} THEN 1.0 ELSE 0.0 END) AS size_raw, avg(CASE WHEN regexp_matches(body, '[.!?…:;)\\]»"'']{_WS}*$') OR (regexp_matches(body, '[0-9]{_WS}*$') AND len({plain.words('body')}) > 3) THEN 1.0 ELSE 0.0 END) AS end_raw,
     avg(CASE WHEN regexp_matches(lower(body), '{_BEGINS}') THEN 0.0 ELSE 1.0 END) AS begin_raw, avg(CASE WHEN len(s) >= 2 THEN list_avg(list_transform(range(1, len(s)), lambda i: {_cosine('s[i]', 's[i + 1]')})) END) AS cohesion_raw FROM (SELECT *, ({_sentences('body')})[1:12] AS s FROM {_fixed(_DOCS)} f) h) r"""
-QUERIES = {f.__name__: f for f in (sentence_pieces, fixed_chunks, markdown_blocks, structural_chunks, semantic_chunks, flat_pieces, parent_children, measured_children, requirement_children, chunk_report)}
+QUERIES = {f.__name__: f for f in (sentence_pieces, fixed_chunks, markdown_blocks, structural_chunks, semantic_chunks, flat_pieces, parent_children, measured_children, requirement_children, middle_queries, chunk_report)}
 ORACLES = {
     "sentence_pieces": f"SELECT doc, cast(i - 1 AS int) AS place, s[i] AS piece FROM (SELECT doc, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc, {_sentences('text')} AS s FROM {_DOCS} x) a) b",
     "fixed_chunks": f"SELECT doc, chunk, text, body, n_chars, n_sentences FROM {_fixed(_DOCS)} f",
@@ -391,5 +403,6 @@ ORACLES = {
     "parent_children": f"SELECT key.d AS doc, cast(row_number() OVER (PARTITION BY key.d ORDER BY key.p, i) - 1 AS int) AS chunk_index, key.p AS parent_index, sha1(key.t) AS parent_sha, piece AS child FROM {_KIDS} k",
     "measured_children": f"SELECT p.place AS parent_index, k.i AS chunk_index, k.piece AS child FROM (SELECT key AS place, i, piece FROM {_pieces(f'(SELECT row_number() OVER (ORDER BY cast(doc AS bigint), chunk) - 1 AS key, text FROM {_fixed(_DOCS)} f)', 552, 110)} q) k, (SELECT k.place) p",
     "requirement_children": f"SELECT key.d AS doc, key.b AS block, key.c AS chunk, i AS child_index, cast(length(piece) AS int) AS n_chars, sha1(key.t || '||' || piece) AS key FROM {_pieces(_CHUNKED, 920, 184)} k",
+    "middle_queries": f"SELECT doc, chunk, q[cast(len(q) // 2 AS int) + 1] AS query FROM (SELECT doc, chunk, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda p: {_strip('p')}), lambda p: len({plain.words('p')}) >= 8) AS q FROM {_fixed(_DOCS)} f WHERE len({plain.words('text')}) >= 16) g WHERE len(q) > 0",
     "chunk_report": f"SELECT chunks, docs, low, high, mean, tiny, round(size_raw, 6) AS size_score, round(end_raw, 6) AS end_score, round(begin_raw, 6) AS begin_score, round(cohesion_raw, 6) AS cohesion, note FROM ({_REPORT}) z",
 }

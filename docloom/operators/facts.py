@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import plain, texts
 from docloom.functions.tables import given, spread
 from docloom.operators.chunks import bound
+from docloom.operators.numbering import placed
 
 MENTION, RELATION = r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+){0,3}", r"(\p{Lu}\p{L}+) (\p{Ll}+) (\p{Lu}\p{L}+)"
 
@@ -106,19 +107,12 @@ def rewritten(spark, at):
 
 def graph_lines(spark, at):
     """SC14, C19, F16: edges whose ends or predicate hold a key word, in order, in groups of 25 with their lines."""
-    from docloom.operators.numbering import numbered
-
     e = _edges(spark, at, "true")
     has = F.exists(texts.array(["th", "er", "iso", "cost"]), lambda k: F.contains("s", k) | F.contains("p", k) | F.contains("o", k))
     line = F.concat_ws(" ", "s", "p", "o")
     keyed = e.where(has).select(line.alias("line")).distinct()
-    # a numeric key in the order of lines: quantile cuts need numbers, and the first six bytes decide the cut
-    key = F.conv(F.hex(F.rpad(F.substring("line", 1, 4), 4, " ")), 16, 10).cast("double")
-    n = numbered(keyed.withColumn("key", key), "key", "rough").select("line")
-    from pyspark.sql import Window
-
-    placed = n.withColumn("k", F.row_number().over(Window.orderBy("line")) - 1)
-    return placed.groupBy((F.col("k") / 25).cast("int").alias("g")).agg(F.count("*").alias("n"), F.sha1(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY line)")).alias("lines_sha"))
+    lines = placed(keyed, "line", name="k")
+    return lines.groupBy((F.col("k") / 25).cast("int").alias("g")).agg(F.count("*").alias("n"), F.sha1(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY line)")).alias("lines_sha"))
 
 
 def probe_report(spark, at):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.tables import written
+
 
 def numbered(df: DataFrame, key: str, name: str = "place") -> DataFrame:
     """df with each row's place from 0 in the order of key, a numeric column; rows of null keys are left out.
@@ -24,6 +26,20 @@ def numbered(df: DataFrame, key: str, name: str = "place") -> DataFrame:
     return cut.withColumn(c_k, inside).join(F.broadcast(offset), c_cut).withColumn(name, F.col(c_offset) + F.col(c_k) - 1).drop(c_cut, c_k, c_offset)
 
 
+def placed(df: DataFrame, *keys, name: str = "place") -> DataFrame:
+    """df with each row's place from 0 in the order of keys of any ordered types, by ranges of them.
+
+    Rows are counted within a range, and moved by the rows of the ranges before it; the offsets are one row per range.
+    """
+    own = lambda n: n + "_" * max(map(len, df.columns))
+    c_at, c_part, c_offset = own("_at"), own("_part"), own("_offset")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn(c_at, F.monotonically_increasing_id()).withColumn(c_part, F.shiftright(c_at, 33)), "placed")
+    before = Window.orderBy(c_part).rowsBetween(Window.unboundedPreceding, -1)
+    offset = rows.groupBy(c_part).agg(F.count("*").alias("n")).select(c_part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(c_offset))
+    return rows.join(F.broadcast(offset), c_part).withColumn(name, F.col(c_offset) + F.col(c_at) - F.shiftleft(c_part, 33)).drop(c_at, c_part, c_offset)
+
+
 def even_sample(spark, at) -> DataFrame:
     """SA1: element floor(i * n / m) for each i below m."""
     docs, items = spark.read.parquet(f"{at}/documents.parquet").select("doc_id"), spark.read.parquet(f"{at}/benchmark.parquet")

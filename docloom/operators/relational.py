@@ -122,8 +122,9 @@ TEXTS = {
     "seeded_order": "SELECT doc_id, md5(concat('12345', cast(doc_id AS $str))) AS draw FROM {documents}",
     # C15
     "linear_windows": """SELECT doc_id, count(*) AS windows, sum(least(1400, n - 1200 * k)) AS chars FROM (SELECT doc_id, length(text) AS n, explode(sequence(0, cast(floor((length(text) - 1) / 1200) AS int))) AS k FROM {documents} WHERE length(text) > 0) w GROUP BY doc_id""",
-    # C17
-    "question_excerpts": """SELECT doc_id, greatest(1800, cast(floor(length(text) / 6) AS int)) AS stride, substring(text, 1, 1800) AS excerpt FROM {documents} WHERE length(text) > 1800""",
+    # C17: how many excerpts a document gives, and their characters
+    "question_excerpts": """SELECT doc_id, stride, count(*) AS excerpts, sum(length(substring(text, start_at + 1, 1800))) AS chars FROM (SELECT doc_id, text, greatest(1800, cast(floor(length(text) / 6) AS int)) AS stride, explode(sequence(0, cast(length(text) AS int) - 1801, greatest(1800, cast(floor(length(text) / 6) AS int)))) AS start_at
+        FROM {documents} WHERE length(text) > 1800) e GROUP BY doc_id, stride""",
     # C17 in full: an excerpt at every stride
     "question_excerpts_all": """SELECT doc_id, start_at, substring(text, start_at + 1, 1800) AS excerpt FROM (SELECT doc_id, text, explode(sequence(0, cast(length(text) AS int) - 1801, greatest(1800, cast(floor(length(text) / 6) AS int)))) AS start_at FROM {documents} WHERE length(text) > 1800) e""",
     # C19

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators.vectors import topk
 
-CUTS, STEPS, DRAWS, SEED = (3, 5, 10), (1, 3, 5, 10, 20), 400, "12345"
+CUTS, STEPS, DRAWS, SEED = (3, 5, 10), (1, 3, 5, 10, 20), 2000, "12345"
 
 
 def _vectors(spark, at) -> DataFrame:
@@ -107,8 +107,11 @@ def embedding_choice(spark, at):
     return gap.join(F.broadcast(bounds)).select("n", "gap", "low", "high", sure.alias("sure"), F.when(sure & (F.col("gap") > 0), "whole").otherwise("half").alias("chosen"))
 
 
-def centroid_index(v: DataFrame, lists: int = 16, sample: int = 5_000, rounds: int = 8, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids, and the bounded sample of unit vectors, taken by a hash of the id, that they are fitted on."""
+def centroid_index(v: DataFrame, least: int = 16, most: int = 4096, rounds: int = 8, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centroids, about the square root of the vectors and `most` at most, and the sample of 5,000 unit vectors or 16 for each list,
+    taken by a hash of the id, that they are fitted on."""
+    lists = min(most, max(least, int(np.ceil(v.count() ** 0.5))))
+    sample = max(5_000, 16 * lists)
     rows = v.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     x = np.stack(rows["embedding"]).astype(float) if len(rows) else np.zeros((1, 1))
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
