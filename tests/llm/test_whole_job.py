@@ -1,14 +1,11 @@
 """Each test fails where an operator does less than its whole job."""
 
-import collections
-import re
 import zlib
 
 import numpy as np
 import pytest
 
 from docloom.llm import language, licenses, packing
-from docloom.plans import catalog
 
 
 def test_language_models_words_beyond_the_commonest_thousand(spark):
@@ -34,32 +31,6 @@ def test_language_vocabulary_and_passes_grow():
     assert np.allclose(np.exp(m["c"] @ m["r"].T + m["b"] - z[:, None]).sum(1), 1, atol=1e-4)
 
 
-def test_excerpts_stand_at_every_stride(spark, tmp_path):
-    rows = [(n, "".join(chr(97 + (i * i + n) % 23) for i in range(n))) for n in (0, 1799, 1800, 1801, 3600, 3601, 10_801, 12_345, 33_047)] + [(-1, None)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {tuple(r) for r in catalog.QUERIES["question_excerpts_all"](spark, str(tmp_path)).collect()}
-    assert got == {(i, a, t[a : a + 1800]) for i, t in rows if t for a in range(0, len(t) - 1800, max(1800, len(t) // 6))}
-
-
-def test_entity_pairs_in_passages_of_documents(spark, tmp_path):
-    rng = np.random.default_rng(3)
-    some = ["Anna", "Bert", "Cora", "Dora", "Emil", "low", "x", "Über"]
-    rows = [(i, " ".join(str(rng.choice(some)) for _ in range(n))) for i, n in enumerate((1, 20, 300, 900, 1200))]
-    rows += [(9, "x" * 1493 + " Gustav low Hanna"), (10, "x" * 1499 + " Gustav Hanna"), (11, None), (12, "y Once only"), (13, "y" * 1500 + " Anna Zeno"), (14, "Zeno Zeno")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = [(i, m.start(1) // 1500, m[1]) for i, t in rows if t for m in re.finditer(r" ([A-ZÀ-Þ][a-zà-ÿ][a-zà-ÿ]+)", t)]
-    count = collections.Counter(n for _, _, n in found)
-    kept = {n for n in count if count[n] >= 2}
-    passages = collections.defaultdict(set)
-    for i, k, n in found:
-        passages[i, k] |= {n} & kept
-    want = collections.Counter((a, b) for ns in passages.values() for a in ns for b in ns if a < b)
-    got = {(r.a, r.b): r.passages for r in catalog.QUERIES["entity_cooccurrence"](spark, str(tmp_path)).collect()}
-    assert got == want and len(want) > 10
-    (one,) = catalog.QUERIES["entity_degree"](spark, str(tmp_path)).collect()
-    assert (one.entities, one.pairs, one.avg_degree) == (len(kept), len(want), round(2 * len(want) / len(kept), 2))
-
-
 def test_packing_gives_the_added_tokens_ids():
     import public_tokenizers
     import tokenizers
