@@ -34,7 +34,12 @@ def test_approximate_index_finds_nine_of_ten(spark):
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     exact = {(r.query_id, r.vec_id) for r in vectors.topk(v, v.where("vec_id % 20 = 0")).collect()}
     near = {(r.query_id, r.vec_id) for r in catalog.QUERIES["approximate_nearest"](spark, "/root/testdata/sf0.1").collect()}
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"approximate_nearest"} and len(exact & near) >= 0.9 * len(exact)
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_queries_without_sql():
+    """The sequence matcher has no SQL form: test_sequences.py holds these queries against loops over rows."""
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"approximate_nearest", "aligned_names", "longest_first"}
 
 
 def test_entry(spark):

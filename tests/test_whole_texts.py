@@ -57,10 +57,3 @@ def test_the_sentence_in_the_middle(spark):
     rows = [(0, f"Title. {eight} one. {eight} two! Short one. {eight} three?"), (1, f"{eight} only."), (2, "None here."), (3, ""), (4, None)]
     df = spark.createDataFrame(rows, "i int, t string").select("i", chunks.middle_sentence(F.col("t")).alias("q"))
     assert {r.i: r.q for r in df.collect()} == {0: f"{eight} two!", 1: f"{eight} only.", 2: None, 3: None, 4: None}
-
-
-def test_the_index_finds_nine_of_ten(spark):
-    at = "/root/testdata/sf0.1"
-    near = {(r.query_id, r.vec_id) for r in catalog.QUERIES["vector_topk"](spark, at).collect()}
-    found = {(r.query_id, r.vec_id) for r in catalog.QUERIES["approximate_nearest"](spark, at).collect()}
-    assert len(near & found) >= 0.9 * len(near)
