@@ -18,7 +18,7 @@ _PLAIN = {"$size(": "len(", "$list(": "list(", "$set(": "list_sort(list(DISTINCT
 
 def spark_sql(text: str) -> str:
     text = re.sub(r"\$n_words\((\w+)\)", r"size(regexp_extract_all(\1, '[^ \t\n\r]+', 0))", text)
-    text = re.sub(r"\$upper_median\((\w+)\)", r"element_at(sort_array(collect_list(\1)), int(count(\1) / 2) + 1)", text)
+    text = re.sub(r"\$upper_median\((\w+)\)", r"int(percentile_disc(0.5) WITHIN GROUP (ORDER BY \1 DESC))", text)
     text = re.sub(r"\$json\((\w+), ('[^']+')\)", r"cast(get_json_object(\1, \2) AS int)", text)
     text = re.sub(r"\$join\((\w+), (\w+)\)", r"listagg(\1, ' ') WITHIN GROUP (ORDER BY \2)", text)
     for k, v in _SPARK.items():

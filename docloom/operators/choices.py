@@ -1,6 +1,7 @@
 """Decisions over measured facts: which architecture, which settings, which candidate, at what cost, and how well each is founded.
 
-A corpus is a row of facts; each rule is a projection over any number of such rows.
+A corpus is a row of facts; each rule is a projection over any number of such rows: those measured on documents (measures.py), and
+rows given in code that stand at the edges of the rules.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 
 from docloom.functions import plain, texts
 from docloom.functions.tables import given
+from docloom.operators import measures
 
 FACTS = "name string, words long, avg_words double, degree double, connectivity double, relations double, crossed double, reuse double, homogeneity double, titles double, section_median long, table_share double, multilingual boolean, live boolean, probed boolean"
 
 
-def _facts(spark):
-    return given(spark, CORPORA, FACTS)
+def _facts(spark, at, **needed):
+    return given(spark, CORPORA, FACTS).unionAll(measures.measured(spark, at, **needed))
 
 
 def saturating(x, at: float):
@@ -31,7 +33,7 @@ def amortisation(words):
 
 def router(spark, at):
     """The score for a graph, its threshold, the choice, and whether it is tight."""
-    f = _facts(spark)
+    f = _facts(spark, at)
     probe = 100 * (0.45 * saturating(F.col("relations"), 8) + 0.35 * saturating(F.col("crossed"), 0.25) + 0.20 * saturating(F.col("reuse"), 0.30)) * amortisation(F.col("words"))
     count = F.when(F.col("degree").isNull(), 0.0).otherwise(100 * (0.5 * saturating(F.col("degree"), 3) + 0.5 * saturating(F.col("connectivity"), 0.30)) * amortisation(F.col("words")))
     small = F.col("words") < 15_000
@@ -44,7 +46,7 @@ def router(spark, at):
 
 def chunking_plan(spark, at):
     """Candidates to measure; sections give the size where they are long enough, titles and tables say what else is worth trying."""
-    f = _facts(spark)
+    f = _facts(spark, at, of_names=False, of_probe=False)
     base = F.when(F.col("section_median") >= 400, F.least(F.lit(2400), F.greatest(F.lit(600), F.col("section_median")))).otherwise(F.when(F.col("avg_words") < 400, 700).otherwise(1400)).cast("int")
     one = lambda name, kind, size: F.struct(F.lit(name).alias("candidate"), F.lit(kind).alias("strategy"), size.cast("int").alias("target"))
     second = F.when(F.col("titles") >= 0.5, one("structural", "structural", base)).otherwise(one("fixed short", "fixed", F.greatest(F.lit(400), F.floor(base / 2))))
@@ -54,7 +56,7 @@ def chunking_plan(spark, at):
 
 def rag_profiles(spark, at):
     """Three profiles of each corpus."""
-    f = _facts(spark)
+    f = _facts(spark, at, of_names=False, of_probe=False)
     chunk = F.when(F.col("avg_words") < 400, 300).otherwise(650)
     overlap = F.round(chunk * 0.15).cast("int")
     n = F.greatest(F.lit(1), F.floor(F.floor(F.col("words") * 1.3) / F.greatest(F.lit(1), chunk - overlap))).cast("long")
@@ -66,7 +68,7 @@ def rag_profiles(spark, at):
 
 def kag_plan(spark, at):
     """How to build a graph: chunk, ontology, resolution of names, passes, communities."""
-    f = _facts(spark)
+    f = _facts(spark, at)
     crossed = F.coalesce(F.when(F.col("probed"), F.col("crossed")), F.col("connectivity"), F.lit(0.0))
     strict, frozen, big = crossed >= 0.25, ~F.col("live"), F.col("words")
     communities = (big >= 100_000) & strict & frozen
@@ -76,7 +78,7 @@ def kag_plan(spark, at):
 
 def costs(spark, at):
     """Seconds to build and to answer, of an index with reranking and checking, and of a graph in two passes with communities."""
-    f = _facts(spark).withColumn("tokens", F.floor(F.col("words") * 1.3))
+    f = _facts(spark, at, of_names=False).withColumn("tokens", F.floor(F.col("words") * 1.3))
     t = F.col("tokens")
     index = t / 20_000 + t / (8_000 / F.when(F.col("multilingual"), 2.0).otherwise(1.0))
     ask = F.lit(0.05) + 2.0 + F.when(F.col("multilingual"), 0.03 * 12).otherwise(0.0)
@@ -130,14 +132,14 @@ def machine_settings(spark, at):
 
 def ontology(spark, at):
     """The commonest predicates, fifteen at most, make a closed list if there are ten and more of them."""
-    p = given(spark, PREDICATES, "corpus string, predicate string, n long")
+    p = given(spark, PREDICATES, "corpus string, predicate string, n long").unionAll(measures.corpus_predicates(spark, at))
     r = p.where(F.trim("predicate") != "").withColumn("k", F.row_number().over(Window.partitionBy("corpus").orderBy(F.desc("n"), "predicate"))).where("k <= 15")
     return r.groupBy("corpus").agg(F.count("*").alias("n"), (F.count("*") >= 10).alias("closed"), F.when(F.count("*") >= 10, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "predicate"))), lambda x: x["predicate"]), ",")).alias("allowed"))
 
 
 def marginal_signals(spark, at):
     """Signals within 20 % of their thresholds, whether the corpus fits a context window, and how tightly."""
-    f = _facts(spark).where("probed")
+    f = _facts(spark, at, of_names=False).where("probed")
     near = lambda c, at: F.when(F.abs(F.col(c) - at) <= 0.2 * at, F.lit(c))
     tokens = F.floor(F.col("words") * 1.3)
     budget = int(32_768 * 0.65)
@@ -161,7 +163,7 @@ MEASURES = [("top_k", "10"), ("retrieve_k", "20"), ("reranker", "none")]
 KEYS = [("embedding_type", "_embedding_type"), ("index_type", "_index_type"), ("chunk_strategy", "_chunk_strategy"), ("chunk_chars", "_chunk_chars"), ("distance", "_metric_type")]
 PREDICATES = [("wide", f"p{i:02d}", 20 - i // 2) for i in range(18)] + [("narrow", f"q{i}", 5) for i in range(9)] + [("narrow", " ", 50)]
 
-_F = plain.values(CORPORA, FACTS)
+_F = f"(SELECT * FROM {plain.values(CORPORA, FACTS)} v UNION ALL SELECT * FROM {measures.MEASURED} m)"
 _SAT = "greatest(coalesce({0}, 0), 0) / (greatest(coalesce({0}, 0), 0) + {1})".format
 _AMORT = "(0.4 + 0.6 * least(words / 100000, 1))"
 _SCORE = f"cast(CASE WHEN words < 15000 THEN 0 WHEN probed THEN round(100 * (0.45 * {_SAT('relations', '8.0')} + 0.35 * {_SAT('crossed', '0.25::double')} + 0.20 * {_SAT('reuse', '0.30::double')}) * {_AMORT}) WHEN degree IS NULL THEN 0 ELSE round(100 * (0.5 * {_SAT('degree', '3.0')} + 0.5 * {_SAT('connectivity', '0.30::double')}) * {_AMORT}) END AS int)"
@@ -190,6 +192,6 @@ ORACLES = {
     "tie_choice": f"SELECT a.setting, CASE WHEN round(a.note - b.note, 9) < 0.03 AND b.place < a.place THEN b.trial ELSE a.trial END AS chosen, coalesce(round(a.note - b.note, 9) < 0.03, false) AS tie FROM (SELECT *, row_number() OVER (PARTITION BY setting ORDER BY note DESC, place) AS r FROM {plain.values(TRIALS, 'setting string, place int, trial string, note double')} t) a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY setting ORDER BY note DESC, place) AS r FROM {plain.values(TRIALS, 'setting string, place int, trial string, note double')} t) b ON a.setting = b.setting AND b.r = 2 WHERE a.r = 1",
     "evidence_summary": f"SELECT level, count(*) AS n, cast(sum(count(*)) OVER () AS bigint) AS total, round(count(*) / sum(count(*)) OVER (), 2) AS share, string_agg(name, ', ' ORDER BY name) AS names, CASE level WHEN 'measured' THEN 'measured on this corpus' WHEN 'constrained' THEN 'imposed by another choice' WHEN 'consequence' THEN 'follows from a measure' ELSE 'set by rule, not measured' END AS phrase FROM {_E} e WHERE level <> 'diagnostic' GROUP BY level",
     "machine_settings": f"SELECT coalesce(k.key, name) AS key, value, measured FROM (SELECT coalesce(e.name, m.name) AS name, coalesce(m.value, e.value) AS value, m.value IS NOT NULL AS measured FROM (SELECT * FROM {_E} e WHERE level <> 'diagnostic') e FULL JOIN {plain.values(MEASURES, 'name string, value string')} m ON m.name = e.name) b LEFT JOIN {plain.values(KEYS, 'n string, key string')} k ON k.n = b.name WHERE NOT starts_with(coalesce(k.key, name), '_private')",
-    "ontology": f"SELECT corpus, count(*) AS n, count(*) >= 10 AS closed, CASE WHEN count(*) >= 10 THEN string_agg(predicate, ',' ORDER BY k) END AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY n DESC, predicate) AS k FROM {plain.values(PREDICATES, 'corpus string, predicate string, n long')} p WHERE trim(predicate) <> '') r WHERE k <= 15 GROUP BY corpus",
+    "ontology": f"SELECT corpus, count(*) AS n, count(*) >= 10 AS closed, CASE WHEN count(*) >= 10 THEN string_agg(predicate, ',' ORDER BY k) END AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY n DESC, predicate) AS k FROM (SELECT * FROM {plain.values(PREDICATES, 'corpus string, predicate string, n long')} v UNION ALL SELECT * FROM {measures.PREDICATES} m) p WHERE trim(predicate) <> '') r WHERE k <= 15 GROUP BY corpus",
     "marginal_signals": f"SELECT name, concat_ws(',', CASE WHEN abs(relations - 8.0) <= 0.2 * 8.0::double THEN 'relations' END, CASE WHEN abs(crossed - 0.25::double) <= 0.2::double * 0.25::double THEN 'crossed' END, CASE WHEN abs(reuse - 0.30::double) <= 0.2::double * 0.30::double THEN 'reuse' END) AS marginal, {_TOKENS} <= 21299 AS fits, {_TOKENS} <= 21299 AND {_TOKENS} > 21299 * 0.70 AS tightly FROM {_F} f WHERE probed",
 }

@@ -58,23 +58,26 @@ def entity_filter(spark, at):
     return s.join(words).select("found", "kept", F.round(1 - F.col("kept") / F.col("found"), 2).alias("rejected"), "distinct_names", "met_once", F.round(1000 * F.col("kept") / F.col("words"), 1).alias("density"))
 
 
-def _proposed(spark, at) -> DataFrame:
-    """(doc, text, s, p, o) of the relations of documents and of the rows below."""
-    d = _documents(spark, at)
+def relations(d: DataFrame) -> DataFrame:
+    """(doc, text, s, p, o) of the relations of texts (doc_id, text)."""
     part = lambda i: F.regexp_extract_all("text", F.lit(RELATION), F.lit(i))
-    found = d.select(F.col("doc_id").alias("doc"), "text", F.explode(F.arrays_zip(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"))).alias("x")).select("doc", "text", "x.s", "x.p", "x.o")
-    return found.unionAll(given(spark, PROPOSED, "doc long, text string, s string, p string, o string"))
+    return d.select(F.col("doc_id").alias("doc"), "text", F.explode(F.arrays_zip(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"))).alias("x")).select("doc", "text", "x.s", "x.p", "x.o")
 
 
-def _checked(spark, at) -> DataFrame:
+def checked(proposed: DataFrame) -> DataFrame:
     """the first reason to reject a relation, or kept."""
-    t = _proposed(spark, at).withColumn("folded", texts.fold(F.col("text")))
+    t = proposed.withColumn("folded", texts.fold(F.col("text")))
     name = lambda c: texts.fold(texts.squeezed(F.col(c)))
     held = texts.grounded(F.col("folded"), name("s")) & texts.grounded(F.col("folded"), name("o"))
     reason = F.when(F.trim(F.coalesce("p", F.lit(""))) == "", "no predicate").when(~(texts.valid_argument(F.col("s")) & texts.valid_argument(F.col("o"))), "argument").when(name("s") == name("o"), "self").when(~held, "not in text").otherwise("kept")
     return t.select("doc", name("s").alias("s"), texts.predicate(F.coalesce("p", F.lit(""))).alias("p"), name("o").alias("o"), reason.alias("reason"))
 
 
+def _checked(spark, at) -> DataFrame:
+    """The relations of documents and of the rows below."""
+    return checked(relations(_documents(spark, at)).unionAll(given(spark, PROPOSED, "doc long, text string, s string, p string, o string")))
+
+
 def relation_checks(spark, at):
     return _checked(spark, at).groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -149,11 +152,13 @@ _DOCS = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
 _MENTIONS = f"(SELECT doc_id, {plain.canonical('name')} AS canon FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{MENTION}')) AS name FROM {_DOCS} d) m)"
 _WORDS = f"(SELECT sum(len({plain.words('text')})) AS words FROM {_DOCS} d)"
 _PART = [f"unnest(regexp_extract_all(text, '{RELATION}', {i}))" for i in (1, 2, 3)]
-_PROPOSED = f"(SELECT doc_id AS doc, text, {_PART[0]} AS s, {_PART[1]} AS p, {_PART[2]} AS o FROM {_DOCS} d UNION ALL SELECT * FROM {plain.values(PROPOSED, 'doc long, text string, s string, p string, o string')} g)"
+_FOUND = f"(SELECT doc_id AS doc, text, {_PART[0]} AS s, {_PART[1]} AS p, {_PART[2]} AS o FROM {_DOCS} d)"
+_PROPOSED = f"(SELECT * FROM {_FOUND} r UNION ALL SELECT * FROM {plain.values(PROPOSED, 'doc long, text string, s string, p string, o string')} g)"
 _NAME = "trim(regexp_replace({0}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 _S, _O = (plain.fold(_NAME.format(c)) for c in "so")
-_CHECKED = f"""(SELECT doc, {_S} AS s, {plain.predicate("coalesce(p, '')")} AS p, {_O} AS o, CASE WHEN trim(coalesce(p, '')) = '' THEN 'no predicate' WHEN NOT ({plain.valid_argument('s')}) OR NOT ({plain.valid_argument('o')}) THEN 'argument' WHEN {_S} = {_O} THEN 'self'
-    WHEN NOT ({plain.grounded(plain.fold('text'), _S)} AND {plain.grounded(plain.fold('text'), _O)}) THEN 'not in text' ELSE 'kept' END AS reason FROM {_PROPOSED} x)"""
+_CHECK = f"""(SELECT doc, {_S} AS s, {plain.predicate("coalesce(p, '')")} AS p, {_O} AS o, CASE WHEN trim(coalesce(p, '')) = '' THEN 'no predicate' WHEN NOT ({plain.valid_argument('s')}) OR NOT ({plain.valid_argument('o')}) THEN 'argument' WHEN {_S} = {_O} THEN 'self'
+    WHEN NOT ({plain.grounded(plain.fold('text'), _S)} AND {plain.grounded(plain.fold('text'), _O)}) THEN 'not in text' ELSE 'kept' END AS reason FROM $proposed x)"""
+_CHECKED, FOUND_CHECKED = (_CHECK.replace("$proposed", t) for t in (_PROPOSED, _FOUND))
 _ALIAS = plain.values(ALIASES, "name string, alias string")
 _KEPT = f"(SELECT * FROM {_CHECKED} c WHERE reason = 'kept')"
 _NAMES = f"(SELECT DISTINCT unnest([s, o]) AS name FROM {_KEPT} k)"
