@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import plain, texts
 from docloom.functions.tables import given
-from docloom.operators import measures
+from docloom.operators import chunks, measures
 
 FACTS = "name string, words long, avg_words double, degree double, connectivity double, relations double, crossed double, reuse double, homogeneity double, titles double, section_median long, table_share double, multilingual boolean, live boolean, probed boolean"
 
@@ -89,8 +89,10 @@ def costs(spark, at):
 
 def candidate_winner(spark, at):
     """Notes from the measures at hand, weights shared out anew; of those within 0.03 of the best the simplest, then the
-    fastest; candidates that failed are kept as not measured."""
-    c = given(spark, CANDIDATES, "corpus string, candidate string, strategy string, size double, ends double, begins double, cohesion double, coherence double, seconds double, error string")
+    fastest; candidates that failed are kept as not measured. Corpora are those below, and all documents as three strategies cut
+    them, where a thousand chunks count as a second."""
+    m = chunks.candidate_report(spark, at).select(F.lit("documents"), F.col("strategy"), F.col("strategy"), "size_score", "end_score", "begin_score", "cohesion", F.lit(None).cast("double"), F.col("chunks") / 1000, F.lit(None).cast("string"))
+    c = given(spark, CANDIDATES, "corpus string, candidate string, strategy string, size double, ends double, begins double, cohesion double, coherence double, seconds double, error string").unionAll(m)
     weights = {"size": 0.15, "ends": 0.25, "begins": 0.25, "cohesion": 0.20, "coherence": 0.15}
     total = sum((F.when(F.col(k).isNotNull(), F.lit(w)).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
     note = sum((F.coalesce(F.col(k), F.lit(0.0)) * w for k, w in weights.items()), F.lit(0.0)) / F.when(total > 0, total)
@@ -169,7 +171,8 @@ _AMORT = "(0.4 + 0.6 * least(words / 100000, 1))"
 _SCORE = f"cast(CASE WHEN words < 15000 THEN 0 WHEN probed THEN round(100 * (0.45 * {_SAT('relations', '8.0')} + 0.35 * {_SAT('crossed', '0.25::double')} + 0.20 * {_SAT('reuse', '0.30::double')}) * {_AMORT}) WHEN degree IS NULL THEN 0 ELSE round(100 * (0.5 * {_SAT('degree', '3.0')} + 0.5 * {_SAT('connectivity', '0.30::double')}) * {_AMORT}) END AS int)"
 _LIMIT = "CASE WHEN words < 15000 THEN 50 WHEN live THEN 80 WHEN probed THEN 50 ELSE 75 END"
 _BASE = "cast(CASE WHEN section_median >= 400 THEN least(2400, greatest(600, section_median)) WHEN avg_words < 400 THEN 700 ELSE 1400 END AS int)"
-_CAND = plain.values(CANDIDATES, "corpus string, candidate string, strategy string, size double, ends double, begins double, cohesion double, coherence double, seconds double, error string")
+_CAND = f"""(SELECT * FROM {plain.values(CANDIDATES, 'corpus string, candidate string, strategy string, size double, ends double, begins double, cohesion double, coherence double, seconds double, error string')} v
+    UNION ALL SELECT 'documents', strategy, strategy, size_score, end_score, begin_score, cohesion, NULL, chunks / 1000, NULL FROM {chunks.CANDIDATE_REPORT} m)"""
 _W = {"size": 0.15, "ends": 0.25, "begins": 0.25, "cohesion": 0.20, "coherence": 0.15}
 _NOTE = "CASE WHEN error IS NULL THEN round((" + " + ".join(f"coalesce({k}, 0) * {w}::double" for k, w in _W.items()) + ") / nullif(" + " + ".join(f"CASE WHEN {k} IS NULL THEN 0.0::double ELSE {w}::double END" for k, w in _W.items()) + ", 0), 3) END"
 _NEAR = f"(SELECT *, coalesce(round(max(note) OVER (PARTITION BY corpus) - note, 6) <= 0.03, false) AS near FROM (SELECT *, {_NOTE} AS note FROM {_CAND} c) n)"

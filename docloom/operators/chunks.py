@@ -287,17 +287,28 @@ def chunk_report(spark, at):
 
     Cohesion is the mean likeness of neighbours among a chunk's first twelve sentences, over all chunks of two sentences and more.
     """
-    c = fixed_chunks(spark, at)
+    return _report(fixed_chunks(spark, at).select("doc", "body", "n_chars", F.lit("fixed").alias("strategy"))).drop("strategy")
+
+
+def _report(c: DataFrame) -> DataFrame:
+    """The row of chunk_report for each strategy of chunks (doc, body, n_chars, strategy)."""
     end = F.col("body").rlike(r"[.!?…:;)\]»\"']\s*$") | (F.col("body").rlike(r"[0-9]\s*$") & (F.size(texts.words(F.col("body"))) > 3))
     loose = F.col("body").rlike("(?i)^(?:" + "|".join([*DANGLING, "the former", "the latter"]) + r")(?![\p{L}\p{N}_])")
     s = F.slice(sentences(F.col("body")), 1, 12)
     mean = bound(likeness(s), lambda near: F.when(F.size(near) > 0, F.aggregate(near, F.lit(0.0), lambda a, x: a + x) / F.size(near)))
-    r = c.select("doc", "n_chars", F.length("body").between(0.5 * TARGET, 1.5 * TARGET).alias("sized"), end.alias("ended"), (~loose).alias("begun"), mean.alias("cohesion"))
+    r = c.select("strategy", "doc", "n_chars", F.length("body").between(0.5 * TARGET, 1.5 * TARGET).alias("sized"), end.alias("ended"), (~loose).alias("begun"), mean.alias("cohesion"))
     share = lambda x: F.avg(F.col(x).cast("double"))
-    r = r.agg(F.count("*").alias("chunks"), F.countDistinct("doc").alias("docs"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"), F.round(F.avg("n_chars"), 4).alias("mean"),
+    r = r.groupBy("strategy").agg(F.count("*").alias("chunks"), F.countDistinct("doc").alias("docs"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"), F.round(F.avg("n_chars"), 4).alias("mean"),
               F.round(F.avg((F.col("n_chars") < 300).cast("double")), 6).alias("tiny"), share("sized").alias("size_score"), share("ended").alias("end_score"), share("begun").alias("begin_score"), F.avg("cohesion").alias("cohesion"))
     note = (0.15 * F.col("size_score") + 0.25 * F.col("end_score") + 0.25 * F.col("begin_score") + 0.20 * F.col("cohesion")) / 0.85
-    return r.select("chunks", "docs", "low", "high", "mean", "tiny", *(F.round(x, 6).alias(x) for x in ("size_score", "end_score", "begin_score", "cohesion")), F.round(note, 6).alias("note"))
+    return r.select("strategy", "chunks", "docs", "low", "high", "mean", "tiny", *(F.round(x, 6).alias(x) for x in ("size_score", "end_score", "begin_score", "cohesion")), F.round(note, 6).alias("note"))
+
+
+def candidate_report(spark, at):
+    """The report of fixed, structural and semantic chunks of the same documents, a row for each strategy."""
+    told = {"fixed": fixed_chunks(spark, at), "structural": structural_chunks(spark, at), "semantic": semantic_chunks(spark, at).withColumn("n_chars", F.length("body"))}
+    every = [c.select("doc", "body", "n_chars", F.lit(name).alias("strategy")) for name, c in told.items()]
+    return _report(every[0].unionAll(every[1]).unionAll(every[2]))
 
 
 MARKDOWN = [
@@ -389,10 +400,15 @@ _SEMANTIC = f"""(SELECT doc, {_headed('g')} AS g FROM (SELECT doc, {_merged('g')
         OR length(a[-1].b) + CASE WHEN len(a) > 1 THEN 1 ELSE 0 END + length(x[1].b) + 1 > {int(TARGET * FACTOR)} THEN list_concat(a, x) ELSE list_concat(a[1:len(a) - 1], [{{'b': a[-1].b || ' ' || x[1].b, 'n': a[-1].n + 1, 'l': x[1].l, 'c': x[1].c}}]) END, cast([] AS struct(b varchar, n integer, l varchar, c double)[])), lambda x: {{'b': x.b, 'n': x.n, 'l': x.l}}) END AS g
     FROM (SELECT doc, s, sims, list_sort(sims)[greatest(0, cast(floor(len(sims) * 0.25) AS int) - 1) + 1] AS limit_at FROM (SELECT doc, s, list_transform(range(1, len(s)), lambda i: {_cosine('s[i]', 's[i + 1]')}) AS sims FROM (SELECT doc, {_sentences('text')} AS s FROM {_DOCS} x) a WHERE len(s) > 0) b) c) d) e)"""
 _BEGINS = "^(?:" + "|".join([*DANGLING, "the former", "the latter"]) + ")(?:[^\\p{L}\\p{N}_]|$)"
-_REPORT = f"""SELECT *, round((0.15 * size_raw + 0.25 * end_raw + 0.25 * begin_raw + 0.20 * cohesion_raw) / 0.85, 6) AS note FROM (SELECT count(*) AS chunks, count(DISTINCT doc) AS docs, min(n_chars) AS low, max(n_chars) AS high, round(avg(n_chars), 4) AS mean, round(avg(CASE WHEN n_chars < 300 THEN 1.0 ELSE 0.0 END), 6) AS tiny,
+_REPORT = f"""SELECT *, round((0.15 * size_raw + 0.25 * end_raw + 0.25 * begin_raw + 0.20 * cohesion_raw) / 0.85, 6) AS note FROM (SELECT strategy, count(*) AS chunks, count(DISTINCT doc) AS docs, min(n_chars) AS low, max(n_chars) AS high, round(avg(n_chars), 4) AS mean, round(avg(CASE WHEN n_chars < 300 THEN 1.0 ELSE 0.0 END), 6) AS tiny,
     avg(CASE WHEN length(body) BETWEEN {TARGET // 2} AND {TARGET * 3 // 2} THEN 1.0 ELSE 0.0 END) AS size_raw, avg(CASE WHEN regexp_matches(body, '[.!?…:;)\\]»"'']{_WS}*$') OR (regexp_matches(body, '[0-9]{_WS}*$') AND len({plain.words('body')}) > 3) THEN 1.0 ELSE 0.0 END) AS end_raw,
-    avg(CASE WHEN regexp_matches(lower(body), '{_BEGINS}') THEN 0.0 ELSE 1.0 END) AS begin_raw, avg(CASE WHEN len(s) >= 2 THEN list_avg(list_transform(range(1, len(s)), lambda i: {_cosine('s[i]', 's[i + 1]')})) END) AS cohesion_raw FROM (SELECT *, ({_sentences('body')})[1:12] AS s FROM {_fixed(_DOCS)} f) h) r"""
-QUERIES = {f.__name__: f for f in (sentence_pieces, fixed_chunks, markdown_blocks, structural_chunks, semantic_chunks, flat_pieces, parent_children, measured_children, requirement_children, middle_queries, chunk_report)}
+    avg(CASE WHEN regexp_matches(lower(body), '{_BEGINS}') THEN 0.0 ELSE 1.0 END) AS begin_raw, avg(CASE WHEN len(s) >= 2 THEN list_avg(list_transform(range(1, len(s)), lambda i: {_cosine('s[i]', 's[i + 1]')})) END) AS cohesion_raw FROM (SELECT *, ({_sentences('body')})[1:12] AS s FROM $chunks f) h GROUP BY strategy) r"""
+_FIXED_ROWS = f"(SELECT 'fixed' AS strategy, doc, body, n_chars FROM {_fixed(_DOCS)} x)"
+_CANDIDATES = f"""(SELECT * FROM {_FIXED_ROWS} a UNION ALL SELECT 'structural', doc, body, cast(length(text) AS int) FROM {_STRUCTURAL} b
+    UNION ALL SELECT 'semantic', doc, g[i].b, cast(length(g[i].b) AS int) FROM (SELECT doc, g, unnest(range(1, len(g) + 1)) AS i FROM {_SEMANTIC} f) c)"""
+_SCORES = "strategy, chunks, docs, low, high, mean, tiny, round(size_raw, 6) AS size_score, round(end_raw, 6) AS end_score, round(begin_raw, 6) AS begin_score, round(cohesion_raw, 6) AS cohesion, note"
+CANDIDATE_REPORT = f"(SELECT {_SCORES} FROM ({_REPORT.replace('$chunks', _CANDIDATES)}) z)"
+QUERIES = {f.__name__: f for f in (sentence_pieces, fixed_chunks, markdown_blocks, structural_chunks, semantic_chunks, flat_pieces, parent_children, measured_children, requirement_children, middle_queries, chunk_report, candidate_report)}
 ORACLES = {
     "sentence_pieces": f"SELECT doc, cast(i - 1 AS int) AS place, s[i] AS piece FROM (SELECT doc, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc, {_sentences('text')} AS s FROM {_DOCS} x) a) b",
     "fixed_chunks": f"SELECT doc, chunk, text, body, n_chars, n_sentences FROM {_fixed(_DOCS)} f",
@@ -404,5 +420,6 @@ ORACLES = {
     "measured_children": f"SELECT p.place AS parent_index, k.i AS chunk_index, k.piece AS child FROM (SELECT key AS place, i, piece FROM {_pieces(f'(SELECT row_number() OVER (ORDER BY cast(doc AS bigint), chunk) - 1 AS key, text FROM {_fixed(_DOCS)} f)', 552, 110)} q) k, (SELECT k.place) p",
     "requirement_children": f"SELECT key.d AS doc, key.b AS block, key.c AS chunk, i AS child_index, cast(length(piece) AS int) AS n_chars, sha1(key.t || '||' || piece) AS key FROM {_pieces(_CHUNKED, 920, 184)} k",
     "middle_queries": f"SELECT doc, chunk, q[cast(len(q) // 2 AS int) + 1] AS query FROM (SELECT doc, chunk, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda p: {_strip('p')}), lambda p: len({plain.words('p')}) >= 8) AS q FROM {_fixed(_DOCS)} f WHERE len({plain.words('text')}) >= 16) g WHERE len(q) > 0",
-    "chunk_report": f"SELECT chunks, docs, low, high, mean, tiny, round(size_raw, 6) AS size_score, round(end_raw, 6) AS end_score, round(begin_raw, 6) AS begin_score, round(cohesion_raw, 6) AS cohesion, note FROM ({_REPORT}) z",
+    "chunk_report": f"SELECT * EXCLUDE (strategy) FROM (SELECT {_SCORES} FROM ({_REPORT.replace('$chunks', _FIXED_ROWS)}) z) y",
+    "candidate_report": f"SELECT * FROM {CANDIDATE_REPORT} c",
 }
