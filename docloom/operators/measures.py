@@ -33,7 +33,7 @@ def structure(d: DataFrame) -> DataFrame:
     tables = F.aggregate(F.transform(F.filter(lines, lambda x: x.startswith("|")), F.length), F.lit(0), lambda a, x: a + x)
     m = d.select("corpus", F.size(texts.words(F.col("text"))).alias("words"), F.length("text").alias("chars"), F.col("text").rlike(r"(^|\n)#").cast("double").alias("titled"), tables.alias("tables"))
     g = m.groupBy("corpus").agg(F.count("*").alias("docs"), F.sum("words").alias("words"), F.avg("words").alias("avg_words"), F.stddev_pop("words").alias("dev"), F.round(F.avg("titled"), 2).alias("titles"),
-                                F.round(F.sum("tables") / F.sum("chars"), 2).alias("table_share"), F.avg((F.col("tables") > 0).cast("double")).alias("with_tables"))
+                                F.round(F.coalesce(F.try_divide(F.sum("tables"), F.sum("chars")), F.lit(0.0)), 2).alias("table_share"), F.avg((F.col("tables") > 0).cast("double")).alias("with_tables"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("corpus"))
     langs = d.where("lang is not null").groupBy("corpus", "lang").agg(F.count("*").alias("n")).withColumn("share", share)
     langs = langs.groupBy("corpus").agg(F.max("share").alias("top"), (F.count_if(F.round("share", 2) >= 0.15) >= 2).alias("multilingual"))
@@ -105,7 +105,7 @@ def _sql(by: str) -> tuple[str, str, str]:
     lines = "string_split(text, chr(10))"
     structure_ = f"""(SELECT g.corpus, words, round(avg_words, 4) AS avg_words, CASE WHEN docs > 1 THEN round((top + 1 - least(CASE WHEN avg_words > 0 THEN dev / avg_words ELSE 0 END, 1) + 2 * abs(with_tables - 0.5)) / 3, 2) END AS homogeneity, titles, section_median, table_share, coalesce(multilingual, false) AS multilingual
         FROM (SELECT corpus, count(*) AS docs, cast(sum(len({plain.words('text')})) AS bigint) AS words, avg(len({plain.words('text')})) AS avg_words, stddev_pop(len({plain.words('text')})) AS dev, round(avg(CASE WHEN regexp_matches(text, '(^|\\n)#') THEN 1.0 ELSE 0.0 END), 2) AS titles,
-        round(sum(coalesce(list_sum(list_transform(list_filter({lines}, lambda x: starts_with(x, '|')), lambda x: length(x))), 0)) / sum(length(text)), 2) AS table_share, avg(CASE WHEN len(list_filter({lines}, lambda x: starts_with(x, '|') AND length(x) > 0)) > 0 THEN 1.0 ELSE 0.0 END) AS with_tables FROM {d} d GROUP BY corpus) g
+        round(sum(coalesce(list_sum(list_transform(list_filter({lines}, lambda x: starts_with(x, '|')), lambda x: length(x))), 0)) / greatest(sum(length(text)), 1), 2) AS table_share, avg(CASE WHEN len(list_filter({lines}, lambda x: starts_with(x, '|') AND length(x) > 0)) > 0 THEN 1.0 ELSE 0.0 END) AS with_tables FROM {d} d GROUP BY corpus) g
         LEFT JOIN (SELECT corpus, max(share) AS top, count(*) FILTER (WHERE round(share, 2) >= 0.15::double) >= 2 AS multilingual FROM (SELECT corpus, lang, count(*) / sum(count(*)) OVER (PARTITION BY corpus) AS share FROM {d} d WHERE lang IS NOT NULL GROUP BY corpus, lang) l GROUP BY corpus) l ON l.corpus = g.corpus
         LEFT JOIN (SELECT corpus, list_sort(list(n))[count(*) // 2 + 1] AS section_median FROM (SELECT corpus, length(line) AS n FROM (SELECT corpus, unnest({lines}) AS line FROM {d} d) x WHERE trim(line) <> '') y GROUP BY corpus) s ON s.corpus = g.corpus)"""
     passages = f"(SELECT corpus, doc_id, k, substring(text, {PASSAGE} * k + 1, {PASSAGE}) AS piece FROM (SELECT *, unnest(range((length(text) - 1) // {PASSAGE} + 1)) AS k FROM {d} d WHERE length(text) > 0) q)"
