@@ -8,16 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to spark.checkpoint.dir and read again; a temporary folder serves only on one machine where it is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder serves only on one machine where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="docloom")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at}/{name}-{uuid.uuid4().hex}"
+    return at
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,7 @@ from functools import partial
 
 from docloom.functions import dialect
 from docloom.operators import answers, choices, chunking, chunks, facts, fusion, layout, measures, numbering, probes, ranked, relational, retrieval, sequences, substring, tenders, vectors
+from docloom.streaming import live
 
 #: Capitalised words after a space stand in for named entities.
 _NAMES = "regexp_extract_all(text, ' ([A-ZÀ-Þ][a-zà-ÿ][a-zà-ÿ]+)', 1)"
@@ -34,7 +35,7 @@ def _plain(name, text):
 
 
 #: Modules whose Spark side is columns and whose SQL is written apart.
-_APART = (answers, choices, chunks, facts, fusion, measures, probes, ranked, retrieval, sequences, tenders)
+_APART = (answers, choices, chunks, facts, fusion, live, measures, probes, ranked, retrieval, sequences, tenders)
 QUERIES = {name: partial(_run, name, ours) for name, ours, _ in _texts()} | chunking.QUERIES | vectors.QUERIES | substring.QUERIES | numbering.QUERIES
 ORACLES = {name: _plain(name, theirs) for name, _, theirs in _texts()} | chunking.ORACLES | vectors.ORACLES
 for _module in _APART:

@@ -112,18 +112,24 @@ def write_vectors(df: DataFrame, path: str, vector: str = "embedding", recreate:
 def upsert_graph(spark: SparkSession, edges: DataFrame, path: str) -> None:
     """SK3: edges (s, p, o, sources) merged into the graph at a path; an edge gets the sources that it lacks.
 
-    The new graph is written beside the old one and takes its place only when it is whole.
+    The new graph is written beside the old one and takes its place when it is whole. A run that was killed while the two change
+    places is finished by the next call; docloom.streaming.live has a graph that readers never find missing.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    at, new = hadoop.Path(path), hadoop.Path(path + ".new")
+    at, new, aside = (hadoop.Path(path + end) for end in ("", ".new", ".old"))
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at) and fs.exists(aside):
+        fs.rename(new if fs.exists(new) else aside, at)
     new_edges = edges.groupBy("s", "p", "o").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("b"))
     none = F.array().cast(edges.schema["sources"].dataType)
     old = spark.read.parquet(path).withColumnRenamed("sources", "a") if fs.exists(at) else new_edges.select("s", "p", "o", none.alias("a")).limit(0)
     both = old.join(new_edges, ["s", "p", "o"], "full")
     both.select("s", "p", "o", F.array_sort(F.array_union(F.coalesce("a", none), F.coalesce("b", none))).alias("sources")).write.mode("overwrite").parquet(path + ".new")
-    fs.delete(at, True)
+    fs.delete(aside, True)
+    if fs.exists(at):
+        fs.rename(at, aside)
     fs.rename(new, at)
+    fs.delete(aside, True)
 
 
 def reset_graph(spark: SparkSession, edges: DataFrame, path: str) -> None:
