@@ -4,7 +4,7 @@ Known licence sentences are looked for in the words of a text: they begin and en
 line ends, comment signs and punctuation in between. The longest counts. Ordered rules over their identifiers then name licences:
 all of a rule's sentences must follow in order, at most GAP unknown sentences between two of them. Rules are tried longest first
 (of equal length: in the order given), and a sentence serves one rule. "All rights reserved" names a licence only in a text without
-another. Nulls and empty texts have none; rows without an id and repeated rows come back each.
+another. SPDX lines may hold expressions: each licence counts, with its exception. Nulls and empty texts have none; rows without an id and repeated rows come back each.
 """
 
 from __future__ import annotations
@@ -81,8 +81,21 @@ SENTENCES = {
     "epl-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license {v} which is available at",
     "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
     "mit-no-attribution": "mit no attribution",
+    "bsd-advert": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "bsd-endorse-university": "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "mit-project": "this project is licensed under the mit license",
+    "apache-project": "this project is licensed under the apache license version {v}",
+    "dual-mit-apache": "dual licensed under the mit license and the apache license version {v}",
+    "dual-mit-or-apache": "dual licensed under the mit license or the apache license version {v}",
+    "dual-apache-mit": "licensed under either of the apache license version {v} or the mit license",
+    "artistic-title": "the artistic license {v}",
+    "artistic-short": "artistic license {v}",
+    "artistic-by": "licensed under the artistic license {v}",
+    "cddl-title": "common development and distribution license cddl version {v}",
+    "cddl-terms": "the contents of this file are subject to the terms of the common development and distribution license the license",
+    "cddl-by": "licensed under the common development and distribution license version {v}",
 }
-#: Ordered rules; {v} is the version that their sentences name.
+#: Ordered rules; {v} is the version that their sentences name, and a comma parts the licences that one sentence gives.
 RULES = [
     ("Apache-{v}", "apache-by apache-you-may-not apache-copy apache-as-is apache-see"), ("Apache-{v}", "apache-by apache-you-may-not apache-as-is"), ("Apache-{v}", "apache-by"),
     ("MIT", "mit-grant mit-notice mit-as-is"), ("MIT", "mit-grant mit-notice"), ("MIT", "mit-grant"), ("MIT", "mit-released"), ("MIT", "mit-licensed"), ("MIT", "mit-name"), ("MIT", "mit-short"), ("ISC", "isc-grant"),
@@ -95,24 +108,36 @@ RULES = [
     ("GPL-{v}-only", "gpl-only-long gpl-no-warranty"), ("GPL-{v}-only", "gpl-only-long"), ("LGPL-{v}-or-later", "lgpl-free lgpl-no-warranty"), ("LGPL-{v}-or-later", "lgpl-free"), ("LGPL-{v}-or-later", "lgpl-free-program gpl-no-warranty"),
     ("LGPL-{v}-or-later", "lgpl-free-program"), ("AGPL-{v}-or-later", "agpl-free gpl-no-warranty"), ("AGPL-{v}-or-later", "agpl-free"), ("BSD-{v}-Clause", "bsd-by"), ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-endorse bsd-as-is"),
     ("BSD-2-Clause", "bsd-grant bsd-source bsd-binary bsd-as-is"), ("ISC", "isc-grant isc-as-is"), ("0BSD", "0bsd-grant"), ("Zlib", "zlib-as-is zlib-grant"), ("Zlib", "zlib-grant"), ("BSL-{v}", "boost-by"), ("BSL-{v}", "boost-title"),
-    ("EPL-{v}", "epl-terms"), ("WTFPL", "wtfpl"), ("MIT-0", "mit-no-attribution"), ("LicenseRef-Proprietary", "reserved"),
+    ("EPL-{v}", "epl-terms"), ("WTFPL", "wtfpl"), ("MIT-0", "mit-no-attribution"),
+    ("BSD-4-Clause", "bsd-grant bsd-source bsd-binary bsd-advert bsd-endorse bsd-as-is"), ("BSD-4-Clause", "bsd-grant bsd-source bsd-binary bsd-advert bsd-endorse"), ("BSD-4-Clause", "bsd-grant bsd-source bsd-binary bsd-advert"),
+    ("BSD-4-Clause-UC", "bsd-grant bsd-source bsd-binary bsd-advert bsd-endorse-university bsd-as-is"), ("BSD-4-Clause-UC", "bsd-grant bsd-source bsd-binary bsd-advert bsd-endorse-university"),
+    ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-endorse-university bsd-as-is"), ("BSD-3-Clause", "bsd-grant bsd-source bsd-binary bsd-endorse-university"),
+    ("MIT", "mit-project"), ("Apache-{v}", "apache-project"),
+    ("MIT,Apache-{v}", "dual-mit-apache"), ("MIT,Apache-{v}", "dual-mit-or-apache"), ("Apache-{v},MIT", "dual-apache-mit"), ("Artistic-{v}", "artistic-title"), ("Artistic-{v}", "artistic-short"), ("Artistic-{v}", "artistic-by"),
+    ("CDDL-{v}", "cddl-title"), ("CDDL-{v}", "cddl-terms"), ("CDDL-{v}", "cddl-by"), ("LicenseRef-Proprietary", "reserved"),
 ]
-_HINT = re.compile(r"licen[sc]e|permission|redistribution|warrant|free software|unencumbered|rights reserved|spdx|public license|everyone is permitted|no attribution|boost software", re.I)
+_HINT = re.compile(r"licen[sc]e|permission|redistribution|warrant|free software|advertising|unencumbered|rights reserved|spdx|public license|everyone is permitted|no attribution|boost software", re.I)
 _STOP = re.compile(r"""[.;:!?]["'”’)\]]*\s""")
 _REMARK = re.compile(r"^[ \t]*(?:dnl|REM)\b", re.M)
 _VERSION = re.compile(r"\b\d+(?:\.\d+)*\b")
 _TOKEN = re.compile(r"\b\d+(?:\.\d+)*\b|[^\W_]+")
 _WORD = re.compile(r"[^\W_]+|\{v\}")
-_ID = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", re.I)
+_NAME = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+#: An SPDX expression: names joined by AND, OR and WITH, in brackets or not.
+_ID = re.compile(rf"(?i:SPDX-License-Identifier):\s*(\(*[ \t]*{_NAME}(?:[ \t)]*[ \t)](?:AND|OR|WITH)[ \t(]+{_NAME})*)")
+#: Spellings of one word.
+_SPELT = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
 #: What a notice may add to "licensed under the ... license version {v}".
 _TAIL = " the license"
+#: What a notice may add to "this project is licensed under ...": the file by name, or as a Markdown link.
+_SEE = ("", *(f" see the {name} file{more}" for name in ("license", "license license", "license md", "license md license md", "license txt") for more in ("", " for details")))
 
 
 def _starts() -> dict[str, list[tuple[list[str], str]]]:
     """By first word, the words of known sentences and their identifiers, longest first."""
     out: dict = {}
     for k, t in SENTENCES.items():
-        for x in (t, t + _TAIL) if k.endswith("-by") else (t,):
+        for x in [t + more for more in _SEE] if k.endswith("-project") else (t, t + _TAIL) if k.endswith("-by") else (t,):
             words = _WORD.findall(x)
             out.setdefault(words[0], []).append((words, k))
     return {k: sorted(x, key=lambda y: -len(y[0])) for k, x in out.items()}
@@ -125,7 +150,7 @@ def known(text: str) -> list[tuple[int, str, str]]:
     """Place in the order of sentences, identifier, and last version (or SPDX identifier) of the known sentences."""
     text = _REMARK.sub("", text)
     at = list(_TOKEN.finditer(text))
-    raw = [m[0].lower() for m in at]
+    raw = [_SPELT.get(w, w) for w in (m[0].lower() for m in at)]
     words = ["{v}" if _VERSION.fullmatch(w) else w for w in raw]
     gaps = [text[a.end() : b.start()] for a, b in zip(at, at[1:])]
     stop = [bool(_STOP.search(g)) for g in gaps]
@@ -157,6 +182,17 @@ def known(text: str) -> list[tuple[int, str, str]]:
     return seq
 
 
+def operands(expression: str) -> list[str]:
+    """The licences of an SPDX expression in order, each with the exception that it is given WITH."""
+    return [" ".join(x.split()) for x in re.split(r"[()\s]+(?:AND|OR)[()\s]+", expression.strip("() \t")) if x.strip("() ")]
+
+
+def _versioned(name: str, v: str) -> str:
+    """A rule's name with the version of its sentences; numbered licences without a point get one, and nothing is left where none is."""
+    pointed = "." in v or not name.startswith(("Apache", "CC", "MPL", "GPL", "LGPL", "AGPL", "BSL", "EPL", "Artistic", "CDDL"))
+    return name.replace("{v}", v if pointed else v + ".0").replace("-.0", "")
+
+
 def scan(text: str | None) -> tuple[list[str], list[str]]:
     """Licences in order of their first sentence, and the identifiers of known sentences in order."""
     if not text or not _HINT.search(text):
@@ -180,9 +216,9 @@ def scan(text: str | None) -> tuple[list[str], list[str]]:
             if len(got) == len(ids):
                 used |= set(got)
                 v = next((seq[i][2] for i in got if seq[i][2]), "")
-                found.append((seq[got[0]][0], name.replace("{v}", v if "." in v or not name.startswith(("Apache", "CC", "MPL", "GPL", "LGPL", "AGPL", "BSL", "EPL")) else v + ".0").replace("-.0", "")))
-    found += [(k, v) for k, i, v in seq if i == "spdx"]
-    names = list(dict.fromkeys(n for _, n in sorted(found)))
+                found.append((seq[got[0]][0], [_versioned(n, v) for n in name.split(",")]))
+    found += [(k, operands(v)) for k, i, v in seq if i == "spdx"]
+    names = list(dict.fromkeys(n for _, each in sorted(found, key=lambda x: x[0]) for n in each))
     return [n for n in names if n != "LicenseRef-Proprietary" or len(names) == 1], [i for _, i, _ in seq]
 
 
