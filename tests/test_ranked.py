@@ -27,7 +27,7 @@ def loop(docs, queries, k):
 
 
 def found(spark, docs, queries, k):
-    index = ranked.impacts(spark.createDataFrame(docs, "id long, text string"))
+    index = ranked.postings(spark.createDataFrame(docs, "id long, text string"))
     return {(r.query, r.place): (r.id, round(r.score * 1e6)) for r in ranked.first(index, spark.createDataFrame(queries, "query long, text string"), k).collect()}
 
 
