@@ -7,36 +7,69 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.tables import written
+from docloom.functions.tables import spread, written
 
-BLOCK = 2048
+#: Queries asked at once, and scores that a task holds at once.
+BLOCK, SCORES = 8192, 2_000_000
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k highest cosines of each query, itself left out; ties by id. Queries go out in blocks of at most BLOCK rows; where
     there are several, each block's answer is written before the next is asked, so the plan stays one pass long."""
+    return asked(spread(vectors).select("vec_id", "embedding", "label"), queries, k, lambda q: None)
+
+
+def asked(vectors: DataFrame, queries: DataFrame, k: int, reads) -> DataFrame:
+    """(query_id, vec_id, label, score, place) of the k highest cosines of each query among the vectors (vec_id, embedding, label, ...) that
+    it reads: all, or those whose column cell is true in its row of reads(queries), a matrix.
+
+    A task holds SCORES scores and the k best so far of each query; what is below a query's k-th is left out before it is rounded.
+    """
     spark, parts, block = vectors.sparkSession, [], []
     placed = lambda near: near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k)
+    scores, kind = SCORES, "query_id long, vec_id long, label int, score double"
 
     def one(rows):
         ids = np.array([r[0] for r in rows])
         q = np.array([r[1] for r in rows], float)
-        shipped = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+        shipped = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), reads(q)))
 
         def best(batches):
-            ids, q = shipped.value
+            ids, q, cells = shipped.value
+            n, step = len(ids), max(1, scores // len(ids))
+            order = np.argsort(ids, kind="stable")
+            floor = np.full(n, -np.inf)  # a query's k-th score, less what rounding may add
+            top = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))  # query, vector, label, score
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["embedding"]).astype(float)
-                s = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 6)
-                vec = pdf["vec_id"].to_numpy()
-                s[ids[:, None] == vec[None]] = -2
-                for i, row in zip(ids, s):
-                    o = np.lexsort([vec, -row])[:k]
-                    yield pd.DataFrame({"query_id": i, "vec_id": vec[o], "label": pdf["label"].to_numpy()[o], "score": row[o]})
-
-        return vectors.select("vec_id", "embedding", "label").mapInPandas(best, "query_id long, vec_id long, label int, score double").where("score > -2")
+                for at in range(0, len(pdf), step):
+                    part = pdf.iloc[at : at + step]
+                    x, vec, label = np.stack(part["embedding"]).astype(float), part["vec_id"].to_numpy(), part["label"].to_numpy(float)
+                    sub = np.arange(n) if cells is None else np.nonzero(cells[:, np.unique(part["cell"])].any(1))[0]
+                    s = q[sub] @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                    if cells is not None:
+                        s[~cells[sub[:, None], part["cell"].to_numpy()]] = -2
+                    own = np.searchsorted(ids, vec, sorter=order), np.searchsorted(ids, vec, "right", sorter=order)
+                    for j in np.nonzero(own[0] < own[1])[0]:
+                        s[np.isin(sub, order[own[0][j] : own[1][j]]), j] = -2
+                    least = np.maximum(floor[sub], -1.5)
+                    if s.shape[1] > k and (floor[sub] == -np.inf).any():
+                        least = np.maximum(least, -np.partition(-s, k - 1, axis=1)[:, k - 1] - 1e-6)
+                    i, j = np.nonzero(s >= least[:, None])  # scores that are no numbers are left out
+                    i, s = sub[i], s[i, j]
+                    new = i, vec[j], label[j], np.round(s, 6)
+                    i, v, c, r = (np.concatenate(p) for p in zip(top, new))
+                    o = np.lexsort((v, -r, i))
+                    first = np.searchsorted(i[o], np.arange(n + 1))
+                    o = o[np.arange(len(o)) - first[i[o]] < k]
+                    top = i[o], v[o], c[o], r[o]
+                    last = np.searchsorted(top[0], np.arange(n), "right") - 1
+                    full = np.bincount(top[0], minlength=n) >= k
+                    floor[full] = top[3][last[full]] - 1e-6
+            for at in range(0, len(top[0]), 100_000):
+                i, v, c, r = (p[at : at + 100_000] for p in top)
+                yield pd.DataFrame({"query_id": ids[i], "vec_id": v, "label": pd.array(c, dtype="Int32"), "score": r})
+
+        return vectors.mapInPandas(best, kind)
 
     for r in queries.select("vec_id", "embedding").toLocalIterator():
         block.append(r)
@@ -44,7 +77,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             parts.append(written(placed(one(block)), "nearest"))
             block = []
     if not parts:
-        return placed(one(block) if block else spark.createDataFrame([], "query_id long, vec_id long, label int, score double"))
+        return placed(one(block) if block else spark.createDataFrame([], kind))
     if block:
         parts.append(written(placed(one(block)), "nearest"))
     return spark.read.schema(parts[0].schema).parquet(*(f for p in parts for f in p.inputFiles()))
