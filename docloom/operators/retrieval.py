@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.vectors import topk
+from docloom.functions.tables import spread, written
+from docloom.operators.vectors import asked, topk
 
 CUTS, STEPS, DRAWS, SEED = (3, 5, 10), (1, 3, 5, 10, 20), 2000, "12345"
+SCORED = 500  # vectors that are set against all centroids at once
 
 
 def _vectors(spark, at) -> DataFrame:
@@ -140,22 +142,21 @@ def approximate_topk(v: DataFrame, queries: DataFrame, k: int = 10, recall: floa
     probes = enough_probes(x, fitted, k, recall)
     c = v.sparkSession.sparkContext.broadcast(fitted)
 
-    def listed(many):
-        def run(batches):
-            for pdf in batches:
-                if len(pdf):
-                    x = np.stack(pdf["embedding"]).astype(float)
-                    near = np.argsort(-(x @ c.value.T), axis=1, kind="stable")[:, :many]
-                    yield pd.concat([pdf.assign(cell=near[:, j]) for j in range(near.shape[1])])
-
-        return run
-
-    kind = "vec_id long, embedding array<double>, cell int"
-    cast = lambda d: d.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    base = cast(v).mapInPandas(listed(1), kind)
-    asked = cast(queries).mapInPandas(listed(probes), kind).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "cell")
-    near = asked.join(base, "cell").where("query_id <> vec_id").select("query_id", "vec_id", _cosine(F.col("q"), F.col("embedding")).alias("score"))
-    return near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k)
+    def listed(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), SCORED):
+                part = pdf.iloc[at : at + SCORED]
+                yield part.assign(cell=(np.stack(part["embedding"]).astype(float) @ c.value.T).argmax(1))
+
+    def reads(q):
+        read = np.zeros((len(q), len(fitted)), bool)
+        for at in range(0, len(q), SCORED):
+            np.put_along_axis(read[at : at + SCORED], np.argsort(-(q[at : at + SCORED] @ fitted.T), axis=1, kind="stable")[:, :probes], True, 1)
+        return read
+
+    base = spread(v).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.col("label").cast("int")).mapInPandas(listed, "vec_id long, embedding array<float>, label int, cell int")
+    base = base.repartitionByRange(v.sparkSession.sparkContext.defaultParallelism, "cell", "vec_id").sortWithinPartitions("cell")
+    return asked(written(base, "lists"), queries, k, reads).drop("label")
 
 
 def approximate_nearest(spark, at):
