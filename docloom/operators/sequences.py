@@ -3,15 +3,17 @@
 The likeness is the ratio of the standard library's sequence matcher: twice the characters in matching blocks over both lengths.
 Candidates come from a count filter that loses no pair: where M characters match in order, M * 2 >= least * (n + m), and each of
 the n - M deletions spoils at most two of a text's pairs of neighbouring characters, each of the m - M insertions at most one. So two texts
-share at least S = 3 * M - n - m - 1 such pairs, copies counted. Where each text keeps all but its S - MEET commonest pairs, two of
-them still share MEET of those kept, or S if that is less. Short texts, whose pairs are all common, meet by both lengths and two or
-three such pairs at once.
+share at least 3 * M - n - m - 1 such pairs, copies counted, and M characters in any order. Both are counted in pairs of blocks of like lengths.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections import Counter
+from collections.abc import Iterator
+from operator import add
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,52 +22,98 @@ from docloom.functions import texts
 from docloom.functions.tables import written
 from docloom.operators import facts
 from docloom.operators.fusion import ordered, settled
+from docloom.operators.numbering import placed
 
 #: The likeness from which requirements are one, and names are; and words that may end a name without being part of it.
 SAME, ALIGNED = 0.88, 0.80
-MEET, SHORT = 3, 12
+#: Keys, and characters, that a block holds; counts that a task holds at once.
+BLOCK_KEYS, BLOCK_CHARS, CELLS = 4_096, 500_000, 2_000_000
 LEGAL_ENDS = "sa s.a sarl sas inc ltd llc plc corp corporation company co group groupe holding holdings".split()
 
 
-def _tokens(rows: DataFrame) -> DataFrame:
-    """(id, n, toks): pairs of neighbouring characters, each with its number among equal ones, the rarest first."""
-    gram = F.when(F.length("key") >= 2, F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substring(F.col("key"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    many = rows.select("id", F.explode(gram).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
-    token = written(many.select("id", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("c")), lambda k: F.concat("g", k.cast("string")))).alias("t")), "grams")
-    often = token.groupBy("t").agg(F.count("*").alias("often"))
-    toks = token.join(often, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("x"))
-    return rows.join(toks, "id", "left").select("id", F.length("key").alias("n"), F.coalesce(F.transform("x", lambda x: x["t"]), F.array().cast("array<string>")).alias("toks"))
-
-
-def _combined(toks, size):
-    """All choices of 0 to 3 tokens, in order, as strings."""
-    rest = lambda xs, i: F.slice(xs, i + 2, F.greatest(F.size(xs) - i - 1, F.lit(0)))
-    two = lambda xs: F.flatten(F.transform(xs, lambda x, i: F.transform(rest(xs, i), lambda y: F.concat_ws("|", x, y))))
-    three = F.flatten(F.transform(toks, lambda x, i: F.transform(two(rest(toks, i)), lambda y: F.concat_ws("|", x, y))))
-    return F.when(size == 0, F.array(F.lit(""))).when(size == 1, toks).when(size == 2, two(toks)).otherwise(three)
+def _grams(keys: list[str], known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all pairs of neighbouring characters, each with its number among equal ones, and how many each key has."""
+    found = []
+    for key in keys:
+        seen = Counter()
+        for g in map(add, key, key[1:]):
+            found.append(known.setdefault((g, seen[g]), len(known)))
+            seen[g] += 1
+    return np.array(found, int), np.array([max(0, len(k) - 1) for k in keys], int)
+
+
+def _letters(keys: list[str], known: dict) -> np.ndarray:
+    """How often each key has each character."""
+    at = [(i, known.setdefault(c, len(known)), n) for i, k in enumerate(keys) for c, n in Counter(k).items()]
+    many = np.zeros((len(keys), len(known)), np.int32)
+    if at:
+        i, c, n = np.array(at).T
+        many[i, c] = n
+    return many
+
+
+def _sharing(x: list[str], y: list[str], least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in x, places in y) of keys that share enough pairs of characters, and characters; of one list with itself the later in y only."""
+    grams, letters = {}, {}
+    (tx, _), (ty, my) = _grams(x, grams), _grams(y, grams)
+    _letters(x, letters)
+    cy = _letters(y, letters)
+    cx = _letters(x, letters)
+    nx, ny = np.array(list(map(len, x))), np.array(list(map(len, y)))
+    matched = lambda total: np.ceil(total * least / 2 - 1e-9).astype(int)
+    shared = lambda total: 3 * matched(total) - total - 1
+    lengths = np.unique(ny)
+    low = {n: shared(n + lengths).min() for n in np.unique(nx).tolist()}
+    low = np.array([low[n] for n in nx.tolist()])
+    held = np.repeat(np.arange(len(y)), my)
+    order = np.argsort(ty, kind="stable")
+    post, start = held[order], np.searchsorted(ty[order], np.arange(len(grams) + 1))
+    first = np.concatenate([[0], np.cumsum(np.maximum(nx - 1, 0))])
+    own, many = np.repeat(np.arange(len(x)), np.maximum(nx - 1, 0)), start[tx + 1] - start[tx]
+    upto = np.cumsum(np.bincount(own, many, len(x)))
+    lo = 0
+    while lo < len(x):
+        hi = max(lo + 1, min(lo + max(1, CELLS // len(y)), int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CELLS))))
+        t, n, o = tx[first[lo] : first[hi]], many[first[lo] : first[hi]], own[first[lo] : first[hi]]
+        cell = np.repeat((o - lo) * len(y), n) + post[np.repeat(start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        met = np.bincount(cell, minlength=(hi - lo) * len(y)).reshape(hi - lo, len(y))
+        i, j = np.nonzero(met >= low[lo:hi, None])
+        met, i = met[i, j], i + lo
+        fine = met >= shared(nx[i] + ny[j])
+        fine &= np.minimum(nx[i], ny[j]) * (2 - least) >= np.maximum(nx[i], ny[j]) * least - 1e-9
+        fine &= (i < j) if same else True
+        i, j = i[fine], j[fine]
+        each = max(1, CELLS // max(1, len(letters)))
+        for k in range(0, len(i), each):
+            a, b = i[k : k + each], j[k : k + each]
+            fine = np.minimum(cx[a], cy[b]).sum(1) >= matched(nx[a] + ny[b])
+            yield a[fine], b[fine]
+        lo = hi
 
 
 def _candidates(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b, ka, kb), a before b, of rows (id, key) that share enough of their rarest pairs of characters."""
-    t = written(_tokens(rows), "tokens")
-    n = F.col("n")
-    same = lambda total: 3 * F.ceil(total * least / 2 - 1e-9) - total - 1
-    first, last = F.ceil(n * least / (2 - least) - 1e-9).cast("int"), F.floor(n * (2 - least) / least + 1e-9).cast("int")
-    # texts of which one has SHORT characters at most, by both lengths
-    small = t.where(first <= SHORT).withColumn("m", F.explode(F.sequence(F.greatest(first, F.lit(0)), last))).where(F.least("n", "m") <= SHORT)
-    size = F.least(F.when(F.greatest("n", "m") <= 9, 3).otherwise(2), F.greatest(same(n + F.col("m")), F.lit(0))).cast("int")
-    small = small.withColumn("size", size).withColumn("kept", F.slice("toks", 1, F.greatest(n - 1 - same(n + F.col("m")) + F.col("size"), F.lit(0)).cast("int")))
-    small = written(small.select("id", "n", "m", F.explode(_combined(F.col("kept"), F.col("size"))).alias("k")), "short")
-    x, y = small.alias("x"), small.alias("y")
-    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.n") == F.col("y.m")) & (F.col("x.m") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    # longer texts, by single pairs
-    low = F.ceil((1.5 * least - 1) * (n + first) - 1 - 1e-9)
-    long = written(t.where(n > SHORT).select("id", "n", F.explode(F.slice("toks", 1, F.greatest(n - 1 - low + MEET, F.lit(0)).cast("int"))).alias("k")), "long")
-    x, y = long.alias("x"), long.alias("y")
-    near = F.least("x.n", "y.n") * (2 - least) >= F.greatest("x.n", "y.n") * least - 1e-9
-    many = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & near).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total")).agg(F.count("*").alias("met"))
-    met = met.unionByName(many.where(F.col("met") >= F.least(F.lit(MEET), same(F.col("total")))).select("a", "b"))
-    return met.join(rows.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(rows.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
+    """(a, b, ka, kb), a before b, of rows (id, key) that share enough pairs of characters. A task has two blocks of keys of lengths near
+    enough; its candidates go on to the next check in the same stage, so none is shuffled or written."""
+    n = rows.select("id", "key", F.length("key").alias("n"))
+    each = F.greatest(F.least(F.lit(BLOCK_KEYS), F.lit(BLOCK_CHARS) / F.pow(F.lit(2), F.length(F.bin("n")))), F.lit(1))
+    n = written(placed(n, "n", "id").withColumn("block", F.shiftleft(F.length(F.bin("n")).cast("long"), 40) + F.floor(F.col("place") / each)), "keys")
+    spans = lambda x: n.groupBy("block").agg(F.min("n").alias(f"{x}_lo"), F.max("n").alias(f"{x}_hi")).withColumnRenamed("block", x)
+    near = (F.col("i_hi") * (2 - least) >= F.col("j_lo") * least - 1e-9) & (F.col("j_hi") * (2 - least) >= F.col("i_lo") * least - 1e-9)
+    meet = written(spans("i").join(spans("j"), near & (F.col("i") <= F.col("j"))).select("i", "j"), "blocks")
+    parts = max(int(n.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(meet.count(), 2000))
+    dealt = lambda x: n.withColumnRenamed("block", x).join(F.broadcast(meet), x).select(*(F.col(c).alias(c) for c in ("i", "j", "id", "key"))).repartition(parts, "i", "j")
+
+    def run(key, left, right):
+        same = key[0] == key[1]
+        right = left if same else right
+        x, y = left["key"].to_numpy(), right["key"].to_numpy()
+        found = list(_sharing(x.tolist(), y.tolist(), least, same)) if len(x) and len(y) else []
+        i, j = (np.concatenate(p) for p in zip((np.zeros(0, int), np.zeros(0, int)), *found))
+        a, b, ka, kb = left["id"].to_numpy()[i], right["id"].to_numpy()[j], x[i], y[j]
+        turned = a > b
+        return pd.DataFrame({"a": np.where(turned, b, a), "b": np.where(turned, a, b), "ka": np.where(turned, kb, ka), "kb": np.where(turned, ka, kb)})
+
+    return dealt("i").groupBy("i", "j").cogroup(dealt("j").groupBy("i", "j")).applyInPandas(run, "a long, b long, ka string, kb string")
 
 
 def alike(rows: DataFrame, least: float) -> DataFrame:
