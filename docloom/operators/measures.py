@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import plain, texts
-from docloom.functions.tables import spread
+from docloom.functions.tables import spread, written
 from docloom.operators import facts
 
 PASSAGE = 1500
@@ -29,31 +29,40 @@ def upper_median(column: str) -> Column:
 
 def structure(d: DataFrame) -> DataFrame:
     """Volume, languages, titles, section lengths, tables, homogeneity (null for one document)."""
-    lines = F.split("text", "\n")
-    tables = F.aggregate(F.transform(F.filter(lines, lambda x: x.startswith("|")), F.length), F.lit(0), lambda a, x: a + x)
-    m = d.select("corpus", F.size(texts.words(F.col("text"))).alias("words"), F.length("text").alias("chars"), F.col("text").rlike(r"(^|\n)#").cast("double").alias("titled"), tables.alias("tables"))
+    lines, text = F.split("text", "\n"), F.col("text")
+    rows = F.aggregate(F.transform(F.filter(lines, lambda x: x.startswith("|")), F.length), F.lit(0), lambda a, x: a + x)
+    tables = F.when(text.startswith("|") | text.contains("\n|"), rows).otherwise(0)
+    m = d.select("corpus", F.regexp_count("text", F.lit(r"\S+")).alias("words"), F.length("text").alias("chars"), (text.startswith("#") | text.contains("\n#")).cast("double").alias("titled"), tables.alias("tables"))
     g = m.groupBy("corpus").agg(F.count("*").alias("docs"), F.sum("words").alias("words"), F.avg("words").alias("avg_words"), F.stddev_pop("words").alias("dev"), F.round(F.avg("titled"), 2).alias("titles"),
                                 F.round(F.coalesce(F.try_divide(F.sum("tables"), F.sum("chars")), F.lit(0.0)), 2).alias("table_share"), F.avg((F.col("tables") > 0).cast("double")).alias("with_tables"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("corpus"))
     langs = d.where("lang is not null").groupBy("corpus", "lang").agg(F.count("*").alias("n")).withColumn("share", share)
     langs = langs.groupBy("corpus").agg(F.max("share").alias("top"), (F.count_if(F.round("share", 2) >= 0.15) >= 2).alias("multilingual"))
-    sections = d.select("corpus", F.explode(F.filter(lines, lambda x: F.trim(x) != "")).alias("line")).select("corpus", F.length("line").alias("n"))
+    sections = d.select("corpus", F.explode(lines).alias("line")).where("trim(line) <> ''").select("corpus", F.length("line").alias("n"))
     sections = sections.groupBy("corpus").agg(upper_median("n").alias("section_median"))
     even = 1 - F.least(F.when(F.col("avg_words") > 0, F.col("dev") / F.col("avg_words")).otherwise(0.0), F.lit(1.0))
     alike = F.when(F.col("docs") > 1, F.round((F.col("top") + even + 2 * F.abs(F.col("with_tables") - 0.5)) / 3, 2))
     return g.join(langs, "corpus", "left").join(sections, "corpus", "left").select("corpus", "words", F.round("avg_words", 4).alias("avg_words"), alike.alias("homogeneity"), "titles", "section_median", "table_share", F.coalesce("multilingual", F.lit(False)).alias("multilingual"))
 
 
-def names(d: DataFrame) -> DataFrame:
+def mentions(spark, at) -> DataFrame:
+    """(source, lang, doc_id, k, canon, n): the names of each passage of 1500 characters with their mentions, written once for all corpora."""
+    d = spread(spark.read.parquet(f"{at}/documents.parquet").where("length(text) > 0").select("doc_id", *(F.coalesce(c, F.lit("none")).alias(c) for c in ("source", "lang")), "text"))
+    p = d.select("doc_id", "source", "lang", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0))).alias("k", "text"))
+    p = p.select("source", "lang", "doc_id", "k", F.explode(F.regexp_extract_all("text", F.lit(facts.MENTION), F.lit(0))).alias("name"))
+    m = p.withColumn("canon", texts.canonical_mention(F.col("name"))).where("canon is not null")
+    return written(m.groupBy("source", "lang", "doc_id", "k", "canon").agg(F.count("*").alias("n")), "mentions")
+
+
+def names(m: DataFrame, by: str) -> DataFrame:
     """Of the names of two mentions and more the share in two documents and more, and how many others each stands beside
-    in a passage of 1500 characters. A passage holds a bounded number of names, so pairs are few for each."""
-    k = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PASSAGE).cast("int")))
-    p = d.where(F.length("text") > 0).select("corpus", "doc_id", "text", k.alias("k"))
-    p = p.select("corpus", "doc_id", "k", F.explode(F.regexp_extract_all(F.col("text").substr(F.col("k") * PASSAGE + 1, F.lit(PASSAGE)), F.lit(facts.MENTION), F.lit(0))).alias("name"))
-    m = p.select("corpus", "doc_id", "k", texts.canonical(F.col("name")).alias("canon")).where("canon is not null").groupBy("corpus", "doc_id", "k", "canon").agg(F.count("*").alias("n"))
-    kept = m.groupBy("corpus", "canon", "doc_id").agg(F.sum("n").alias("n")).groupBy("corpus", "canon").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where("n >= 2")
-    met = m.join(kept.select("corpus", "canon"), ["corpus", "canon"], "left_semi").select("corpus", "doc_id", "k", "canon")
-    pairs = met.join(met.withColumnRenamed("canon", "other"), ["corpus", "doc_id", "k"]).where("canon < other").select("corpus", "canon", "other").distinct().groupBy("corpus").agg(F.count("*").alias("pairs"))
+    in a passage. A passage holds a bounded number of names, so pairs are few for each; they are pairs of the names' numbers."""
+    m = m.withColumnRenamed(by, "corpus")
+    kept = m.groupBy("corpus", "canon", "doc_id").agg(F.sum("n").alias("n")).groupBy("corpus", "canon").agg(F.sum("n").alias("n"), F.count("doc_id").alias("docs")).where("n >= 2")
+    kept = written(kept.withColumn("id", F.monotonically_increasing_id()), "names")
+    met = m.where("doc_id is not null").join(kept.select("corpus", "canon", "id"), ["corpus", "canon"]).groupBy("corpus", "doc_id", "k").agg(F.collect_set("id").alias("ids"))
+    pairs = met.select("ids", F.explode("ids").alias("id")).select("id", F.explode("ids").alias("other")).where("id < other").distinct().groupBy("id").agg(F.count("*").alias("pairs"))
+    pairs = kept.select("corpus", "id").join(pairs, "id").groupBy("corpus").agg(F.sum("pairs").alias("pairs"))
     g = kept.groupBy("corpus").agg(F.count("*").alias("names"), F.avg((F.col("docs") >= 2).cast("double")).alias("connectivity"))
     return g.join(pairs, "corpus", "left").select("corpus", F.round(2 * F.coalesce("pairs", F.lit(0)) / F.col("names"), 4).alias("degree"), F.round("connectivity", 4).alias("connectivity"))
 
@@ -79,10 +88,12 @@ def measured(spark, at, of_names: bool = True, of_probe: bool = True) -> DataFra
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     relations = F.round(1000 * F.coalesce("kept", F.lit(0)) / F.greatest(F.floor(F.col("words") * 1.3), F.lit(1)), 4).alias("relations")
 
+    m = mentions(spark, at) if of_names else None
+
     def one(by: str, probed: bool) -> DataFrame:
         d = _texts(spark, at, by)
         f = structure(d)
-        f = f.join(names(d), "corpus", "left") if of_names else f.withColumns({c: none(c) for c in ("degree", "connectivity")})
+        f = f.join(names(m, by), "corpus", "left") if of_names else f.withColumns({c: none(c) for c in ("degree", "connectivity")})
         told = [relations, zero("crossed"), zero("reuse")] if probed and of_probe else [none(c) for c in ("relations", "crossed", "reuse")]
         f = f.join(probe(d), "corpus", "left") if probed and of_probe else f
         return f.select(F.concat(F.lit(f"{by} "), "corpus").alias("name"), "words", "avg_words", "degree", "connectivity", *told, "homogeneity", "titles", "section_median", "table_share", "multilingual", F.lit(False).alias("live"), F.lit(probed).alias("probed"))
