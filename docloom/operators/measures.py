@@ -46,12 +46,13 @@ def structure(d: DataFrame) -> DataFrame:
 
 
 def mentions(spark, at) -> DataFrame:
-    """(source, lang, doc_id, k, canon, n): the names of each passage of 1500 characters with their mentions, written once for all corpora."""
+    """(source, lang, doc_id, k, n, canon): the names of each passage of 1500 characters with their mentions, a row for each spelling,
+    written once for all corpora."""
     d = spread(spark.read.parquet(f"{at}/documents.parquet").where("length(text) > 0").select("doc_id", *(F.coalesce(c, F.lit("none")).alias(c) for c in ("source", "lang")), "text"))
     p = d.select("doc_id", "source", "lang", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0))).alias("k", "text"))
     p = p.select("source", "lang", "doc_id", "k", F.explode(F.regexp_extract_all("text", F.lit(facts.MENTION), F.lit(0))).alias("name"))
-    m = p.withColumn("canon", texts.canonical_mention(F.col("name"))).where("canon is not null")
-    return written(m.groupBy("source", "lang", "doc_id", "k", "canon").agg(F.count("*").alias("n")), "mentions")
+    m = p.groupBy("source", "lang", "doc_id", "k", "name").agg(F.count("*").alias("n")).withColumn("canon", texts.canonical_mention(F.col("name")))
+    return written(m.drop("name"), "mentions").where("canon is not null")  # a filter before would find each form twice
 
 
 def names(m: DataFrame, by: str) -> DataFrame:
