@@ -4,11 +4,15 @@ The likeness is the ratio of the standard library's sequence matcher: twice the
 Candidates come from a count filter that loses no pair: where M characters match in order, M * 2 >= least * (n + m), and each of
 the n - M deletions spoils at most two of a text's pairs of neighbouring characters, each of the m - M insertions at most one. So two texts
 share at least 3 * M - n - m - 1 such pairs, copies counted, and M characters in any order. Both are counted in pairs of blocks of like lengths.
+Short texts meet by what is left of them instead: M characters that match in order are a part of both, so that one of the few ways to leave
+n - M characters out of one text gives the same as a way to leave m - M out of the other. Time then grows with the texts and the pairs found.
 """
 
 from __future__ import annotations
 
 import difflib
+import itertools
+import math
 from collections import Counter
 from collections.abc import Iterator
 from operator import add
@@ -28,6 +32,8 @@ from docloom.operators.numbering import placed
 SAME, ALIGNED = 0.88, 0.80
 #: Keys, and characters, that a block holds; counts that a task holds at once.
 BLOCK_KEYS, BLOCK_CHARS, CELLS = 4_096, 500_000, 2_000_000
+#: Short keys that a block holds; the most ways to leave characters out of a key that counts as short; pairs matched at once.
+SHORT_KEYS, WAYS, MATCHED = 65_536, 4_096, 16_384
 LEGAL_ENDS = "sa s.a sarl sas inc ltd llc plc corp corporation company co group groupe holding holdings".split()
 
 
@@ -91,17 +97,129 @@ def _sharing(x: list[str], y: list[str], least: float, same: bool) -> Iterator[t
         lo = hi
 
 
-def _candidates(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b, ka, kb), a before b, of rows (id, key) that share enough pairs of characters. A task has two blocks of keys of lengths near
-    enough; its candidates go on to the next check in the same stage, so none is shuffled or written."""
-    n = rows.select("id", "key", F.length("key").alias("n"))
-    each = F.greatest(F.least(F.lit(BLOCK_KEYS), F.lit(BLOCK_CHARS) / F.pow(F.lit(2), F.length(F.bin("n")))), F.lit(1))
+def _least_matched(total: int, least: float) -> int:
+    """Characters that two texts of so many together have in common in order, if they reach the limit."""
+    return math.ceil(total * least / 2 - 1e-9)
+
+
+def _short(least: float) -> int:
+    """The length up to which keys count as short: all of one length in bits, as blocks are."""
+    partners = lambda m: (n for n in range(1, m + 1) if _least_matched(n + m, least) <= n)
+    few = lambda m: all(math.comb(m, _least_matched(n + m, least)) <= WAYS for n in partners(m))
+    return next((top for top in (15, 7, 3) if all(map(few, range(1, top + 1)))), 0)
+
+
+def _left(codes: np.ndarray, kept: int) -> np.ndarray:
+    """Numbers of what is left of each key, a row of code points, where all but `kept` characters are left out, in each way. Equal
+    characters have equal numbers; the sums are under 2**53, so doubles hold them."""
+    ways = np.array([*itertools.combinations(range(codes.shape[1]), kept)])
+    weights = np.zeros((codes.shape[1], len(ways)))
+    weights[ways, np.arange(len(ways))[:, None]] = np.random.default_rng(kept).integers(1 << 27, 1 << 28, kept)
+    return (codes.astype(float) @ weights).astype(np.int64)
+
+
+def _leaving(x: np.ndarray, y: np.ndarray, kept: int) -> np.ndarray:
+    """Distinct pairs, as i * len(y) + j, of keys of x and of y, which are as long or longer, that have `kept` characters in common in order."""
+    slot = lambda h: (h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+    each = lambda codes: max(1, CELLS // math.comb(codes.shape[1], kept))
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, len(x), each(x)):
+        h = _left(x[at : at + each(x)], kept)
+        own, h = np.repeat(np.arange(len(h)) + at, h.shape[1]), h.ravel()
+        order = np.argsort(h)
+        own, h = own[order], h[order]
+        seen = np.zeros(1 << 24, bool)
+        seen[slot(h)] = True
+        for to in range(0, len(y), each(y)):
+            g = _left(y[to : to + each(y)], kept)
+            j, w = np.nonzero(seen[slot(g)])
+            g, j = g[j, w], j + to
+            low = np.searchsorted(h, g)
+            many = np.searchsorted(h, g, "right") - low
+            j, low, many = j[many > 0], low[many > 0], many[many > 0]
+            upto, k = np.cumsum(many), 0
+            while k < len(many):
+                end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + CELLS)))
+                n = many[k:end]
+                i = own[np.repeat(low[k:end] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                found.append(np.unique(i * len(y) + np.repeat(j[k:end], n)))
+                k = end
+    return np.unique(np.concatenate(found))
+
+
+def _matching(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Characters in the matching blocks of the sequence matcher, for pairs of rows of code points: it takes the longest block, of equal
+    ones the first in x and then in y, and goes on at its left and its right."""
+    total = np.zeros(len(x), np.int64)
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    ci, cj = np.arange(len(x))[:, None], np.arange(len(y))[:, None]
+    pair = np.arange(x.shape[1])
+    todo = (pair, 0 * pair, 0 * pair + len(x), 0 * pair, 0 * pair + len(y))
+    while len(todo[0]):
+        pair, alo, ahi, blo, bhi = todo
+        a = np.where((ci >= alo) & (ci < ahi), x[:, pair], -1)
+        b = np.where((cj >= blo) & (cj < bhi), y[:, pair], -2)
+        run, best, i, j = np.zeros((len(y) + 1, len(pair)), np.int8), np.zeros(len(pair), np.int8), 0 * pair, 0 * pair
+        for k in range(len(x)):
+            run[1:] = (run[:-1] + np.int8(1)) * (b == a[k])
+            top = run.max(0)
+            more = np.flatnonzero(top > best)
+            best[more], i[more], j[more] = top[more], k + 1, run[:, more].argmax(0)
+        total += np.bincount(pair, best, len(total)).astype(np.int64)
+        i0, j0 = i - best, j - best
+        left, right = (best > 0) & (i0 > alo) & (j0 > blo), (best > 0) & (i < ahi) & (j < bhi)
+        todo = tuple(np.concatenate([u[left], v[right]]) for u, v in ((pair, pair), (alo, i), (i0, ahi), (blo, j), (j0, bhi)))
+    return total
+
+
+def _codes(keys: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each length the places of its keys, and their code points in rows."""
+    n = np.array([*map(len, keys)], int)
+    places = {m: np.flatnonzero(n == m) for m in np.unique(n).tolist()}
+    return {m: (at, np.frombuffer("".join(keys[at]).encode("utf-32-le", "surrogatepass"), np.int32).reshape(-1, m)) for m, at in places.items() if m}
+
+
+def _near_short(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> Iterator[tuple]:
+    """(places in x, places in y, ratios of x to y, ratios of y to x) of short keys of which one ratio reaches the limit; of one list with itself each pair once."""
+    left, right = _codes(x), _codes(y)
+    for (n, (at, a)), (m, (to, b)) in itertools.product(left.items(), right.items()):
+        kept = _least_matched(n + m, least)
+        if kept > min(n, m) or (same and n > m) or kept == n == m:
+            continue
+        pairs = _leaving(a, b, kept) if n <= m else _leaving(b, a, kept)
+        i, j = np.divmod(pairs, len(b)) if n <= m else np.divmod(pairs, len(a))[::-1]
+        if same and n == m:
+            i, j = i[i < j], j[i < j]
+        for k in range(0, len(i), MATCHED):
+            p, q = i[k : k + MATCHED], j[k : k + MATCHED]
+            one, back = 2.0 * _matching(a[p], b[q]) / (n + m), 2.0 * _matching(b[q], a[p]) / (n + m)
+            fine = np.maximum(one, back) >= least
+            yield at[p[fine]], to[q[fine]], one[fine], back[fine]
+
+
+def _paired(rows: DataFrame, least: float) -> tuple:
+    """Rows (id, key) in pairs of blocks of lengths near enough, grouped for a task each: those of two blocks of short keys, and the others."""
+    n, short = rows.select("id", "key", F.length("key").alias("n")), _short(least)
+    parts = int(n.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = max(BLOCK_KEYS, min(SHORT_KEYS, n.count() // math.isqrt(6 * parts)))  # so that there are more pairs of blocks than partitions
+    most = F.when(F.col("n") <= short, keys).otherwise(BLOCK_KEYS)
+    each = F.greatest(F.least(most, F.when(F.col("n") <= short, 2).otherwise(1) * BLOCK_CHARS / F.pow(F.lit(2), F.length(F.bin("n")))), F.lit(1))
     n = written(placed(n, "n", "id").withColumn("block", F.shiftleft(F.length(F.bin("n")).cast("long"), 40) + F.floor(F.col("place") / each)), "keys")
     spans = lambda x: n.groupBy("block").agg(F.min("n").alias(f"{x}_lo"), F.max("n").alias(f"{x}_hi")).withColumnRenamed("block", x)
     near = (F.col("i_hi") * (2 - least) >= F.col("j_lo") * least - 1e-9) & (F.col("j_hi") * (2 - least) >= F.col("i_lo") * least - 1e-9)
-    meet = written(spans("i").join(spans("j"), near & (F.col("i") <= F.col("j"))).select("i", "j"), "blocks")
-    parts = max(int(n.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(meet.count(), 2000))
-    dealt = lambda x: n.withColumnRenamed("block", x).join(F.broadcast(meet), x).select(*(F.col(c).alias(c) for c in ("i", "j", "id", "key"))).repartition(parts, "i", "j")
+    meet = written(spans("i").join(spans("j"), near & (F.col("i") <= F.col("j"))).select("i", "j", (F.greatest("i_hi", "j_hi") <= short).alias("short")), "blocks")
+
+    def grouped(meet):
+        wide = max(parts, min(meet.count(), 2000))
+        dealt = lambda x: n.withColumnRenamed("block", x).join(F.broadcast(meet), x).select(*(F.col(c).alias(c) for c in ("i", "j", "id", "key"))).repartition(wide, "i", "j")
+        return dealt("i").groupBy("i", "j").cogroup(dealt("j").groupBy("i", "j"))
+
+    return grouped(meet.where("short").drop("short")), grouped(meet.where("not short").drop("short"))
+
+
+def _candidates(pairs, least: float) -> DataFrame:
+    """(a, b, ka, kb), a before b, of keys in pairs of blocks that share enough pairs of characters. Candidates go on to the next check in
+    the same stage, so none is shuffled or written."""
 
     def run(key, left, right):
         same = key[0] == key[1]
@@ -113,7 +231,22 @@ def _candidates(rows: DataFrame, least: float) -> DataFrame:
         turned = a > b
         return pd.DataFrame({"a": np.where(turned, b, a), "b": np.where(turned, a, b), "ka": np.where(turned, kb, ka), "kb": np.where(turned, ka, kb)})
 
-    return dealt("i").groupBy("i", "j").cogroup(dealt("j").groupBy("i", "j")).applyInPandas(run, "a long, b long, ka string, kb string")
+    return pairs.applyInPandas(run, "a long, b long, ka string, kb string")
+
+
+def _alike_short(pairs, least: float) -> DataFrame:
+    """alike for keys in pairs of blocks of short ones; what does not reach the limit stays in its task."""
+
+    def run(key, left, right):
+        same = key[0] == key[1]
+        right = left if same else right
+        none = (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))
+        i, j, score, back = (np.concatenate(p) for p in zip(none, *_near_short(left["key"].to_numpy(), right["key"].to_numpy(), least, same)))
+        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        turned = a > b
+        return pd.DataFrame({"a": np.where(turned, b, a), "b": np.where(turned, a, b), "score": np.where(turned, back, score), "back": np.where(turned, score, back)})
+
+    return pairs.applyInPandas(run, "a long, b long, score double, back double")
 
 
 def alike(rows: DataFrame, least: float) -> DataFrame:
@@ -121,9 +254,10 @@ def alike(rows: DataFrame, least: float) -> DataFrame:
 
     The matcher treats its two sides unlike: score is the ratio of a's key to b's, back that of b's to a's; one of them reaches the limit.
     """
+    short, others = _paired(rows, least)
     total = F.length("ka") + F.length("kb")
     most = (total - 2 * F.ceil(total * least / 2 - 1e-9)).cast("int")  # edits of texts with so many characters in common
-    left = _candidates(rows, least).withColumn("most", most).where("levenshtein(ka, kb, most) >= 0")
+    left = _candidates(others, least).withColumn("most", most).where("levenshtein(ka, kb, most) >= 0")
 
     def match(batches):
         for pdf in batches:
@@ -136,7 +270,7 @@ def alike(rows: DataFrame, least: float) -> DataFrame:
                         out.append((a, b, score, back))
             yield pd.DataFrame(out, columns=["a", "b", "score", "back"]).astype({"a": "int64", "b": "int64", "score": float, "back": float})
 
-    return left.mapInPandas(match, "a long, b long, score double, back double")
+    return _alike_short(short, least).unionByName(left.mapInPandas(match, "a long, b long, score double, back double"))
 
 
 def longest_of_alike(rows: DataFrame, least: float = SAME) -> DataFrame:
@@ -160,10 +294,18 @@ def _first_leaders(near: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def _follows_shape(earlier: list[tuple]) -> bool | None:
-    """A name leads unless one of the five leaders most like it has as many words: (state, score, rank of its text, same shape)."""
-    if any(x[0] == 0 for x in earlier):
-        return None
-    return not any(x[3] for x in sorted((x for x in earlier if x[0] == 1), key=lambda x: (-x[1], -x[2]))[:5])
+    """A name leads unless one of the five leaders most like it has as many words: (state, score, rank of its text, same shape).
+
+    A leader of its shape is among those five, or another of its shape is, where fewer than five of other shapes are or may become leaders more
+    like it. So most names need not wait for all before them.
+    """
+    held = [x for x in earlier if x[0] >= 0]
+    if not any(x[3] for x in held):
+        return True
+    others = sorted((x[1:3] for x in held if not x[3]), reverse=True)
+    if any(x[0] == 1 and x[3] and (len(others) < 5 or x[1:3] > others[4]) for x in held):
+        return False
+    return None if any(x[0] == 0 for x in held) else True
 
 
 def aligned(names: DataFrame, least: float = ALIGNED) -> DataFrame:
